@@ -35,9 +35,23 @@ def first_hit(pairs) -> Column:
     return F.coalesce(*[F.when(cond, value) for cond, value in pairs])
 
 
+_CLASSES = {r"\w": r"[\p{L}\p{N}_]", r"\d": r"\p{Nd}", r"\s": r"[\s\x1c-\x1f\x85\p{Z}]"}
+NOT_AFTER_WORD, NOT_BEFORE_WORD = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
+
+
 def unicode_pattern(pattern):
-    """Adds Unicode meaning for \\w \\d \\s \\b where a pattern uses them; it costs time elsewhere."""
-    return "(?U)" + pattern if any(s in pattern for s in (r"\w", r"\d", r"\s", r"\b")) else pattern
+    """Gives \\w \\d \\s and an outer \\b their Unicode meaning.
+
+    Java's own Unicode flag counts combining marks as word characters, which
+    would move word boundaries in Devanagari text; so the classes are spelled out.
+    """
+    if pattern.startswith(r"\b"):
+        pattern = NOT_AFTER_WORD + pattern[2:]
+    if pattern.endswith(r"\b"):
+        pattern = pattern[:-2] + NOT_BEFORE_WORD
+    for short, spelled in _CLASSES.items():
+        pattern = pattern.replace(short, spelled)
+    return pattern
 
 
 def first_group(c, pattern, group=1) -> Column:
@@ -57,8 +71,8 @@ def non_blank_lines(c) -> Column:
 
 
 def redact_pii(c) -> Column:
-    c = F.regexp_replace(F.coalesce(as_col(c), F.lit("")), "(?U)" + V.LONG_NUMBER_PATTERN, V.LONG_NUMBER_MASK)
-    return F.regexp_replace(c, "(?U)" + V.EMAIL_PATTERN, V.EMAIL_MASK)
+    c = F.regexp_replace(F.coalesce(as_col(c), F.lit("")), unicode_pattern(V.LONG_NUMBER_PATTERN), V.LONG_NUMBER_MASK)
+    return F.regexp_replace(c, unicode_pattern(V.EMAIL_PATTERN), V.EMAIL_MASK)
 
 
 def sanitize_text(c, max_len=V.TEXT_MAX_CHARS) -> Column:
@@ -76,7 +90,7 @@ def sanitize_serial(c) -> Column:
 
 def first_word(c) -> Column:
     """First whitespace-separated word, NULL for a blank text."""
-    return F.nullif(F.split(strip(c), r"(?U)[\s\x1c-\x1f]+", 2)[0], F.lit(""))
+    return F.nullif(F.split(strip(c), unicode_pattern(r"\s+"), 2)[0], F.lit(""))
 
 
 def parse_price(c, old=None) -> Column:
@@ -90,7 +104,7 @@ def parse_months(c, strict=False) -> Column:
     """Months of a preset (12 when unreadable) or, strict, of typed text (NULL when unreadable)."""
     c = strip(c)
     if strict:
-        return F.when(c.rlike(r"(?U)^\d+$"), c.try_cast("int"))
+        return F.when(c.rlike(unicode_pattern(r"^\d+$")), c.try_cast("int"))
     return F.coalesce(F.when(c.rlike(r"^[+-]?[0-9]+$"), c.try_cast("int")), F.lit(V.DEFAULT_WARRANTY_MONTHS))
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from coverlens import fixed_values as V
 from coverlens.functions.answers import parse_answer
 from coverlens.functions.dates import day, strict_iso_date
-from coverlens.functions.text import contains_any, first_group, first_hit, non_blank_lines, strip, title_case
+from coverlens.functions.text import (contains_any, first_group, first_hit, non_blank_lines, strip, title_case,
+                                      unicode_pattern)
 
 BILL_FIELDS = ["image_type", "product_name", "brand", "category", "retailer", "purchase_date", "price_paid",
                "serial_no", "warranty_months", "is_food_receipt", "detected_issue", "is_claimable_verdict",
@@ -31,7 +32,7 @@ def keyword_brand(lower) -> Column:
 
 def iphone_name(lower, combined) -> Column:
     base = first_group(lower, V.IPHONE_PATTERN)
-    storage = F.replace(F.upper(first_group(combined, "(?i)" + V.STORAGE_PATTERN)), F.lit(" "), F.lit(""))
+    storage = F.replace(F.upper(first_group(combined, "(?iu)" + V.STORAGE_PATTERN)), F.lit(" "), F.lit(""))
     colour = title_case(first_group(lower, "(" + "|".join(V.IPHONE_COLOURS) + ")"))
     details = F.array_compact(F.array(storage, colour))
     suffix = F.when(F.size(details) > 0, F.concat(F.lit(" ("), F.array_join(details, ", "), F.lit(")")))
@@ -42,13 +43,13 @@ def item_line(lines) -> Column:
     """The line after the first header line that is followed by a usable item."""
     def usable(line, i):
         header = contains_any(F.lower(F.get(lines, i - 1)), V.ITEM_HEADER_WORDS)
-        return ((i > 0) & header & (F.length(line) > 3) & ~line.rlike(r"(?U)^\d+$")
+        return ((i > 0) & header & (F.length(line) > 3) & ~line.rlike(unicode_pattern(r"^\d+$"))
                 & ~contains_any(F.lower(line), V.NOT_AN_ITEM_WORDS))
     return F.get(F.filter(lines, usable), F.lit(0))
 
 
 def serial_number(combined) -> Column:
-    return F.coalesce(first_group(combined, "(?i)" + V.LABELLED_SERIAL_PATTERN),
+    return F.coalesce(first_group(combined, "(?iu)" + V.LABELLED_SERIAL_PATTERN),
                       first_group(combined, V.BARE_IMEI_PATTERN))
 
 
@@ -56,7 +57,7 @@ def shop_line(lines) -> Column:
     """First of the top six lines that can be a shop name."""
     def plausible(line):
         low = F.lower(line)
-        kept = strip(F.regexp_replace(line, r"(?U)[^a-zA-Z0-9\s]", ""))
+        kept = strip(F.regexp_replace(line, r"[^a-zA-Z0-9\s\x1c-\x1f\x85\p{Z}]", ""))
         return (~low.isin(V.BILL_TITLE_LINES)
                 & (F.length(F.regexp_replace(kept, "[^0-9]", "")) < 8)
                 & ~contains_any(low, V.RETAILER_NOISE_WORDS)
@@ -86,11 +87,11 @@ def purchase_day_text(combined, as_of) -> Column:
 
 def excluded_numbers(combined) -> Column:
     """Order, invoice, phone and table numbers: never a price."""
-    return F.array_distinct(F.regexp_extract_all(combined, F.lit("(?iU)" + V.REFERENCE_NUMBER_PATTERN), F.lit(1)))
+    return F.array_distinct(F.regexp_extract_all(combined, F.lit("(?iu)" + unicode_pattern(V.REFERENCE_NUMBER_PATTERN)), F.lit(1)))
 
 
 def price_candidates(combined, excluded) -> Column:
-    found = F.regexp_extract_all(combined, F.lit("(?U)" + V.PRICE_PATTERN), F.lit(1))
+    found = F.regexp_extract_all(combined, F.lit(unicode_pattern(V.PRICE_PATTERN)), F.lit(1))
 
     def allowed(p):
         clean = F.replace(p, F.lit(","), F.lit(""))
@@ -104,7 +105,7 @@ def price_candidates(combined, excluded) -> Column:
 
 def stated_total(combined) -> Column:
     """The number after the first total word, NULL when it is unreadable or out of range."""
-    raw = F.regexp_extract(combined, "(?iU)" + V.TOTAL_PATTERN, 1)
+    raw = F.regexp_extract(combined, "(?iu)" + unicode_pattern(V.TOTAL_PATTERN), 1)
     text = strip(F.replace(F.replace(raw, F.lit(","), F.lit("")), F.lit(" "), F.lit("")))
     value = F.when(text.rlike(r"^[0-9]+(\.[0-9]{2})?$"), text.try_cast("double"))
     return F.when(value.between(V.TOTAL_MIN, V.PRICE_MAX), value)
