@@ -351,7 +351,7 @@ sql("C7_keyword_brand", [_b[1]], f"SELECT bill_id, {first_case([(f'contains(lowe
 sql("B8_purchase_date", [_b[3]], f"""SELECT bill_key AS bill_id, purchase_date,
   coalesce(CAST(try_strptime(purchase_date, '%Y-%m-%d') AS DATE), {BILL_DAY}) AS parsed FROM {_b[3]}""")
 sql("B9_B10_price", [_b[3]], f"""SELECT bill_key AS bill_id, array_to_string(list_sort(excluded), ',') AS excluded,
-  CAST(len(candidates) AS INTEGER) AS n_candidates, list_max(candidates) AS max_candidate, price_paid FROM {_b[3]}""")
+  len(candidates) > 0 AS has_candidates, list_max(candidates) AS max_candidate, price_paid FROM {_b[3]}""")
 ORACLE["B13_input_choice"] = """SELECT conv_id, turn, CASE WHEN length(o) > 15 THEN o ELSE lower('Invoice_iPhone15_' || role || '.JPG Bought on Amazon') END AS chosen
 FROM (SELECT *, split_part(text, '.', 1) AS o FROM conversations)"""
 _d = bill_views("documents", "doc_id", "coalesce(text, '')", "''", "v_doc_")

@@ -356,7 +356,7 @@ def B8_purchase_date(spark, sf):
 def B9_B10_price(spark, sf):
     parts = bills.bill_parts(X.v_bill_text(spark, sf), "text", "caption", X.BILL_AS_OF)
     return parts.select("bill_id", F.array_join(F.array_sort("b_excluded"), ",").alias("excluded"),
-                        F.size("b_candidates").alias("n_candidates"), F.array_max("b_candidates").alias("max_candidate"),
+                        (F.size("b_candidates") > 0).alias("has_candidates"), F.array_max("b_candidates").alias("max_candidate"),
                         F.col("b_price_paid").alias("price_paid"))
 
 

@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from coverlens import fixed_values as V
 from coverlens.functions.answers import parse_answer
 from coverlens.functions.dates import day, strict_iso_date
-from coverlens.functions.text import (contains_any, first_group, first_hit, non_blank_lines, strip, title_case,
-                                      unicode_pattern)
+from coverlens.functions.text import contains_any, first_hit, non_blank_lines, strip, title_case, unicode_pattern
 
 BILL_FIELDS = ["image_type", "product_name", "brand", "category", "retailer", "purchase_date", "price_paid",
                "serial_no", "warranty_months", "is_food_receipt", "detected_issue", "is_claimable_verdict",
@@ -30,15 +29,6 @@ def keyword_brand(lower) -> Column:
                       pair(V.UNKNOWN_BRAND, V.GENERAL_CATEGORY))
 
 
-def iphone_name(lower, combined) -> Column:
-    base = first_group(lower, V.IPHONE_PATTERN)
-    storage = F.replace(F.upper(first_group(combined, "(?iu)" + V.STORAGE_PATTERN)), F.lit(" "), F.lit(""))
-    colour = title_case(first_group(lower, "(" + "|".join(V.IPHONE_COLOURS) + ")"))
-    details = F.array_compact(F.array(storage, colour))
-    suffix = F.when(F.size(details) > 0, F.concat(F.lit(" ("), F.array_join(details, ", "), F.lit(")")))
-    return F.concat(F.lit("Apple "), title_case(base), F.coalesce(suffix, F.lit("")))
-
-
 def item_line(lines) -> Column:
     """The line after the first header line that is followed by a usable item."""
     def usable(line, i):
@@ -48,11 +38,6 @@ def item_line(lines) -> Column:
     return F.get(F.filter(lines, usable), F.lit(0))
 
 
-def serial_number(combined) -> Column:
-    return F.coalesce(first_group(combined, "(?iu)" + V.LABELLED_SERIAL_PATTERN),
-                      first_group(combined, V.BARE_IMEI_PATTERN))
-
-
 def shop_line(lines) -> Column:
     """First of the top six lines that can be a shop name."""
     def plausible(line):
@@ -65,111 +50,108 @@ def shop_line(lines) -> Column:
     return F.get(F.filter(F.slice(lines, 1, 6), plausible), F.lit(0))
 
 
-def retailer_name(lower, lines, food, brand) -> Column:
-    named = [(lower.contains(w), F.lit(r)) for w, r in V.RETAILER_WORDS]
-    burger = (food & contains_any(lower, V.BURGER_SHOP_WORDS), F.lit(V.BURGER_SHOP))
-    found = F.coalesce(first_hit(named + [burger]), shop_line(lines), F.lit(V.DEFAULT_RETAILER))
-    own = (found == V.DEFAULT_RETAILER) & (brand != V.UNKNOWN_BRAND)
-    return F.when(own, F.concat(brand, F.lit(" Retail Store"))).otherwise(found)
-
-
-def purchase_day_text(combined, as_of) -> Column:
-    """Purchase date as text: the first day-month-year if plausible, else an ISO date, else ``as_of``.
-
-    The text may name a day that does not exist; it is checked where it is read.
-    """
-    d, m, y = (F.split(first_group(combined, V.DAY_MONTH_YEAR_PATTERN, 0), "[-/.]")[i] for i in range(3))
-    plausible = (d.cast("int") <= 31) & (m.cast("int") <= 12) & y.cast("int").between(2000, 2030)
-    dmy = F.when(plausible, F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0")))
-    iso = F.translate(first_group(combined, V.ISO_DATE_PATTERN, 0), "/.", "--")
-    return F.coalesce(dmy, iso, F.date_format(day(as_of), "yyyy-MM-dd"))
-
-
-def excluded_numbers(combined) -> Column:
+def excluded_numbers(lower) -> Column:
     """Order, invoice, phone and table numbers: never a price."""
-    return F.array_distinct(F.regexp_extract_all(combined, F.lit("(?iu)" + unicode_pattern(V.REFERENCE_NUMBER_PATTERN)), F.lit(1)))
-
+    return F.array_distinct(F.regexp_extract_all(lower, F.lit(unicode_pattern(V.REFERENCE_NUMBER_PATTERN)), F.lit(1)))
 
-def price_candidates(combined, excluded) -> Column:
-    found = F.regexp_extract_all(combined, F.lit(unicode_pattern(V.PRICE_PATTERN)), F.lit(1))
 
-    def allowed(p):
-        clean = F.replace(p, F.lit(","), F.lit(""))
-        value = clean.try_cast("double")
-        pin_code = value.between(*V.PIN_CODE_RANGE) & ~p.contains(".")
-        return (~F.array_contains(excluded, clean) & value.between(V.PRICE_MIN, V.PRICE_MAX)
-                & (F.length(F.split_part(clean, F.lit("."), F.lit(1))) <= 6) & ~pin_code)
-    return F.transform(F.filter(found, allowed),
-                       lambda p: F.replace(p, F.lit(","), F.lit("")).try_cast("double"))
+def price_candidates(found, excluded) -> Column:
+    """Distinct numbers that can be a price. The largest allowed value also limits the digits to six.
 
-
-def stated_total(combined) -> Column:
-    """The number after the first total word, NULL when it is unreadable or out of range."""
-    raw = F.regexp_extract(combined, "(?iu)" + unicode_pattern(V.TOTAL_PATTERN), 1)
-    text = strip(F.replace(F.replace(raw, F.lit(","), F.lit("")), F.lit(" "), F.lit("")))
-    value = F.when(text.rlike(r"^[0-9]+(\.[0-9]{2})?$"), text.try_cast("double"))
-    return F.when(value.between(V.TOTAL_MIN, V.PRICE_MAX), value)
-
-
-def bill_price(candidates, total) -> Column:
-    """The stated total, else the largest candidate; without candidates there is no price."""
-    return F.when(F.size(candidates) > 0, F.coalesce(total, F.array_max(candidates)))
-
-
-def cover_months(lower, food) -> Column:
-    years = first_group(lower, V.YEARS_PATTERN).cast("int")
-    out = F.when(food, 0).when(years.isNotNull(), years * 12)
-    for phrase, months in V.MONTH_PHRASES:
-        out = out.when(lower.contains(phrase), months)
-    return (out.when(contains_any(lower, V.LONG_COVER_WORDS), V.LONG_COVER_MONTHS)
-            .otherwise(V.DEFAULT_WARRANTY_MONTHS))
+    The excluded numbers are taken off as a whole array: inside a lambda the
+    optimizer would move their pattern into the loop over the numbers.
+    """
+    low, high = (str(n) for n in V.PIN_CODE_RANGE)
+    texts = F.array_except(F.transform(found, lambda p: F.translate(p, ",", "")), excluded)
+    prices = F.filter(texts, lambda t: ~((F.length(t) == len(low)) & t.between(low, high)))
+    values = F.transform(prices, lambda t: t.try_cast("double"))
+    return F.filter(values, lambda v: (v >= V.PRICE_MIN) & (v <= V.PRICE_MAX))
 
 
 def bill_parts(df: DataFrame, text_col: str, caption_col: str | None, as_of) -> DataFrame:
     """All columns of the bill record next to the input columns, prefixed ``b_``.
 
-    Also gives the working parts: ``b_excluded`` and ``b_candidates``.
+    Every pattern runs once per row: captures come first, as columns of their
+    own, and what is derived from them refers to those columns. Patterns that
+    ignore case run on the lower-cased text. Captures are '' without a match.
     """
     c = F.col
+
+    def capture(source, pattern, group=1, flags=""):
+        return F.regexp_extract(source, flags + unicode_pattern(pattern), group)
+
     ocr = F.coalesce(c(text_col), F.lit(""))
     caption = F.coalesce(c(caption_col), F.lit("")) if caption_col else F.lit("")
     df = df.withColumn("b_text", strip(F.concat(ocr, F.lit("\n"), caption))).withColumn("b_lines", non_blank_lines(ocr))
     df = df.withColumn("b_lower", F.lower("b_text"))
     df = df.withColumns({
         "b_known": keyword_brand(c("b_lower")),
-        "b_iphone": iphone_name(c("b_lower"), c("b_text")),
-        "b_galaxy": F.concat(F.lit("Samsung "), strip(title_case(first_group("b_lower", V.GALAXY_PATTERN)))),
-        "b_airdopes": F.concat(F.lit("boAt "), title_case(first_group("b_lower", V.AIRDOPES_PATTERN))),
+        "b_iphone": capture("b_lower", V.IPHONE_PATTERN),
+        "b_galaxy": capture("b_lower", V.GALAXY_PATTERN),
+        "b_airdopes": capture("b_lower", V.AIRDOPES_PATTERN),
         "b_grooming": contains_any("b_lower", V.GROOMING_WORDS),
         "b_is_food_receipt": contains_any("b_lower", V.FOOD_WORDS),
-        "b_excluded": excluded_numbers(c("b_text")),
+        "b_excluded": excluded_numbers(c("b_lower")),
+        "b_numbers": F.regexp_extract_all("b_text", F.lit(unicode_pattern(V.PRICE_PATTERN)), F.lit(1)),
+        "b_total": strip(F.translate(capture("b_lower", V.TOTAL_PATTERN), ", ", "")),
+        "b_years": capture("b_lower", V.YEARS_PATTERN),
+        "b_labelled": capture("b_text", V.LABELLED_SERIAL_PATTERN, flags="(?iu)"),
+        "b_dmy": F.split(capture("b_text", V.DAY_MONTH_YEAR_PATTERN, 0), "[-/.]"),
     })
+    is_iphone, is_galaxy, is_airdopes = (c(f"b_{m}") != "" for m in ("iphone", "galaxy", "airdopes"))
+    storage = F.nullif(F.upper(F.replace(capture("b_lower", V.STORAGE_PATTERN), F.lit(" "), F.lit(""))), F.lit(""))
+    colour = F.nullif(title_case(capture("b_lower", "(" + "|".join(V.IPHONE_COLOURS) + ")")), F.lit(""))
 
     def by_model(apple, samsung, boat, other):
-        return (F.when(c("b_iphone").isNotNull(), F.lit(apple)).when(c("b_galaxy").isNotNull(), F.lit(samsung))
-                .when(c("b_airdopes").isNotNull(), F.lit(boat)).otherwise(other))
-    trimmer = c("b_grooming")
+        return F.when(is_iphone, apple).when(is_galaxy, samsung).when(is_airdopes, boat).otherwise(other)
     df = df.withColumns({
-        "b_model": F.coalesce("b_iphone", "b_galaxy", "b_airdopes"),
+        "b_details": F.when(is_iphone, F.array_join(F.array(storage, colour), ", ")),
         "b_brand0": by_model("Apple", "Samsung", "boAt", c("b_known.brand")),
         "b_category0": by_model("Smartphone", "Smartphone", "Wearable",
-                                F.when(trimmer, "Personal Care").otherwise(c("b_known.category"))),
-        "b_candidates": price_candidates(c("b_text"), c("b_excluded")),
+                                F.when(c("b_grooming"), "Personal Care").otherwise(c("b_known.category"))),
+        "b_candidates": price_candidates(c("b_numbers"), c("b_excluded")),
+        "b_stated": F.when(c("b_total").rlike(r"^[0-9]+(\.[0-9]{2})?$"), c("b_total").try_cast("double")),
+        "b_day": F.get("b_dmy", F.lit(0)).try_cast("int"), "b_month": F.get("b_dmy", F.lit(1)).try_cast("int"),
+        "b_year": F.get("b_dmy", F.lit(2)).try_cast("int"),
+    })
+    known_brand = c("b_brand0") != V.UNKNOWN_BRAND
+
+    def branded(text):
+        return F.when(known_brand, F.concat("b_brand0", F.lit(" " + text)))
+    kit = F.coalesce(branded("Trimmer / Grooming Kit"), F.lit("Trimmer / Grooming Kit"))
+    details = F.when(c("b_details") != "", F.concat(F.lit(" ("), "b_details", F.lit(")"))).otherwise("")
+    named_shops = [(c("b_lower").contains(w), F.lit(r)) for w, r in V.RETAILER_WORDS]
+    burger_shop = (c("b_is_food_receipt") & contains_any("b_lower", V.BURGER_SHOP_WORDS), F.lit(V.BURGER_SHOP))
+    plausible = (c("b_day") <= 31) & (c("b_month") <= 12) & c("b_year").between(2000, 2030)
+    iso = F.nullif(F.translate(capture("b_text", V.ISO_DATE_PATTERN, 0), "/.", "--"), F.lit(""))
+    df = df.withColumns({
+        "b_name0": by_model(
+            F.concat(F.lit("Apple "), title_case("b_iphone"), details),
+            F.concat(F.lit("Samsung "), strip(title_case("b_galaxy"))),
+            F.concat(F.lit("boAt "), title_case("b_airdopes")),
+            F.when(c("b_grooming"), kit)
+            .otherwise(F.coalesce(item_line(c("b_lines")), branded("Device"), F.lit(V.DEFAULT_PRODUCT)))),
+        "b_shop": F.coalesce(first_hit(named_shops + [burger_shop]), shop_line(c("b_lines")), F.lit(V.DEFAULT_RETAILER)),
+        "b_purchase_date": F.coalesce(
+            F.when(plausible, F.format_string("%d-%02d-%02d", "b_year", "b_month", "b_day")), iso,
+            F.date_format(day(as_of), "yyyy-MM-dd")),
     })
-    branded = c("b_brand0") != V.UNKNOWN_BRAND
-    kit = F.concat(F.when(branded, F.concat("b_brand0", F.lit(" "))).otherwise(""), F.lit("Trimmer / Grooming Kit"))
-    device = F.when(branded, F.concat("b_brand0", F.lit(" Device"))).otherwise(V.DEFAULT_PRODUCT)
-    df = df.withColumn("b_name0", F.coalesce("b_model", F.when(trimmer, kit), item_line(c("b_lines")), device))
     food_only = c("b_is_food_receipt") & (c("b_name0") == V.DEFAULT_PRODUCT)
+    months = F.when(c("b_is_food_receipt"), 0).when(c("b_years") != "", c("b_years").try_cast("int") * 12)
+    for phrase, n in V.MONTH_PHRASES:
+        months = months.when(c("b_lower").contains(phrase), n)
+    total = F.when(c("b_stated").between(V.TOTAL_MIN, V.PRICE_MAX), c("b_stated"))
     return df.withColumns({
         "b_product_name": F.when(food_only, V.FOOD_PRODUCT).otherwise(c("b_name0")),
         "b_brand": F.when(food_only, V.FOOD_BRAND).otherwise(c("b_brand0")),
         "b_category": F.when(food_only, V.FOOD_CATEGORY).otherwise(c("b_category0")),
-        "b_retailer": retailer_name(c("b_lower"), c("b_lines"), c("b_is_food_receipt"), c("b_brand0")),
-        "b_purchase_date": purchase_day_text(c("b_text"), as_of),
-        "b_price_paid": bill_price(c("b_candidates"), stated_total(c("b_text"))),
-        "b_serial_no": serial_number(c("b_text")),
-        "b_warranty_months": cover_months(c("b_lower"), c("b_is_food_receipt")),
+        "b_retailer": F.when(c("b_shop") == V.DEFAULT_RETAILER, F.coalesce(branded("Retail Store"), "b_shop"))
+        .otherwise(c("b_shop")),
+        "b_price_paid": F.when(F.size("b_candidates") > 0, F.coalesce(total, F.array_max("b_candidates"))),
+        "b_serial_no": F.coalesce(F.nullif("b_labelled", F.lit("")),
+                                  F.nullif(capture("b_text", V.BARE_IMEI_PATTERN), F.lit(""))),
+        "b_warranty_months": months.when(contains_any("b_lower", V.LONG_COVER_WORDS), V.LONG_COVER_MONTHS)
+        .otherwise(V.DEFAULT_WARRANTY_MONTHS),
         "b_detected_issue": F.lit(None).cast("string"),
         **{f"b_{n}": F.lit(v) for n, v in V.BILL_CONSTANTS.items()},
     })
