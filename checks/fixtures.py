@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from coverlens import fixed_values as V
 from coverlens.functions.dates import expiry_date
+from coverlens.sources.tables import deal_out
 
 AS_OF = datetime.date(2000, 1, 1)
 BILL_AS_OF = datetime.date(2026, 1, 1)
@@ -63,6 +64,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def dealt(spark, sf, name):
+    """A table for heavy work on each row; the small test files are dealt out to all cores."""
+    return deal_out(table(spark, sf, name))
+
+
 def pick(values, n):
     return F.element_at(F.array(*[F.lit(v) for v in values]), (n % len(values) + 1).cast("int"))
 
@@ -134,7 +140,7 @@ def v_bill_text(spark, sf):
 
 def v_issue_text(spark, sf):
     e = F.col("event_id")
-    return table(spark, sf, "events").select(
+    return dealt(spark, sf, "events").select(
         "event_id", "user_id", pick(ISSUES, e).alias("issue"), pick(BRANDS, F.col("user_id")).alias("brand"),
         pick(ISSUE_CATEGORIES, e).alias("category"),
         F.when(e % 11 != 0, (e % 800).cast("int")).alias("days_since_purchase"))
@@ -146,7 +152,7 @@ def v_messages(spark, sf):
 
 def v_model_json(spark, sf):
     e = F.col("event_id")
-    return table(spark, sf, "events").select(F.floor(e / 3).alias("bill_id"), (e % 3).cast("int").alias("engine_rank"),
+    return dealt(spark, sf, "events").select(F.floor(e / 3).alias("bill_id"), (e % 3).cast("int").alias("engine_rank"),
                                              pick(ANSWERS, F.floor(e / 2)).alias("answer"))
 
 

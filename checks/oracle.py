@@ -268,6 +268,10 @@ LEFT JOIN {SUPPORT.replace('AS t(', 'AS g(')} ON contains(lower(i.issue), g.key)
 QUALIFY row_number() OVER (PARTITION BY i.event_id ORDER BY s.ord, g.ord) = 1""")
 
 # --- bill text
+def words(options):
+    return f"(?:{'|'.join(options)})"
+
+
 def bill_views(source, key, ocr, caption, prefix):
     """Views of the bill record over any table of texts."""
     x = lit
@@ -292,14 +296,14 @@ def bill_views(source, key, ocr, caption, prefix):
     iso = f"regexp_extract(tx, {x(V.ISO_DATE_PATTERN)}, {{}})"
     clean = "replace(p, ',', '')"
     value = f"CAST({clean} AS DOUBLE)"
-    raw = f"regexp_extract(tx, {x('(?i)' + V.TOTAL_PATTERN)}, 1)"
+    raw = f"regexp_extract(tx, {x("(?i)" + words(V.TOTAL_WORDS) + V.TOTAL_PATTERN)}, 1)"
     total_text = strip(f"replace(replace({raw}, ',', ''), ' ', '')")
     names = [f"{prefix}{i}" for i in range(4)]
     VIEWS[names[0]] = f"""SELECT *, lower(tx) AS lo FROM (SELECT {key} AS bill_key, {strip(f"{ocr} || chr(10) || {caption}")} AS tx,
   [{strip('l')} for l in string_split({ocr}, chr(10)) if {strip('l')} <> ''] AS ln FROM {source})"""
     VIEWS[names[1]] = f"""SELECT *, {brand} AS kb, {category} AS kc, {iphone} AS ip, {galaxy} AS ga, {airdopes} AS ai,
   {any_of('lo', V.GROOMING_WORDS)} AS gr, {any_of('lo', V.FOOD_WORDS)} AS food, {storage} AS st, {colour} AS co,
-  list_distinct(regexp_extract_all(tx, {x('(?i)' + V.REFERENCE_NUMBER_PATTERN)}, 1)) AS excluded,
+  list_distinct(regexp_extract_all(tx, {x("(?i)" + words(V.REFERENCE_WORDS) + V.REFERENCE_NUMBER_PATTERN)}, 1)) AS excluded,
   regexp_extract_all(tx, {x(V.PRICE_PATTERN)}, 1) AS prices,
   CASE WHEN regexp_matches({total_text}, '^[0-9]+(\\.[0-9]{{2}})?$') THEN TRY_CAST({total_text} AS DOUBLE) END AS total,
   {group(lower, V.YEARS_PATTERN)} AS years FROM {names[0]}"""
@@ -327,7 +331,7 @@ FROM {names[1]}"""
     ELSE {x(X.BILL_AS_OF.isoformat())} END AS purchase_date,
   excluded, candidates,
   CASE WHEN len(candidates) > 0 THEN CASE WHEN total BETWEEN 100 AND 500000 THEN total ELSE list_max(candidates) END END AS price_paid,
-  coalesce({group('tx', V.LABELLED_SERIAL_PATTERN, '(?i)')}, {group('tx', V.BARE_IMEI_PATTERN)}) AS serial_no,
+  coalesce({group('tx', words(V.SERIAL_WORDS) + V.LABELLED_SERIAL_PATTERN, '(?i)')}, {group('tx', V.BARE_IMEI_PATTERN)}) AS serial_no,
   CASE WHEN food THEN 0 WHEN years IS NOT NULL THEN CAST(years AS INTEGER) * 12 WHEN contains(lo, '3 month') THEN 3
     WHEN contains(lo, '6 month') THEN 6 WHEN contains(lo, 'compressor') OR contains(lo, 'motor') THEN 120 ELSE 12 END AS warranty_months
 FROM (SELECT *, CASE {' '.join(f"WHEN contains(lo, {x(w)}) THEN {x(r)}" for w, r in V.RETAILER_WORDS)}

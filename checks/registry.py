@@ -382,7 +382,7 @@ def B13_input_choice(spark, sf):
 @query
 def B1_on_documents(spark, sf):
     """The whole record from long free texts."""
-    d = X.table(spark, sf, "documents").select("doc_id", "text")
+    d = X.dealt(spark, sf, "documents").select("doc_id", "text")
     b = bills.extract_bill(d, "text", None, X.BILL_AS_OF)
     return b.select("doc_id", *[F.col(f"bill.{f}").alias(f) for f in
                                 ("brand", "category", "serial_no", "purchase_date", "warranty_months",
@@ -414,7 +414,7 @@ def J2_answer_text(spark, sf):
 
 
 def _docs(spark, sf):
-    return X.table(spark, sf, "documents").select("doc_id", "text")
+    return X.dealt(spark, sf, "documents").select("doc_id", "text")
 
 
 @query
@@ -424,7 +424,7 @@ def T1_redact_pii(spark, sf):
 
 @query
 def T2_sanitize_text(spark, sf):
-    pages = X.table(spark, sf, "pages")
+    pages = X.dealt(spark, sf, "pages")
     return pages.select("page_id", text.sanitize_text("html").alias("safe"),
                         text.sanitize_text("html", V.SHORT_TEXT_MAX_CHARS).alias("short_safe"))
 

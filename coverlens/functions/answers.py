@@ -1,7 +1,7 @@
 """Model answers: chat envelope to text, text to a typed record."""
 from pyspark.sql import Column, functions as F, types as T
 
-from coverlens.functions.text import WHITESPACE, as_col, strip
+from coverlens.functions.text import as_col, bind, strip
 from coverlens.schemas import ANSWER
 
 _CHECKED = T.StructType(ANSWER.fields + [T.StructField("_broken", T.StringType())])
@@ -20,24 +20,28 @@ def _one_value(c) -> Column:
 
 def unfenced(c) -> Column:
     """The text without a Markdown code fence around it."""
-    c = strip(c)
-    body = F.regexp_replace(F.regexp_replace(c, r"^```(?:json)?\s*", ""), r"\s*```$", "")
-    return F.when(c.startswith("```"), body).otherwise(c)
+    def body(t):
+        return F.regexp_replace(F.regexp_replace(t, r"^```(?:json)?\s*", ""), r"\s*```$", "")
+    return bind(strip(c), lambda t: F.when(t.startswith("```"), body(t)).otherwise(t))
+
+
+def _object_span(clean) -> Column:
+    """The part of the text to read as an object, NULL when there is none."""
+    head = F.instr(clean, "{")
+    tail = F.length(clean) - F.instr(F.reverse(clean), "}") + 1
+    return (F.when(clean.startswith("{") & clean.endswith("}"), clean)
+            .when((head > 0) & clean.contains("}") & (tail > head) & ~_one_value(clean),
+                  clean.substr(head, tail - head + 1)))
 
 
 def parse_answer(c) -> Column:
     """Answer text to a record of strings, NULL when no JSON object can be read.
 
     The text as a whole comes first, then the span from its first to its last
-    brace. A text that is valid JSON but no object gives NULL.
+    brace. A text that is valid JSON but no object gives NULL. Every step is
+    bound, so that a text is parsed once and not once per field.
     """
-    clean = unfenced(c)
-    head = F.instr(clean, "{")
-    tail = F.length(clean) - F.instr(F.reverse(clean), "}") + 1
-    whole = clean.startswith("{") & clean.endswith("}")
-    span = F.when(whole, clean).when(
-        (head > 0) & clean.contains("}") & (tail > head) & ~_one_value(clean),
-        clean.substr(head, tail - head + 1))
-    record = F.from_json(span, _CHECKED, _OPTIONS)
-    ok = _one_value(span) & record["_broken"].isNull()
-    return F.when(ok, F.struct(*[record[f].alias(f) for f in ANSWER.fieldNames()]))
+    def checked(span):
+        return bind(F.from_json(span, _CHECKED, _OPTIONS), lambda r: F.when(
+            r["_broken"].isNull(), F.struct(*[r[f].alias(f) for f in ANSWER.fieldNames()])))
+    return bind(unfenced(c), lambda clean: bind(_object_span(clean), lambda span: F.when(_one_value(span), checked(span))))

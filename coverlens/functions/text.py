@@ -55,9 +55,10 @@ def unicode_pattern(pattern):
     return pattern
 
 
-def first_group(c, pattern, group=1) -> Column:
-    """Capture of the first match, NULL when there is none."""
-    return F.nullif(F.regexp_extract(as_col(c), unicode_pattern(pattern), group), F.lit(""))
+def after_words(words, pattern):
+    """A pattern behind one of some words. The first letters are looked at first: most positions end there."""
+    letters = "".join(sorted({w[0] for w in words}))
+    return f"(?=[{letters}])(?:{'|'.join(words)})" + pattern
 
 
 def title_case(c) -> Column:
@@ -67,13 +68,26 @@ def title_case(c) -> Column:
 
 
 def non_blank_lines(c) -> Column:
-    lines = F.transform(F.split(as_col(c), "\n", -1), strip)
-    return F.filter(lines, lambda x: x != "")
+    """Trimmed lines with their lower-case form, as an array of (line, low)."""
+    lines = F.filter(F.transform(F.split(as_col(c), "\n", -1), strip), lambda x: x != "")
+    return F.transform(lines, lambda x: F.struct(x.alias("line"), F.lower(x).alias("low")))
+
+
+def bind(value, use) -> Column:
+    """``use(value)`` with the value computed once per row, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def redact_pii(c) -> Column:
+    """Masks long numbers, then mail addresses.
+
+    A mail address starts where its run of characters starts, so other
+    positions need not be tried; texts without an @ are left alone.
+    """
+    run_start = r"(?<![\p{L}\p{N}_\.-])"
     c = F.regexp_replace(F.coalesce(as_col(c), F.lit("")), unicode_pattern(V.LONG_NUMBER_PATTERN), V.LONG_NUMBER_MASK)
-    return F.regexp_replace(c, unicode_pattern(V.EMAIL_PATTERN), V.EMAIL_MASK)
+    return bind(c, lambda t: F.when(t.contains("@"), F.regexp_replace(t, run_start + unicode_pattern(V.EMAIL_PATTERN),
+                                                                      V.EMAIL_MASK)).otherwise(t))
 
 
 def sanitize_text(c, max_len=V.TEXT_MAX_CHARS) -> Column:

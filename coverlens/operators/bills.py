@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from coverlens import fixed_values as V
 from coverlens.functions.answers import parse_answer
 from coverlens.functions.dates import day, strict_iso_date
-from coverlens.functions.text import contains_any, first_hit, non_blank_lines, strip, title_case, unicode_pattern
+from coverlens.functions.text import (after_words, contains_any, first_hit, non_blank_lines, strip, title_case,
+                                      unicode_pattern)
 
 BILL_FIELDS = ["image_type", "product_name", "brand", "category", "retailer", "purchase_date", "price_paid",
                "serial_no", "warranty_months", "is_food_receipt", "detected_issue", "is_claimable_verdict",
@@ -31,28 +32,28 @@ def keyword_brand(lower) -> Column:
 
 def item_line(lines) -> Column:
     """The line after the first header line that is followed by a usable item."""
-    def usable(line, i):
-        header = contains_any(F.lower(F.get(lines, i - 1)), V.ITEM_HEADER_WORDS)
-        return ((i > 0) & header & (F.length(line) > 3) & ~line.rlike(unicode_pattern(r"^\d+$"))
-                & ~contains_any(F.lower(line), V.NOT_AN_ITEM_WORDS))
-    return F.get(F.filter(lines, usable), F.lit(0))
+    def usable(x, i):
+        return ((i > 0) & contains_any(F.get(lines, i - 1)["low"], V.ITEM_HEADER_WORDS) & (F.length(x["line"]) > 3)
+                & ~contains_any(x["low"], V.NOT_AN_ITEM_WORDS) & ~x["line"].rlike(unicode_pattern(r"^\d+$")))
+    return F.get(F.filter(lines, usable), F.lit(0))["line"]
 
 
 def shop_line(lines) -> Column:
     """First of the top six lines that can be a shop name."""
-    def plausible(line):
-        low = F.lower(line)
-        kept = strip(F.regexp_replace(line, r"[^a-zA-Z0-9\s\x1c-\x1f\x85\p{Z}]", ""))
-        return (~low.isin(V.BILL_TITLE_LINES)
-                & (F.length(F.regexp_replace(kept, "[^0-9]", "")) < 8)
-                & ~contains_any(low, V.RETAILER_NOISE_WORDS)
-                & (F.length(kept) >= 4) & ~contains_any(low, V.RETAILER_PLACE_WORDS))
-    return F.get(F.filter(F.slice(lines, 1, 6), plausible), F.lit(0))
+    def with_kept(x):
+        kept = strip(F.regexp_replace(x["line"], r"[^a-zA-Z0-9\s\x1c-\x1f\x85\p{Z}]", ""))
+        return F.struct(x["line"].alias("line"), x["low"].alias("low"), kept.alias("kept"))
+
+    def plausible(x):
+        return (~x["low"].isin(V.BILL_TITLE_LINES) & (F.length(x["kept"]) >= 4)
+                & (F.length(F.regexp_replace(x["kept"], "[^0-9]", "")) < 8)
+                & ~contains_any(x["low"], V.RETAILER_NOISE_WORDS) & ~contains_any(x["low"], V.RETAILER_PLACE_WORDS))
+    return F.get(F.filter(F.transform(F.slice(lines, 1, 6), with_kept), plausible), F.lit(0))["line"]
 
 
 def excluded_numbers(lower) -> Column:
     """Order, invoice, phone and table numbers: never a price."""
-    return F.array_distinct(F.regexp_extract_all(lower, F.lit(unicode_pattern(V.REFERENCE_NUMBER_PATTERN)), F.lit(1)))
+    return F.array_distinct(F.regexp_extract_all(lower, F.lit(unicode_pattern(after_words(V.REFERENCE_WORDS, V.REFERENCE_NUMBER_PATTERN))), F.lit(1)))
 
 
 def price_candidates(found, excluded) -> Column:
@@ -80,22 +81,26 @@ def bill_parts(df: DataFrame, text_col: str, caption_col: str | None, as_of) ->
     def capture(source, pattern, group=1, flags=""):
         return F.regexp_extract(source, flags + unicode_pattern(pattern), group)
 
+    def capture_with(word, pattern):
+        """A plain search for the word is far cheaper than the pattern it is part of."""
+        return F.when(c("b_lower").contains(word), capture("b_lower", pattern)).otherwise("")
+
     ocr = F.coalesce(c(text_col), F.lit(""))
     caption = F.coalesce(c(caption_col), F.lit("")) if caption_col else F.lit("")
     df = df.withColumn("b_text", strip(F.concat(ocr, F.lit("\n"), caption))).withColumn("b_lines", non_blank_lines(ocr))
     df = df.withColumn("b_lower", F.lower("b_text"))
     df = df.withColumns({
         "b_known": keyword_brand(c("b_lower")),
-        "b_iphone": capture("b_lower", V.IPHONE_PATTERN),
-        "b_galaxy": capture("b_lower", V.GALAXY_PATTERN),
-        "b_airdopes": capture("b_lower", V.AIRDOPES_PATTERN),
+        "b_iphone": capture_with("iphone", V.IPHONE_PATTERN),
+        "b_galaxy": capture_with("galaxy", V.GALAXY_PATTERN),
+        "b_airdopes": capture_with("airdopes", V.AIRDOPES_PATTERN),
         "b_grooming": contains_any("b_lower", V.GROOMING_WORDS),
         "b_is_food_receipt": contains_any("b_lower", V.FOOD_WORDS),
         "b_excluded": excluded_numbers(c("b_lower")),
         "b_numbers": F.regexp_extract_all("b_text", F.lit(unicode_pattern(V.PRICE_PATTERN)), F.lit(1)),
-        "b_total": strip(F.translate(capture("b_lower", V.TOTAL_PATTERN), ", ", "")),
-        "b_years": capture("b_lower", V.YEARS_PATTERN),
-        "b_labelled": capture("b_text", V.LABELLED_SERIAL_PATTERN, flags="(?iu)"),
+        "b_total": strip(F.translate(capture("b_lower", after_words(V.TOTAL_WORDS, V.TOTAL_PATTERN)), ", ", "")),
+        "b_years": capture_with("year", V.YEARS_PATTERN),
+        "b_labelled": capture("b_text", after_words(V.SERIAL_WORDS, V.LABELLED_SERIAL_PATTERN), flags="(?iu)"),
         "b_dmy": F.split(capture("b_text", V.DAY_MONTH_YEAR_PATTERN, 0), "[-/.]"),
     })
     is_iphone, is_galaxy, is_airdopes = (c(f"b_{m}") != "" for m in ("iphone", "galaxy", "airdopes"))

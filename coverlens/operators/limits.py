@@ -1,7 +1,6 @@
 """Request limits: sliding demand and the limiter itself."""
 import collections
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -30,33 +29,40 @@ def request_rate(events: DataFrame, seconds: float) -> DataFrame:
             .where(F.col("_slice") == F.col("_own")).drop("_us", "_own", "_slice"))
 
 
-def sliding_fold(times, kept, max_requests, width):
-    """Decision per request in order; ``kept`` are the accepted times still in the window."""
-    kept = collections.deque(kept)
-    accepted = np.empty(len(times), dtype=bool)
-    for i, now in enumerate(times):
-        while kept and kept[0] <= now - width:
-            kept.popleft()
-        accepted[i] = len(kept) < max_requests
-        if accepted[i]:
-            kept.append(now)
-    return accepted, list(kept)
+def admit(kept, now, max_requests, width):
+    """Decision on one request; ``kept`` are the accepted times still in the window."""
+    while kept and kept[0] <= now - width:
+        kept.popleft()
+    accepted = len(kept) < max_requests
+    if accepted:
+        kept.append(now)
+    return accepted
 
 
 _DECISIONS = "user_id long, _seg long, _us long, event_id long, accepted boolean, carried boolean"
 
 
 def _decide(max_requests, width):
-    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
-        user, seg = int(pdf["user_id"].iloc[0]), int(pdf["_seg"].iloc[0])
-        state = sorted(pdf.loc[pdf["carried"], "_us"])
-        rows = pdf[~pdf["carried"]].sort_values(["_us", "event_id"])
-        accepted, kept = sliding_fold(rows["_us"].tolist(), state, max_requests, width)
-        out = pd.DataFrame({"_us": rows["_us"].to_numpy(), "event_id": rows["event_id"].to_numpy(),
-                            "accepted": accepted, "carried": False})[rows["contested"].to_numpy(dtype=bool)]
-        left = pd.DataFrame({"_us": kept, "event_id": -1, "accepted": True, "carried": True})
-        out = pd.concat([out, left]).astype({"_us": "int64", "event_id": "int64"})
-        return out.assign(user_id=user, _seg=seg)[["user_id", "_seg", "_us", "event_id", "accepted", "carried"]]
+    """Folds batches of rows sorted by (user_id, _seg, _us, event_id); carried times come first."""
+    def decide(batches):
+        stretch, kept = None, collections.deque()
+        for pdf in batches:
+            out = []
+            for user, seg, now, event, contested, carried in pdf.itertuples(index=False, name=None):
+                if (user, seg) != stretch:
+                    if stretch:
+                        out += [(*stretch, t, -1, True, True) for t in kept]
+                    stretch, kept = (user, seg), collections.deque()
+                if carried:
+                    kept.append(now)
+                    continue
+                accepted = admit(kept, now, max_requests, width)
+                if contested:
+                    out.append((user, seg, now, event, accepted, False))
+            yield pd.DataFrame(out, columns=["user_id", "_seg", "_us", "event_id", "accepted", "carried"])
+        if stretch:
+            yield pd.DataFrame([(*stretch, t, -1, True, True) for t in kept],
+                               columns=["user_id", "_seg", "_us", "event_id", "accepted", "carried"])
     return decide
 
 
@@ -115,7 +121,7 @@ def _decide_stretches(rated, max_requests, width, block_rows):
     slices = materialize(_stretches(rated, width, block_rows), "stretches")
     rows = (rated.join(slices, ["user_id", "_slice"])
             .where((F.col("_us") > F.col("_from")) & (F.col("_us") <= F.col("_to")))
-            .select("user_id", "_seg", "_us", "event_id", "contested", "_block", F.lit(False).alias("carried")))
+            .select("user_id", "_seg", "_us", "event_id", "contested", F.lit(False).alias("carried"), "_block"))
     rounds = slices.agg(F.max("_block")).first()[0]
     done = [spark.createDataFrame([], "user_id long, event_id long, _us long, accepted boolean")]
     state = None
@@ -123,7 +129,8 @@ def _decide_stretches(rated, max_requests, width, block_rows):
         block = rows.where(F.col("_block") == r).drop("_block")
         if state is not None:
             block = block.unionByName(state.withColumn("contested", F.lit(False)).drop("accepted"))
-        out = block.groupBy("user_id", "_seg").applyInPandas(_decide(max_requests, width), _DECISIONS)
+        out = (block.repartition("user_id", "_seg").sortWithinPartitions("user_id", "_seg", "_us", "event_id")
+               .mapInPandas(_decide(max_requests, width), _DECISIONS))
         if rounds:
             out = materialize(out, "decided")
         state = out.where("carried")

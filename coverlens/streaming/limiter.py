@@ -1,10 +1,11 @@
 """Request limiter on a stream, with the same decisions as the batch form."""
+import collections
 import json
 
 from pyspark.sql import DataFrame, functions as F
 
 from coverlens import fixed_values as V
-from coverlens.operators.limits import sliding_fold
+from coverlens.operators.limits import admit
 from coverlens.streaming.ordered import OrderedFold, fold_in_order
 
 
@@ -16,9 +17,9 @@ class _Limiter(OrderedFold):
         self.max_requests, self.width = max_requests, int(round(seconds * 1_000_000))
 
     def fold(self, state, rows):
-        kept = json.loads(state[0]) if state else []
-        accepted, kept = sliding_fold([r[0] for r in rows], kept, self.max_requests, self.width)
-        return (json.dumps(kept),), [(r[1], r[0], bool(a)) for r, a in zip(rows, accepted)]
+        kept = collections.deque(json.loads(state[0]) if state else [])
+        out = [(event_id, us, admit(kept, us, self.max_requests, self.width)) for us, event_id, _ in rows]
+        return (json.dumps(list(kept)),), out
 
 
 def stream_allow_requests(events: DataFrame, max_requests: int = V.LIMITER_MAX_REQUESTS,
