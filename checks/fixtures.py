@@ -43,7 +43,9 @@ ISSUE_CATEGORIES = ["Smartphone", "Wearable", "Home Appliance", None]
 MESSAGES = ["/start", "/claim my phone", "/Vault@some_bot", "/lang", "/alert30",
             "📸 Upload Store Bill", "🔍 क्या यह क्लेम होगा?", "🧾 Lost Bill Recovery Guide", "🎧 ब्रांड सपोर्ट डायरेक्टरी",
             "lead:OneAssist:12", "lead:Cashify:0", "lead:UrbanCompany:x", "view_prod:77", "extend_warn:41",
-            "dir_brand:lg", "hello there"]
+            "dir_brand:lg", "hello there", "set_lang:hi", "set_lang:en"]
+MODELS = ["vision-small", "vision-large", "vision-free", "other"]
+MODEL_ORDER = ("vision-large", ["vision-free", "vision-large", "vision-small", "vision-free"])
 ANSWERS = ['{"image_type": "INVOICE", "product_name": "Dell XPS", "brand": "Dell", "price_paid": 1200.5, "warranty_months": 24, "purchase_date": "2025-3-09"}',
            '```json\n{"image_type": "PRODUCT_LABEL", "product_name": "LG TV", "brand": "", "price_paid": "799", "serial_no": "LG123"}\n```',
            'Here you go: {"image_type": "DEFECT_ISSUE", "detected_issue": "cracked corner", "purchase_date": null} hope it helps',

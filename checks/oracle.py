@@ -180,6 +180,9 @@ FROM v_products JOIN {COVER} ON cat = category""")
 product("C11_recovery_guide", f"""SELECT product_id, key AS guide_key, txt AS guide_text FROM v_products JOIN {GUIDE} ON key = {_guide_key}""")
 sql("C12_language", ["v_messages", "v_users"], """SELECT event_id, m.user_id, coalesce(nullif(language, ''), 'en') AS user_lang
 FROM v_messages m LEFT JOIN v_users u ON u.user_id = m.user_id""")
+sql("C12_set_languages", ["v_actions", "v_users"], """SELECT u.user_id, coalesce(arg, language) AS language FROM v_users u
+LEFT JOIN (SELECT user_id, arg FROM v_actions WHERE kind = 'set_lang'
+  QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1) a ON a.user_id = u.user_id""")
 sql("C13_offer_context", ["v_actions", "v_products"], f"""SELECT event_id, kind, a.product_id, coalesce(product_name, 'your device') AS offer_name,
   coalesce({LEFT}, 0) AS offer_days FROM v_actions a LEFT JOIN v_products p ON p.product_id = a.product_id
 WHERE kind IN ('extend_warn', 'cashify', 'lead', 'view_prod')""")
@@ -199,6 +202,11 @@ FROM v_answers WHERE image_type IN ('INVOICE', 'PRODUCT_LABEL', 'DEFECT_ISSUE')
 QUALIFY row_number() OVER (PARTITION BY bill_id ORDER BY engine_rank) = 1"""
 NEEDS["v_chosen"] = ["v_answers"]
 sql("G2_first_acceptable", ["v_chosen"], "SELECT * FROM v_chosen")
+_places = "CASE model WHEN 'vision-large' THEN 0 WHEN 'vision-free' THEN 1 WHEN 'vision-small' THEN 2 END"
+sql("G2_model_order", ["v_answers"], f"""SELECT bill_id, {_places} AS chosen_engine, product_name
+FROM (SELECT *, {pick(X.MODELS, 'bill_id + engine_rank')} AS model FROM v_answers)
+WHERE image_type IN ('INVOICE', 'PRODUCT_LABEL', 'DEFECT_ISSUE') AND model <> 'other'
+QUALIFY row_number() OVER (PARTITION BY bill_id ORDER BY chosen_engine) = 1""")
 ORACLE["J2_answer_text"] = "SELECT event_id, props AS content FROM events"
 _defect = any_of("lower(coalesce(caption, ''))", V.DEFECT_CAPTION_WORDS)
 _ROUTE = f"coalesce(image_type = 'DEFECT_ISSUE', FALSE) OR {_defect}"

@@ -281,6 +281,12 @@ def C12_language(spark, sf):
         "event_id", "user_id", "user_lang")
 
 
+@query
+def C12_set_languages(spark, sf):
+    acts = messages.parse_action(X.v_messages(spark, sf))
+    return users.set_languages(X.v_users(spark, sf), acts).select("user_id", "language")
+
+
 @query
 def C13_offer_context(spark, sf):
     acts = messages.parse_action(X.v_messages(spark, sf))
@@ -320,6 +326,13 @@ def G2_first_acceptable(spark, sf):
                                                 "serial_no", "detected_issue", "purchase_date")])
 
 
+@query
+def G2_model_order(spark, sf):
+    j = X.v_model_json(spark, sf).withColumn("model", X.pick(X.MODELS, F.col("bill_id") + F.col("engine_rank")))
+    ranked = j.withColumn("engine_rank", bills.engine_rank(F.col("model"), *X.MODEL_ORDER))
+    return bills.first_acceptable(ranked).select("bill_id", "chosen_engine", F.col("model_bill.product_name").alias("product_name"))
+
+
 # --- bill text ---------------------------------------------------------------
 def _bill(spark, sf, *fields):
     b = bills.extract_bill(X.v_bill_text(spark, sf), "text", "caption", X.BILL_AS_OF)

@@ -178,17 +178,27 @@ def typed_answer(answer) -> Column:
                                                  for f in BILL_FIELDS]))
 
 
+def engine_rank(model, selected: str, fallbacks: list[str]) -> Column:
+    """Place of a model in the order of trial: the selected one, then the others once each; NULL for strangers."""
+    order = list(dict.fromkeys([selected, *fallbacks]))
+    place = F.array_position(F.array(*[F.lit(m) for m in order]), model)
+    return F.when(place > 0, (place - 1).cast("int"))
+
+
 def first_acceptable(answers: DataFrame, key: str = "bill_id", rank: str = "engine_rank",
                      text_col: str = "answer") -> DataFrame:
     """Per bill the answer of the first engine that gave an acceptable one.
 
     An aggregate and not a window: many answers to one bill are reduced on the
-    map side before anything is shuffled.
+    map side before anything is shuffled. What is not acceptable gets no rank,
+    which the aggregate skips; a filter in its place would parse every text a
+    second time.
     """
-    parsed = answers.withColumn("answer", parse_answer(text_col))
-    good = parsed.where(F.col("answer.image_type").isin(V.ACCEPTED_IMAGE_TYPES))
-    return good.groupBy(key).agg(F.min_by(typed_answer(F.col("answer")), F.col(rank)).alias("model_bill"),
-                                 F.min(rank).alias("chosen_engine"))
+    parsed = answers.withColumn("_a", parse_answer(text_col))
+    usable = F.when(F.col("_a.image_type").isin(V.ACCEPTED_IMAGE_TYPES), F.col(rank))
+    ranked = parsed.select(key, usable.alias("_rank"), typed_answer(F.col("_a")).alias("_bill"))
+    best = ranked.groupBy(key).agg(F.min_by("_bill", "_rank").alias("model_bill"), F.min("_rank").alias("chosen_engine"))
+    return best.where(F.col("chosen_engine").isNotNull())
 
 
 def bill_defaults(df: DataFrame, bill_col: str, as_of) -> DataFrame:

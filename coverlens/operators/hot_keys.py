@@ -11,39 +11,38 @@ so that the number of buckets of a key is bounded by the calendar.
 from pyspark.sql import DataFrame, Window, functions as F
 
 
-def _inside(keys, buckets, order):
-    return (Window.partitionBy(*keys, *buckets).orderBy(*order)
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+def _cut(df, keys, buckets):
+    """Adds ``_at``, the (key, bucket) of a row as one struct.
+
+    Windows, sums and the join back all go by this one column and so share
+    one partitioning. A struct also lets a NULL key meet itself in the join.
+    """
+    return df.withColumn("_at", F.struct(*keys, *buckets))
+
+
+def _inside(order, end):
+    return Window.partitionBy("_at").orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
 
 
 def _before(keys, buckets):
-    return Window.partitionBy(*keys).orderBy(*buckets).rowsBetween(Window.unboundedPreceding, -1)
+    return (Window.partitionBy(*[F.col(f"_at.{k}") for k in keys]).orderBy(*[F.col(f"_at.{b}") for b in buckets])
+            .rowsBetween(Window.unboundedPreceding, -1))
 
 
-def _attach(df: DataFrame, carry: DataFrame, columns) -> DataFrame:
-    """Equi join on keys and buckets that lets NULL meet NULL."""
-    carry = carry.select(*[F.col(c).alias(f"_r_{c}") for c in columns],
-                         *[c for c in carry.columns if c not in columns])
-    cond = None
-    for c in columns:
-        eq = F.col(c).eqNullSafe(F.col(f"_r_{c}"))
-        cond = eq if cond is None else cond & eq
-    return df.join(carry, cond, "left").drop(*[f"_r_{c}" for c in columns])
+def _clean(df, names):
+    return df.drop("_at", *[f"{p}{n}" for n in names for p in ("_v_", "_i_", "_c_")])
 
 
 def running_totals(df: DataFrame, keys, buckets, order, sums: dict) -> DataFrame:
     """Running sums per key, the current row included."""
     names = list(sums)
-    staged = df.withColumns({f"_v_{n}": F.coalesce(e.cast("bigint"), F.lit(0)) for n, e in sums.items()})
-    totals = staged.groupBy(*keys, *buckets).agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in names])
+    staged = _cut(df, keys, buckets).withColumns({f"_v_{n}": F.coalesce(e.cast("bigint"), F.lit(0)) for n, e in sums.items()})
+    totals = staged.groupBy("_at").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in names])
     before = _before(keys, buckets)
-    carry = totals.select(*keys, *buckets,
-                          *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_c_{n}") for n in names])
-    inside = _inside(keys, buckets, order)
-    out = _attach(staged.withColumns({f"_i_{n}": F.sum(f"_v_{n}").over(inside) for n in names}),
-                  carry, [*keys, *buckets])
-    out = out.withColumns({n: F.col(f"_i_{n}") + F.col(f"_c_{n}") for n in names})
-    return out.drop(*[f"{p}{n}" for n in names for p in ("_v_", "_i_", "_c_")])
+    carry = totals.select("_at", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_c_{n}") for n in names])
+    inside = _inside(order, Window.currentRow)
+    out = staged.withColumns({f"_i_{n}": F.sum(f"_v_{n}").over(inside) for n in names}).join(carry, "_at", "left")
+    return _clean(out.withColumns({n: F.col(f"_i_{n}") + F.col(f"_c_{n}") for n in names}), names)
 
 
 def running_last(df: DataFrame, keys, buckets, order, values: dict, previous: dict | None = None) -> DataFrame:
@@ -54,21 +53,17 @@ def running_last(df: DataFrame, keys, buckets, order, values: dict, previous: di
     previous = previous or {}
     every = {**values, **previous}
     names = list(every)
-    staged = df.withColumns({f"_v_{n}": e for n, e in every.items()})
+    staged = _cut(df, keys, buckets).withColumns({f"_v_{n}": e for n, e in every.items()})
     at = F.struct(*order)
-    totals = staged.groupBy(*keys, *buckets).agg(
+    totals = staged.groupBy("_at").agg(
         *[F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), at)).alias(f"_t_{n}") for n in names])
     before = _before(keys, buckets)
-    carry = totals.select(*keys, *buckets,
-                          *[F.last(f"_t_{n}", ignorenulls=True).over(before).alias(f"_c_{n}") for n in names])
-    upto = _inside(keys, buckets, order)
-    earlier = (Window.partitionBy(*keys, *buckets).orderBy(*order)
-               .rowsBetween(Window.unboundedPreceding, -1))
+    carry = totals.select("_at", *[F.last(f"_t_{n}", ignorenulls=True).over(before).alias(f"_c_{n}") for n in names])
+    upto, earlier = _inside(order, Window.currentRow), _inside(order, -1)
     inside = staged.withColumns({
         f"_i_{n}": F.last(f"_v_{n}", ignorenulls=True).over(earlier if n in previous else upto) for n in names})
-    out = _attach(inside, carry, [*keys, *buckets])
-    out = out.withColumns({n: F.coalesce(f"_i_{n}", f"_c_{n}") for n in names})
-    return out.drop(*[f"{p}{n}" for n in names for p in ("_v_", "_i_", "_c_")])
+    out = inside.join(carry, "_at", "left")
+    return _clean(out.withColumns({n: F.coalesce(f"_i_{n}", f"_c_{n}") for n in names}), names)
 
 
 def spread_join(fact: DataFrame, dim: DataFrame, key: str, spread_on: list[str], how: str = "inner",

@@ -38,6 +38,14 @@ def cascade_delete(tables: dict, product_ids: DataFrame | None = None, user_ids:
             "reminder_logs": log.join(gone, "product_id", "left_anti")}
 
 
+def set_languages(users: DataFrame, actions: DataFrame) -> DataFrame:
+    """Users with the language of their latest choice; choices of unknown users change nothing."""
+    latest = (actions.where(F.col("kind") == "set_lang").groupBy("user_id")
+              .agg(F.max_by("arg", F.struct("ts", "event_id")).alias("_chosen")))
+    return (users.join(latest, "user_id", "left")
+            .withColumn("language", F.coalesce("_chosen", "language")).drop("_chosen"))
+
+
 def admin_ids(csv: str) -> list[int]:
     return [int(p.strip()) for p in csv.split(",") if p.strip().isdigit()]
 

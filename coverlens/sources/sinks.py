@@ -45,7 +45,8 @@ def _append_new(rows: DataFrame, directory: str, keys: list[str]) -> None:
 
 
 def append_products(confirmed: DataFrame, directory: str) -> None:
-    _append_new(product_rows(confirmed), directory, ["id"])
+    # The hash alone could meet another product's at very large counts; with owner and time it cannot.
+    _append_new(product_rows(confirmed), directory, ["id", "user_id", "created_at"])
 
 
 def append_leads(leads: DataFrame, directory: str) -> None:

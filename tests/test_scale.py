@@ -137,5 +137,17 @@ def test_only_bounded_sides_are_broadcast(spark, sf, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_catalog_moves_rows_once(spark, tmp_path):
+    """Without broadcasts the rows are shuffled once; the join back reuses their partitioning."""
+    skewed(spark).withColumn("wide", F.lit("x")).write.parquet(str(tmp_path / "p"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        p = plan(lifecycle.vault_catalog(spark.read.parquet(str(tmp_path / "p")), X.AS_OF))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" in p and p.count("Exchange hashpartitioning") == 4
+
+
 def test_top_one_is_cut_before_the_shuffle(spark):
     assert "WindowGroupLimit" in plan(lifecycle.next_expiring(skewed(spark)))
