@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from coverlens import fixed_values as V
 from coverlens.functions.dates import expiry_date
+from coverlens.functions.text import sql_text
 from coverlens.sources.tables import deal_out
 
 AS_OF = datetime.date(2000, 1, 1)
@@ -72,7 +73,10 @@ def dealt(spark, sf, name):
 
 
 def pick(values, n):
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (n % len(values) + 1).cast("int"))
+    """The value at the remainder of ``n``, a column or its name."""
+    n = F.col(n) if isinstance(n, str) else n
+    listed = ", ".join("null" if v is None else sql_text(v) if isinstance(v, str) else str(v) for v in values)
+    return F.element_at(F.expr(f"array({listed})"), (n % len(values) + 1).cast("int"))
 
 
 def events(spark, sf):
@@ -118,7 +122,7 @@ def v_reminder_log(spark, sf):
 
 
 def v_bill_text(spark, sf):
-    p = v_products(spark, sf)
+    p = deal_out(v_products(spark, sf), like=table(spark, sf, "orders"))
     key = F.col("product_id")
     shown = F.date_add("purchase_date", BILL_SHIFT_DAYS)
     when = F.concat(F.lit("Date: "), F.when(key % 3 == 0, F.date_format(shown, "dd-MM-yyyy"))

@@ -94,7 +94,8 @@ def S7_dimensions(spark, sf):
     p = products(spark, sf)
     by_brand = p.groupBy(F.lower("brand").alias("key")).agg(F.count("*").alias("n"))
     by_category = p.groupBy(F.col("category").alias("key")).agg(F.count("*").alias("n"))
-    by_shop = p.groupBy(enrich.guide_key("purchase_platform").alias("key")).agg(F.count("*").alias("n"))
+    shops = p.select(F.lower("purchase_platform").alias("shop"))
+    by_shop = shops.groupBy(enrich.guide_key("shop").alias("key")).agg(F.count("*").alias("n"))
     parts = [("brand_support", "key", "key", by_brand), ("brand_policy", "key", "key", by_brand),
              ("brand_keyword", "key", "key", by_brand), ("component_coverage", "category", "component", by_category),
              ("bill_guide", "key", "key", by_shop)]
@@ -237,7 +238,7 @@ def C6_policy_note(spark, sf):
 
 @query
 def C7_keyword_brand(spark, sf):
-    b = X.v_bill_text(spark, sf).withColumn("k", bills.keyword_brand(F.lower("text")))
+    b = X.v_bill_text(spark, sf).withColumn("low", F.lower("text")).withColumn("k", bills.keyword_brand("low"))
     return b.select("bill_id", F.col("k.brand").alias("brand"), F.col("k.category").alias("category"))
 
 

@@ -22,17 +22,28 @@ def or_default(c, default) -> Column:
     return F.coalesce(F.nullif(as_col(c), F.lit("")), default)
 
 
+def sql_text(v) -> str:
+    return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def contains_any(c, words) -> Column:
-    c = as_col(c)
+    """Is any of the words in the text? A column name makes one short expression of a long list."""
+    if isinstance(c, str):
+        return F.expr(" OR ".join(f"contains({c}, {sql_text(w)})" for w in words))
     hit = c.contains(words[0])
     for w in words[1:]:
         hit = hit | c.contains(w)
     return hit
 
 
-def first_hit(pairs) -> Column:
-    """Value of the first true condition of (condition, value) pairs, else NULL."""
-    return F.coalesce(*[F.when(cond, value) for cond, value in pairs])
+def first_case(pairs) -> Column:
+    """Value of the first true condition of (condition, value) pairs of SQL text, else NULL."""
+    return F.expr("CASE " + " ".join(f"WHEN {cond} THEN {value}" for cond, value in pairs) + " END")
+
+
+def first_word_of(name, pairs) -> Column:
+    """Value of the first (word, value) whose word is in the named column, else NULL."""
+    return first_case([(f"contains({name}, {sql_text(w)})", sql_text(v)) for w, v in pairs])
 
 
 _CLASSES = {r"\w": r"[\p{L}\p{N}_]", r"\d": r"\p{Nd}", r"\s": r"[\s\x1c-\x1f\x85\p{Z}]"}

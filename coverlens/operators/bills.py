@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from coverlens import fixed_values as V
 from coverlens.functions.answers import parse_answer
 from coverlens.functions.dates import day, strict_iso_date
-from coverlens.functions.text import (after_words, contains_any, first_hit, non_blank_lines, strip, title_case,
-                                      unicode_pattern)
+from coverlens.functions.text import (after_words, contains_any, first_case, first_word_of, non_blank_lines, sql_text,
+                                      strip, title_case, unicode_pattern)
 
 BILL_FIELDS = ["image_type", "product_name", "brand", "category", "retailer", "purchase_date", "price_paid",
                "serial_no", "warranty_months", "is_food_receipt", "detected_issue", "is_claimable_verdict",
@@ -22,12 +22,12 @@ def choose_text(ocr, filename, caption) -> Column:
     return F.when(F.length(ocr) > V.OCR_MIN_CHARS, ocr).otherwise(fallback)
 
 
-def keyword_brand(lower) -> Column:
-    """(brand, category) of the first of the brand keywords in the text."""
+def keyword_brand(lower: str) -> Column:
+    """(brand, category) of the first of the brand keywords in the named lower-case column."""
     def pair(b, c):
-        return F.struct(F.lit(b).alias("brand"), F.lit(c).alias("category"))
-    return F.coalesce(first_hit([(lower.contains(k), pair(b, c)) for k, b, c in V.BRAND_KEYWORDS]),
-                      pair(V.UNKNOWN_BRAND, V.GENERAL_CATEGORY))
+        return f"named_struct('brand', {sql_text(b)}, 'category', {sql_text(c)})"
+    known = first_case([(f"contains({lower}, {sql_text(k)})", pair(b, c)) for k, b, c in V.BRAND_KEYWORDS])
+    return F.coalesce(known, F.expr(pair(V.UNKNOWN_BRAND, V.GENERAL_CATEGORY)))
 
 
 def item_line(lines) -> Column:
@@ -90,7 +90,7 @@ def bill_parts(df: DataFrame, text_col: str, caption_col: str | None, as_of) ->
     df = df.withColumn("b_text", strip(F.concat(ocr, F.lit("\n"), caption))).withColumn("b_lines", non_blank_lines(ocr))
     df = df.withColumn("b_lower", F.lower("b_text"))
     df = df.withColumns({
-        "b_known": keyword_brand(c("b_lower")),
+        "b_known": keyword_brand("b_lower"),
         "b_iphone": capture_with("iphone", V.IPHONE_PATTERN),
         "b_galaxy": capture_with("galaxy", V.GALAXY_PATTERN),
         "b_airdopes": capture_with("airdopes", V.AIRDOPES_PATTERN),
@@ -125,8 +125,8 @@ def bill_parts(df: DataFrame, text_col: str, caption_col: str | None, as_of) ->
         return F.when(known_brand, F.concat("b_brand0", F.lit(" " + text)))
     kit = F.coalesce(branded("Trimmer / Grooming Kit"), F.lit("Trimmer / Grooming Kit"))
     details = F.when(c("b_details") != "", F.concat(F.lit(" ("), "b_details", F.lit(")"))).otherwise("")
-    named_shops = [(c("b_lower").contains(w), F.lit(r)) for w, r in V.RETAILER_WORDS]
-    burger_shop = (c("b_is_food_receipt") & contains_any("b_lower", V.BURGER_SHOP_WORDS), F.lit(V.BURGER_SHOP))
+    named_shop = first_word_of("b_lower", V.RETAILER_WORDS)
+    burger_shop = F.when(c("b_is_food_receipt") & contains_any("b_lower", V.BURGER_SHOP_WORDS), F.lit(V.BURGER_SHOP))
     plausible = (c("b_day") <= 31) & (c("b_month") <= 12) & c("b_year").between(2000, 2030)
     iso = F.nullif(F.translate(capture("b_text", V.ISO_DATE_PATTERN, 0), "/.", "--"), F.lit(""))
     df = df.withColumns({
@@ -136,7 +136,7 @@ def bill_parts(df: DataFrame, text_col: str, caption_col: str | None, as_of) ->
             F.concat(F.lit("boAt "), title_case("b_airdopes")),
             F.when(c("b_grooming"), kit)
             .otherwise(F.coalesce(item_line(c("b_lines")), branded("Device"), F.lit(V.DEFAULT_PRODUCT)))),
-        "b_shop": F.coalesce(first_hit(named_shops + [burger_shop]), shop_line(c("b_lines")), F.lit(V.DEFAULT_RETAILER)),
+        "b_shop": F.coalesce(named_shop, burger_shop, shop_line(c("b_lines")), F.lit(V.DEFAULT_RETAILER)),
         "b_purchase_date": F.coalesce(
             F.when(plausible, F.format_string("%d-%02d-%02d", "b_year", "b_month", "b_day")), iso,
             F.date_format(day(as_of), "yyyy-MM-dd")),

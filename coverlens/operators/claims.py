@@ -11,26 +11,23 @@ from coverlens.sources.dims import dim
 
 
 def with_claim_flags(df: DataFrame, issue_col: str = "issue") -> DataFrame:
-    text = F.lower(F.coalesce(F.col(issue_col), F.lit("")))
-    return df.withColumns({flag: contains_any(text, words) for flag, words in V.CLAIM_FLAGS.items()})
+    low = df.withColumn("_issue", F.lower(F.coalesce(F.col(issue_col), F.lit(""))))
+    return low.withColumns({flag: contains_any("_issue", words) for flag, words in V.CLAIM_FLAGS.items()}).drop("_issue")
 
 
 def with_claim_rule(df: DataFrame) -> DataFrame:
     """Number of the first rule that applies; needs the flags."""
-    text = F.lower(F.coalesce("issue", F.lit("")))
-    brand = strip(F.lower(F.coalesce("brand", F.lit(""))))
-    category = strip(F.lower(F.coalesce("category", F.lit(""))))
-    known_line = contains_any(brand, V.GREEN_LINE_BRANDS) | contains_any(text, V.GREEN_LINE_BRANDS)
-    audio = (F.col("has_audio_issue") | category.contains(V.AUDIO_WORD) | text.contains(V.AUDIO_WORD)
-             | contains_any(brand, V.AUDIO_BRANDS))
-    appliance = F.col("has_appliance_issue") | contains_any(category, V.APPLIANCE_CATEGORIES)
-    return df.withColumn("rule_id",
-                         F.when(F.col("has_green_line") & known_line, 1)
-                         .when(F.col("has_physical_crack") & ~F.col("has_green_line"), 2)
-                         .when(F.col("has_water_damage"), 3)
-                         .when(audio, 4)
-                         .when(appliance, 5)
-                         .otherwise(6))
+    low = df.withColumns({"_t": F.lower(F.coalesce("issue", F.lit(""))),
+                          "_b": strip(F.lower(F.coalesce("brand", F.lit("")))),
+                          "_c": strip(F.lower(F.coalesce("category", F.lit(""))))})
+    known_line = contains_any("_b", V.GREEN_LINE_BRANDS) | contains_any("_t", V.GREEN_LINE_BRANDS)
+    audio = (F.col("has_audio_issue") | F.col("_c").contains(V.AUDIO_WORD) | F.col("_t").contains(V.AUDIO_WORD)
+             | contains_any("_b", V.AUDIO_BRANDS))
+    appliance = F.col("has_appliance_issue") | contains_any("_c", V.APPLIANCE_CATEGORIES)
+    rule = (F.when(F.col("has_green_line") & known_line, 1)
+            .when(F.col("has_physical_crack") & ~F.col("has_green_line"), 2)
+            .when(F.col("has_water_damage"), 3).when(audio, 4).when(appliance, 5).otherwise(6))
+    return low.withColumn("rule_id", rule).drop("_t", "_b", "_c")
 
 
 def with_verdict(df: DataFrame) -> DataFrame:

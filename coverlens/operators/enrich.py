@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from coverlens import fixed_values as V
 from coverlens.functions.dates import day, days_left, expiry_date
-from coverlens.functions.text import as_col, first_hit, or_default, strip
+from coverlens.functions.text import as_col, first_case, first_word_of, or_default, sql_text, strip
 from coverlens.operators.hot_keys import spread_join
 from coverlens.sources.dims import dim
 
@@ -17,26 +17,28 @@ _SUPPORT_KEYS = [r[0] for r in V.BRAND_SUPPORT]
 _POLICY_KEYS = [r[0] for r in V.BRAND_POLICIES]
 
 
-def support_key(brand) -> Column:
-    """First directory key that contains the brand or is contained in it.
+def support_key(brand: str) -> Column:
+    """First directory key that contains the brand or is contained in it; takes a trimmed lower-case column.
 
     An empty brand is contained in every key and so gives the first one.
     """
-    b = strip(F.lower(as_col(brand)))
-    return first_hit([(b.contains(k) | F.lit(k).contains(b), F.lit(k)) for k in _SUPPORT_KEYS])
+    return first_case([(f"contains({brand}, {sql_text(k)}) OR contains({sql_text(k)}, {brand})", sql_text(k))
+                       for k in _SUPPORT_KEYS])
 
 
-def mentioned_key(text) -> Column:
-    """First directory key that occurs in the text."""
-    t = F.lower(as_col(text))
-    return first_hit([(t.contains(k), F.lit(k)) for k in _SUPPORT_KEYS])
+def mentioned_key(text: str) -> Column:
+    """First directory key that occurs in the text; takes a lower-case column."""
+    return first_word_of(text, [(k, k) for k in _SUPPORT_KEYS])
 
 
-def policy_key(brand, text) -> Column:
-    """First policy key in the brand or in the text."""
-    b = strip(F.lower(F.coalesce(as_col(brand), F.lit(""))))
-    t = F.lower(F.coalesce(as_col(text), F.lit("")))
-    return first_hit([(b.contains(k) | t.contains(k), F.lit(k)) for k in _POLICY_KEYS])
+def policy_key(brand: str, text: str) -> Column:
+    """First policy key in the brand or in the text; takes lower-case columns."""
+    return first_case([(f"contains({brand}, {sql_text(k)}) OR contains({text}, {sql_text(k)})", sql_text(k))
+                       for k in _POLICY_KEYS])
+
+
+def _low(c):
+    return F.lower(F.coalesce(as_col(c), F.lit("")))
 
 
 def _support(spark, prefix):
@@ -45,12 +47,12 @@ def _support(spark, prefix):
 
 
 def with_brand_support(df: DataFrame, brand_col: str = "brand", prefix: str = "support_") -> DataFrame:
-    return (df.withColumn(f"{prefix}key", support_key(brand_col))
+    return (df.withColumn("_brand", strip(F.lower(brand_col))).withColumn(f"{prefix}key", support_key("_brand")).drop("_brand")
             .join(_support(df.sparkSession, prefix), f"{prefix}key", "left"))
 
 
 def with_mentioned_brand(df: DataFrame, text_col: str, prefix: str = "mentioned_") -> DataFrame:
-    return (df.withColumn(f"{prefix}key", mentioned_key(text_col))
+    return (df.withColumn("_text", F.lower(text_col)).withColumn(f"{prefix}key", mentioned_key("_text")).drop("_text")
             .join(_support(df.sparkSession, prefix), f"{prefix}key", "left"))
 
 
@@ -65,7 +67,8 @@ def brand_card(df: DataFrame, key_col: str = "brand_key") -> DataFrame:
 def with_policy_note(df: DataFrame, brand_col: str, text_col: str) -> DataFrame:
     notes = dim(df.sparkSession, "brand_policy").select(F.col("key").alias("policy_key"),
                                                         F.col("note").alias("brand_policy_note"))
-    return (df.withColumn("policy_key", policy_key(brand_col, text_col))
+    return (df.withColumns({"_brand": strip(_low(brand_col)), "_text": _low(text_col)})
+            .withColumn("policy_key", policy_key("_brand", "_text")).drop("_brand", "_text")
             .join(F.broadcast(notes), "policy_key", "left"))
 
 
@@ -85,17 +88,18 @@ def component_coverage(products: DataFrame, as_of) -> DataFrame:
             .withColumn("is_covered", day(as_of) <= F.col("component_expiry")))
 
 
-def guide_key(platform) -> Column:
-    p = F.lower(as_col(platform))
-    named = [(p.contains(k.split("_")[0]), F.lit(k)) for k, _ in V.BILL_GUIDES[:-1]]
-    return F.coalesce(first_hit(named), F.lit(V.BILL_GUIDES[-1][0]))
+def guide_key(platform: str) -> Column:
+    """Guide of the shop named in a lower-case column; the last guide is the general one."""
+    named = first_word_of(platform, [(k.split("_")[0], k) for k, _ in V.BILL_GUIDES[:-1]])
+    return F.coalesce(named, F.lit(V.BILL_GUIDES[-1][0]))
 
 
 def with_recovery_guide(df: DataFrame, platform_col: str = "purchase_platform") -> DataFrame:
     """Lost-bill guide of the shop; shops without their own get the general one."""
     guides = dim(df.sparkSession, "bill_guide").select(F.col("key").alias("guide_key"),
                                                        F.col("text").alias("guide_text"))
-    return df.withColumn("guide_key", guide_key(platform_col)).join(F.broadcast(guides), "guide_key")
+    return (df.withColumn("_shop", F.lower(platform_col)).withColumn("guide_key", guide_key("_shop")).drop("_shop")
+            .join(F.broadcast(guides), "guide_key"))
 
 
 def with_language(df: DataFrame, users: DataFrame, spread_on: list[str]) -> DataFrame:

@@ -12,6 +12,7 @@ def local_session(cores="*", app="coverlens", shuffle_partitions=8):
             .config("spark.sql.session.timeZone", "UTC")
             .config("spark.sql.adaptive.enabled", "true")
             .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
+            .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # no call-site capture per column
             .config("spark.driver.memory", "8g")
             .config("spark.ui.enabled", "false")
             .getOrCreate())

@@ -59,7 +59,8 @@ def test_backfill_against_brute_force(spark):
 
 
 def test_support_key(spark):
-    got = column(spark, ["", "a", "Samsung India", "Voltas", None, " LG "], enrich.support_key)
+    df = spark.createDataFrame([(i, b) for i, b in enumerate(["", "a", "Samsung India", "Voltas", None, " LG "])], "i int, brand string")
+    got = [r["support_key"] for r in enrich.with_brand_support(df).orderBy("i").collect()]
     assert got == ["apple", "apple", "samsung", None, None, "lg"]
 
 
