@@ -2,6 +2,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from coverlens import fixed_values as V
+from coverlens.operators.hot_keys import spread_join
 
 
 def upsert_users(users: DataFrame, seen: DataFrame) -> DataFrame:
@@ -30,7 +31,8 @@ def cascade_delete(tables: dict, product_ids: DataFrame | None = None, user_ids:
     gone = product_ids.select("product_id") if product_ids is not None else None
     if user_ids is not None:
         owners = user_ids.select("user_id").distinct()
-        owned = products.select("product_id", "user_id").join(owners, "user_id", "left_semi").select("product_id")
+        owned = spread_join(products.select("product_id", "user_id"), owners, "user_id", ["product_id"],
+                            "left_semi").select("product_id")
         gone = owned if gone is None else gone.unionByName(owned)
         users = users.join(owners, "user_id", "left_anti")
     gone = gone.distinct()

@@ -44,12 +44,14 @@ def test_running_last(spark):
     assert rows(got.select("product_id", "here", "prior")) == rows(want)
 
 
-@pytest.mark.parametrize("how", ["inner", "left"])
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
 def test_spread_join(spark, how):
     fact = skewed(spark)
     dim = spark.range(60).select(F.col("id").alias("user_id"), F.concat(F.lit("u"), "id").alias("name"))
     got = hot_keys.spread_join(fact, dim, "user_id", ["product_id"], how, hot_rows=100, spread=8)
-    assert rows(got.select("product_id", "name")) == rows(fact.join(dim, "user_id", how).select("product_id", "name"))
+    want = fact.join(dim, "user_id", how)
+    columns = [c for c in ("product_id", "name") if c in want.columns]
+    assert rows(got.select(columns)) == rows(want.select(columns))
 
 
 def test_spread_join_splits_the_hot_key(spark):
