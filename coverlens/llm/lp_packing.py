@@ -54,8 +54,8 @@ def pieces(docs, path=None, capacity=CAPACITY, end_id=END_ID):
 
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                data = encode(text) + end
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                data = encode(text.as_py()) + end
                 for k, (start, n) in enumerate(cut(len(data) // encode.width, capacity)):
                     ids = data[start * encode.width:(start + n) * encode.width]
                     rows.append((doc_id, k, start, n, crc32_of(ids_of(ids, encode.width)), task, int(seen[n]), ids))

@@ -84,8 +84,8 @@ def write_records(docs, folder, path=None, end_id=END_ID):
         end = np.array([end_id], f"<u{encode.width}").tobytes()
         held, size = [], 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                held.append(frame(doc_id, encode(text) + end, encode.width))
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                held.append(frame(doc_id, encode(text.as_py()) + end, encode.width))
                 size += len(held[-1]) + 1
                 if size >= BLOCK:
                     yield pa.record_batch([pa.array([_END.join(held)], pa.binary())], ["block"])

@@ -11,8 +11,9 @@ import re
 
 import numpy as np
 
-#: Pieces that one worker remembers; further ones are encoded each time they come.
-REMEMBERED = 500_000
+#: Pieces that one worker remembers for good, and further ones that it remembers for a while.
+REMEMBERED = 600_000
+RECENT = 150_000
 
 _CUT = re.compile(r" (?=\S)")
 _ODD = re.compile(r" (?!\S)")
@@ -31,14 +32,22 @@ def id_width(vocabulary_size):
 
 
 class _Remember(dict):
-    def __init__(self, encode, limit):
+    """What `encode` gives for a key: kept for good until `limit`, then for a while."""
+
+    def __init__(self, encode, limit, recent):
         super().__init__()
-        self.encode, self.limit = encode, limit
+        self.encode, self.limit, self.most, self.recent = encode, limit, recent, {}
 
     def __missing__(self, key):
-        ids = self.encode(key)
-        if len(self) < self.limit:
-            self[key] = ids
+        ids = self.recent.get(key)
+        if ids is None:
+            ids = self.encode(key)
+            if len(self) < self.limit:
+                self[key] = ids
+            else:
+                if len(self.recent) >= self.most:
+                    self.recent.clear()
+                self.recent[key] = ids
         return ids
 
 
@@ -55,14 +64,14 @@ def _splits_at_spaces(path):
 class Encoder:
     """text -> little-endian ids as bytes, `width` bytes each; without special tokens added."""
 
-    def __init__(self, path, remembered=REMEMBERED):
+    def __init__(self, path, remembered=REMEMBERED, recent=RECENT):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self._tok = Tokenizer.from_file(path)
         self.width = id_width(self._tok.get_vocab_size())
         self._by_piece = _splits_at_spaces(path)
-        self._spaced = _Remember(self._encode_spaced, remembered // 2)
-        self._bare = _Remember(self._encode_bare, remembered // 2)
+        self._spaced = _Remember(self._encode_spaced, remembered, recent)
+        self._bare = _Remember(self._encode_bare, remembered // 6, recent // 6)
 
     def _ids(self, text):
         return np.array(self._tok.encode(text, add_special_tokens=False).ids, f"<u{self.width}").tobytes()
