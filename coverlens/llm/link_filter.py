@@ -25,7 +25,7 @@ THRESHOLD = 0.5
 MARGIN = 1e-9
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-HREF = "href\\s*=\\s*[\"']?([^\"'\\s>]+)"
+HREF = "(?i)href\\s*=\\s*[\"']?([^\"'\\s>]+)"
 
 
 def _after_scheme(url):

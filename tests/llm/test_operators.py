@@ -1,0 +1,265 @@
+"""The training-data operators against brute force, exact round trips and held-out accuracy."""
+import hashlib
+import random
+import zlib
+
+import duckdb
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from checks.compare import connect
+from coverlens.llm import (cap_filters, chat_grammar, link_filter, lp_packing, queries, simhash_anchors, surrogates, template_decontam,
+                           token_records, tokens, toxicity_fm)
+
+DOC = "doc_id long, text string, lang string, source string, n_chars long, start long, score double, fp long"
+
+
+def docs(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "s", 0, 1, 0.5, 7) for i, t in rows], DOC)
+
+
+EDGES = [(1, None), (2, ""), (3, " \n "), (4, "one"), (4, "one"), (None, "no id"), (7, "a b c d e f " * 3000), (8, "x" * 70_000)]
+
+
+@pytest.fixture(scope="module")
+def table(spark, sf):
+    return spark.read.parquet(f"{sf}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def tok():
+    from tokenizers import Tokenizer
+    return Tokenizer.from_file(tokens.tokenizer_path())
+
+
+def test_encoder_equals_library(tok):
+    rnd = random.Random(1)
+    parts = [*"ab'stre12 .,,\n\n  \t\u00e9\u00bd\u00b2\u00a0\x1c\x85_<|>", "<|endoftext|>", "'s", "  ", " the", "\u65e5\u672c"]
+    encode = tokens.Encoder(tokens.tokenizer_path(), 50, 20)
+    for _ in range(5000):
+        text = "".join(rnd.choice(parts) for _ in range(rnd.randint(0, 14)))
+        assert tokens.ids_of(encode(text), 2).tolist() == tok.encode(text, add_special_tokens=False).ids, text
+
+
+def test_records_equal_brute_force(spark, table, tok):
+    got = token_records.token_records(table).toPandas().sort_values("doc_id")
+    want = table.toPandas().sort_values("doc_id")
+    ids = [tok.encode(t or "", add_special_tokens=False).ids + [2] for t in want.text]
+    assert got.n_tokens.tolist() == [len(x) for x in ids]
+    assert got.start.tolist() == [0, *np.cumsum([len(x) for x in ids])[:-1].tolist()]
+    assert got.ids_crc32.tolist() == [zlib.crc32(np.array(x, "<u4").tobytes()) for x in ids]
+
+
+def test_records_edges_and_shuffled_read(spark, tok, tmp_path):
+    d = docs(spark, EDGES)
+    token_records.write_records(d, f"{tmp_path}/r")
+    index = token_records.write_index(spark, f"{tmp_path}/r", f"{tmp_path}/i")
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in index.collect())[:4] == [
+        (0, 3), (1, 1), (2, 1), (3, len(tok.encode(" \n ").ids) + 1)]
+    read = token_records.read_shuffled(spark, f"{tmp_path}/r", index, 5).collect()
+    assert len(read) == len(EDGES) and [r.position for r in read] == sorted(r.position for r in read)
+    assert {r.doc_id: r.ids for r in read}[4] == tok.encode("one").ids + [2]
+    assert token_records.token_records(d.limit(0)).count() == 0
+    data = bytearray(b"".join(token_records.frame(i, b"\x01\x00", 2) + b"\n" for i in range(3)))
+    data[-4] ^= 1
+    with pytest.raises(ValueError):
+        list(token_records.read_frames(memoryview(data)))
+
+
+def test_packing(spark, table):
+    for d in (table, docs(spark, EDGES)):
+        got = lp_packing.pack_documents(d).toPandas().sort_values(["sequence_id", "offset"])
+        by = got.groupby("sequence_id").length
+        assert by.sum().max() <= 1024
+        assert (got.offset == by.cumsum() - got.length).all()
+        bound = -(-got.length.sum() // 1024)
+        assert by.ngroups <= bound * 1.02 + 1
+        first = got.sort_values(["doc_id", "start"])
+        assert (first[first.piece > 0].length == 1024).all()
+    assert lp_packing.pack_documents(table.limit(0)).count() == 0
+
+
+def test_packing_program():
+    demand = np.zeros(11, np.int64)
+    demand[[6, 4, 3, 7, 10]] = [50, 50, 30, 30, 5]
+    plan = lp_packing.solve(demand, 10)
+    assert sum(n for _, n in plan) == 85
+    left = demand.copy()
+    for config, n in plan:
+        for length, k in config:
+            left[length] -= n * k
+    assert not left.any()
+
+
+def test_cap_filters(spark):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(300, 64))
+    near = base[:60] + rng.normal(size=(60, 64)) * 0.15
+    hot = base[0] + rng.normal(size=(80, 64)) * 0.02
+    x = np.concatenate([base, near, hot, base[5:8]]).astype(np.float32)
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
+    n = len(rows)
+    odd = [(n, None, 0), (n + 1, [0.0] * 64, 0), (n + 2, [float("nan")] * 64, 0), (n + 3, [None] * 64, 0), (n + 4, [1.0, 2.0], 0)]
+    d = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>, label int")
+    got = cap_filters.near_copies(d).toPandas().set_index("vec_id").sort_index()
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    linked = u @ u.T >= 0.95
+    np.fill_diagonal(linked, False)
+    assert got.n_links[:n].sum() >= 0.99 * linked.sum() and (got.n_links[:n].to_numpy() <= linked.sum(1)).all()
+    assert (got.n_links[n:] == 0).all() and got.kept[n:].all()
+    assert cap_filters.near_copies(d.limit(0)).count() == 0
+
+
+def test_cap_filters_hot_units(spark, monkeypatch):
+    monkeypatch.setattr(cap_filters, "UNIT", 16)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=64) + rng.normal(size=(100, 64)) * 0.01
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = cap_filters.near_copies(d).toPandas()
+    assert (got.n_links == 99).all() and (got.component_id == 0).all()
+
+
+def test_toxicity(spark, sf):
+    d, labels = (spark.read.parquet(f"{sf.replace('0.001', '0.1')}/{t}.parquet") for t in ("documents", "labels"))
+    got = toxicity_fm.judge(d, labels).toPandas().merge(labels.toPandas(), on="doc_id")
+    held = got[got.held_out]
+    assert (held.predicted == held.toxic).mean() >= 0.93 and got.score.between(0, 1).all()
+    none = toxicity_fm.judge(docs(spark, EDGES), labels.limit(0))
+    assert none.count() == len(EDGES) and none.where("predicted = 1").count() == 0
+
+
+def test_pairs_are_learned():
+    terms = [[0], [1], [0, 1], []] * 60
+    w0, w, v = toxicity_fm._train(terms, np.array([0.0, 0, 1, 0] * 60), 2, epochs=200)
+    scores = [toxicity_fm.score_of(t, w0, w, v) for t in terms[:4]]
+    assert scores[2] > 0.5 > max(scores[0], scores[1], scores[3])
+
+
+def test_simhash(spark, table):
+    got = simhash_anchors.groups(table).toPandas().sort_values("doc_id")
+    fps = np.array([int(f, 16) for f in got.fingerprint], np.uint64)
+    want = [simhash_anchors.fingerprint(simhash_anchors.shingle_hashes(t)) for t in table.toPandas().sort_values("doc_id").text]
+    assert fps.tolist() == want
+    root = list(range(len(fps)))
+    for _ in range(len(fps)):
+        before = list(root)
+        for i in range(len(fps)):
+            for j in np.flatnonzero(np.bitwise_count(fps ^ fps[i]) <= 4):
+                root[i] = root[j] = min(root[i], root[j])
+        if before == root:
+            break
+    assert got.component_id.tolist() == got.doc_id.iloc[root].tolist()
+    edge = simhash_anchors.groups(docs(spark, EDGES)).collect()
+    assert len(edge) == len(EDGES) and {r.component_id for r in edge if int(r.fingerprint, 16) == 0} == {1}
+    assert simhash_anchors.keep_first(docs(spark, EDGES)).count() == len(EDGES) - 3
+
+
+def test_anchors_meet():
+    rng = np.random.default_rng(0)
+    x = rng.integers(0, 1 << 64, 300, dtype=np.uint64)
+    y = x.copy()
+    for k in range(len(y)):
+        for b in rng.choice(64, k % 5, replace=False):
+            y[k] ^= np.uint64(1) << np.uint64(b)
+    (i, a, home), (j, b, _) = simhash_anchors.anchors(x), simhash_anchors.anchors(y)
+    assert all(set(a[(i == k) & home]) & set(b[j == k]) for k in range(300))
+
+
+def test_surrogates(spark):
+    card = "4012888888881881"
+    text = (f"Frau Anna Keller, +1 (212) 555-0187, anna.k@mail3.example.com, {card} / 4012 8888 8888 1881, 10.1.2.3, "
+            "Mr. Keller; token = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\" ANNA.K@mail3.example.com 3.14 1999")
+    got = {r.doc_id: r for r in surrogates.report(docs(spark, [(11, text), (12, f"again {card}"), *EDGES])).collect()}
+    out = got[11].text
+    for gone in ("Anna", "Keller", "212", "anna.k@mail3", card, "0187", "04dbebab", "10.1.2.3"):
+        assert gone not in out
+    found, was = surrogates.entities(out), surrogates.entities(text)
+    assert [e[2].split(" ")[0] for e in found] == [e[2].split(" ")[0] for e in was] and "3.14 1999" in out
+    new = dict(zip([(e[2], e[3]) for e in was], [e[3] for e in found]))
+    assert new["card", card] in got[12].text and surrogates.luhn(new["card", card])
+    assert new["ip", "10.1.2.3"].startswith("10.") and len({e[3] for e in found if e[2] == "email"}) == 1
+    assert got[12].replaced == 1 and got[1].text is None and got[7].replaced == 0
+
+
+def test_surrogates_stay_distinct(spark, monkeypatch):
+    monkeypatch.setattr(surrogates, "surrogate", lambda kind, value, attempt, key: str((int(value) * 7 + attempt * 3) % 40))
+    values = spark.createDataFrame([("n", str(i)) for i in range(18)], "kind string, value string")
+    got = surrogates.assign(values, "k").collect()
+    assert len({r.surrogate for r in got}) == 18 and not {r.surrogate for r in got} & {r.value for r in got}
+
+
+def test_languages(spark, sf):
+    got = queries.op6_language_fusion(spark, sf).toPandas()
+    assert len(got) == spark.read.parquet(f"{sf}/pages.parquet").count()
+    declared = got[got.declared != "none"]
+    assert (declared.lang == declared.declared).mean() > 0.95 and got.confidence.between(0, 1.000001).all()
+
+
+def test_chat_round_trip(spark, sf):
+    nasty = [queries.CONFLICT, "<|role|>user<|text|>", "[\\INST] \\", "<\\\\/s>", "<</SYS>>", "<", "[INST", "", " [/INST]\n", "<s>\n</s>\n"]
+    for role in ("user", "assistant", "system", "tool", "", "<|text|>", "[INST]"):
+        for text in nasty:
+            rendered, start, length = chat_grammar.proven(role, text)
+            assert [t[:2] for t in chat_grammar.parse(rendered)] == [(role, text)]
+            assert chat_grammar.unescape(rendered[start:start + length]) == text
+    got = {r.conv_id: r for r in queries.op8_chat_grammar(spark, sf).collect()}
+    table = spark.read.parquet(f"{sf}/conversations.parquet").toPandas().sort_values(["conv_id", "turn"])
+    assert len(got) == table.conv_id.nunique() + 1
+    for conv_id, g in table.groupby("conv_id"):
+        turns = "".join(f"{r}\n{t}\n" for r, t in zip(g.role, g.text))
+        loss = "".join(t for r, t in zip(g.role, g.text) if r == "assistant")
+        row = got[conv_id]
+        assert (row.n_turns, row.turns_sha256) == (len(g), hashlib.sha256(turns.encode()).hexdigest())
+        assert (row.loss_chars, row.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    assert got[-1].loss_sha256 == hashlib.sha256(queries.CONFLICT.encode()).hexdigest()
+
+
+def test_chat_edges(spark):
+    rows = [(1, None, None, None), (1, 0, "assistant", None), (1, 0, "assistant", "b"), (None, 1, "user", "x")]
+    d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: (r.n_turns, r.loss_chars) for r in chat_grammar.read_back(chat_grammar.formatted(d)).collect()}
+    assert got == {1: (3, 1), None: (1, 0)}
+
+
+PAGES = [(1, "http://a.com/fr/1", '<a href="http://c.net/x">'), (2, "http://b.com/de/1", None), (3, "http://c.net/", '<a href=//b.com/de/>'),
+         (4, "http://d.net", '<A HREF = "http://b.com/y">'), (5, None, None), (6, "x://ORG/Q?a#b", ""), (7, "x", "<a href='://'>"),
+         (8, "http://b.com/de/2", "<a href='http://b.com/'>"), (9, "http://n.org", None), (10, "http://u@e.example.org/en/1?x", None)]
+
+
+def test_links(spark, sf, tmp_path):
+    d = spark.createDataFrame(PAGES, "page_id long, url string, html string")
+    got = {r.page_id: r for r in link_filter.verdicts(d).collect()}
+    assert [got[i].verdict for i in range(1, 11)] == ["allow", "block", "allow", "block", "allow", "allow", "allow", "block", "allow", "block"]
+    assert (got[6].host, got[6].path, got[6].rule) == ("org", "/Q", "org/") and got[9].rule is None and got[10].rule == "example.org/en/1"
+    con = duckdb.connect()
+    con.register("pages", d.toPandas())
+    assert {r[0]: r[1:] for r in con.execute(link_filter.sql()).fetchall()} == {k: tuple(r)[1:] for k, r in got.items()}
+    rows = connect(sf).execute(link_filter.sql()).fetchall()
+    assert sorted(map(str, rows)) == sorted(str(tuple(r)) for r in queries.op9_link_filter(spark, sf).collect())
+
+
+def test_decontamination(spark, table, sf):
+    items = spark.read.parquet(f"{sf}/benchmark.parquet")
+    got = {(r.doc_id, r.item_id) for r in template_decontam.matches(table, items).collect()}
+    want = {(d.doc_id, b.item_id) for d in table.collect() for b in items.collect() if b.text in d.text}
+    assert got == want
+    ask = spark.createDataFrame([(1, "If Anna has 12 apples and gives 3 kg to Ben, how many kg does Anna keep for the winter market?"), (2, None), (3, "so what")],
+                                "item_id long, text string")
+    texts = [(1, "hello. If Maria has 99 apples and gives 4 miles to Otto, how many miles does Maria keep for the winter market? end"),
+             (2, "If Maria has 99 apples and gives 4 miles to Otto, how many hours does Petra keep for the winter market?"),
+             (3, None), (4, "well so what now"), (5, "apples and gives")]
+    found = {(r.doc_id, r.item_id): r.reparameterised for r in template_decontam.matches(docs(spark, texts), ask).collect()}
+    assert found == {(1, 1): True, (4, 3): False}
+    assert template_decontam.matches(table.limit(0), items).count() == 0 and template_decontam.matches(table, items.limit(0)).count() == 0
+
+
+def test_pipeline(spark, sf):
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, d, sf)
+        assert out.columns == d.columns, name
+        n = out.count()
+        assert n > 0.7 * d.count(), name
+        d = spark.createDataFrame(out.toPandas(), d.schema)
+    assert corpus_pipeline.run(spark, sf).select("doc_id").distinct().count() == n
