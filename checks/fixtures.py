@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from coverlens import fixed_values as V
 from coverlens.functions.dates import expiry_date
 from coverlens.functions.text import sql_text
-from coverlens.sources.tables import deal_out
 
 AS_OF = datetime.date(2000, 1, 1)
 BILL_AS_OF = datetime.date(2026, 1, 1)
@@ -59,6 +58,7 @@ PICKS = ["Smartphone", "Laptop", "TV & Audio", "Home Appliance", "Wearable"]
 FILE_SUFFIXES = [".jpg", ".JPEG", ".png", ".pdf", ".webp", "", ".gif", ".tar.gz"]
 ADMINS = "7, 42,abc, 0 ,99 9,"
 LEAD_CODES = {"OneAssist": "CODE1", "Onsitego": "CODE2", "Cashify": "CODE3"}
+NEW_USER_SHIFT = 20  # moves the ids of the event log, so that some are above the known ones
 LIMIT_MAX, LIMIT_SECONDS = 3, 6 * 3600
 BACKFILL = (datetime.date(1999, 12, 1), datetime.date(2000, 1, 31))
 
@@ -68,8 +68,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def dealt(spark, sf, name):
-    """A table for heavy work on each row; the small test files are dealt out to all cores."""
-    return deal_out(table(spark, sf, name))
+    """A table for heavy work on each row: test files of one row group are dealt out, at every size alike."""
+    return table(spark, sf, name).repartition(spark.sparkContext.defaultParallelism)
 
 
 def pick(values, n):
@@ -122,7 +122,7 @@ def v_reminder_log(spark, sf):
 
 
 def v_bill_text(spark, sf):
-    p = deal_out(v_products(spark, sf), like=table(spark, sf, "orders"))
+    p = v_products(spark, sf).repartition(spark.sparkContext.defaultParallelism)
     key = F.col("product_id")
     shown = F.date_add("purchase_date", BILL_SHIFT_DAYS)
     when = F.concat(F.lit("Date: "), F.when(key % 3 == 0, F.date_format(shown, "dd-MM-yyyy"))

@@ -64,7 +64,8 @@ sql("P7_render_reminder", ["due_now"],
 sql("R1_reminder_backfill", ["v_reminder_log", "due_range"],
     f"""SELECT product_id, user_id, reminder_type, as_of, days_left, days_left <= 7 AS is_urgent, {_MESSAGE} AS message
 FROM due_range d WHERE {_UNSENT}""")
-sql("R1_reminder_stream", ["due_now"], f"SELECT product_id, user_id, reminder_type, {_MESSAGE} AS message FROM due_now")
+sql("R1_reminder_stream", _due_views,
+    f"SELECT product_id, user_id, reminder_type, {_MESSAGE} AS message FROM due_now d WHERE {_UNSENT}")
 
 # --- messages
 _kind, _arg = "split_part(text, ':', 1)", "string_split(text, ':')[2]"
@@ -165,9 +166,9 @@ _policy_join = f"""LEFT JOIN {POLICY.replace('AS t(', 'AS s(')} ON contains(lowe
 sql("C6_policy_note", ["v_issue_text"], f"""SELECT event_id, key AS policy_key, note AS brand_policy_note
 FROM (SELECT i.event_id, s.* FROM v_issue_text i {_policy_join} QUALIFY row_number() OVER (PARTITION BY i.event_id ORDER BY s.ord) = 1)""")
 ORACLE["C8_upsert_users"] = with_views(["v_users"], """SELECT user_id, first_name, language, CAST(NULL AS VARCHAR) AS plan_tier,
-  CAST(NULL AS INTEGER) AS vault_limit, CAST(NULL AS BIGINT) AS created_us FROM v_users WHERE language IS NOT NULL
-UNION ALL SELECT user_id, event_type, 'en', 'free', 5, epoch_us(ts) FROM events e
-WHERE NOT EXISTS (SELECT 1 FROM v_users u WHERE u.user_id = e.user_id AND u.language IS NOT NULL)
+  CAST(NULL AS INTEGER) AS vault_limit, CAST(NULL AS BIGINT) AS created_us FROM v_users
+UNION ALL SELECT user_id + 20, event_type, 'en', 'free', 5, epoch_us(ts) FROM events e
+WHERE NOT EXISTS (SELECT 1 FROM v_users u WHERE u.user_id = e.user_id + 20)
 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1""")
 sql("C9_cascade_delete", ["v_products", "v_reminder_log", "v_users"], """WITH gone AS (
   SELECT product_id FROM v_products WHERE order_status = 'P' OR user_id IN (SELECT user_id FROM v_users WHERE language = 'hi'))
@@ -176,7 +177,7 @@ UNION ALL SELECT 'users', user_id, NULL FROM v_users WHERE coalesce(language, ''
 UNION ALL SELECT 'reminder_logs', product_id, reminder_type FROM v_reminder_log WHERE product_id NOT IN (SELECT product_id FROM gone)""")
 product("C10_component_coverage", f"""SELECT product_id, component, months AS component_months, note AS component_note,
   {expiry('purchase_date', 'months')} AS component_expiry, {AS_OF} <= {expiry('purchase_date', 'months')} AS is_covered
-FROM v_products JOIN {COVER} ON cat = category""")
+FROM v_products LEFT JOIN {COVER} ON cat = category""")
 product("C11_recovery_guide", f"""SELECT product_id, key AS guide_key, txt AS guide_text FROM v_products JOIN {GUIDE} ON key = {_guide_key}""")
 sql("C12_language", ["v_messages", "v_users"], """SELECT event_id, m.user_id, coalesce(nullif(language, ''), 'en') AS user_lang
 FROM v_messages m LEFT JOIN v_users u ON u.user_id = m.user_id""")
@@ -365,10 +366,9 @@ sql("B8_purchase_date", [_b[3]], f"""SELECT bill_key AS bill_id, purchase_date,
 sql("B9_B10_price", [_b[3]], f"""SELECT bill_key AS bill_id, array_to_string(list_sort(excluded), ',') AS excluded,
   len(candidates) > 0 AS has_candidates, list_max(candidates) AS max_candidate, price_paid FROM {_b[3]}""")
 ORACLE["B13_input_choice"] = """SELECT conv_id, turn, CASE WHEN length(o) > 15 THEN o ELSE lower('Invoice_iPhone15_' || role || '.JPG Bought on Amazon') END AS chosen
-FROM (SELECT *, split_part(text, '.', 1) AS o FROM conversations)"""
+FROM (SELECT *, text AS o FROM conversations)"""
 _d = bill_views("documents", "doc_id", "coalesce(text, '')", "''", "v_doc_")
-sql("B1_on_documents", [_d[3]], f"""SELECT bill_key AS doc_id, brand, category, serial_no, purchase_date, warranty_months, is_food_receipt,
-  price_paid FROM {_d[3]}""")
+sql("B1_on_documents", [_d[3]], f"SELECT bill_key AS doc_id, {', '.join(_all)} FROM {_d[3]}")
 
 sql("E1_intake", [_b[3], "v_chosen"], f"""WITH j AS (SELECT t.bill_id, t.caption, c.bill_id IS NOT NULL AS has_model,
   CASE WHEN has_model THEN c.image_type ELSE b.image_type END AS image_type, CASE WHEN has_model THEN c.product_name ELSE b.product_name END AS pn,

@@ -245,8 +245,8 @@ def C7_keyword_brand(spark, sf):
 @query
 def C8_upsert_users(spark, sf):
     """Users active in the event log; those above the known ids are new."""
-    known = X.v_users(spark, sf).where(F.col("language").isNotNull())
-    seen = X.events(spark, sf).select("user_id", "ts", "event_id", F.col("event_type").alias("first_name"))
+    known = X.v_users(spark, sf)
+    seen = X.events(spark, sf).select((F.col("user_id") + X.NEW_USER_SHIFT).alias("user_id"), "ts", "event_id", F.col("event_type").alias("first_name"))
     return users.upsert_users(known, seen).select("user_id", "first_name", "language", "plan_tier", "vault_limit",
                                                   F.unix_micros("created_at").alias("created_us"))
 
@@ -278,7 +278,7 @@ def C11_recovery_guide(spark, sf):
 
 @query
 def C12_language(spark, sf):
-    return enrich.with_language(X.v_messages(spark, sf), X.v_users(spark, sf), ["event_id"]).select(
+    return enrich.with_language(X.v_messages(spark, sf), X.v_users(spark, sf), ["event_id"], hot_rows=20).select(
         "event_id", "user_id", "user_lang")
 
 
@@ -389,7 +389,7 @@ def B13_input_choice(spark, sf):
     """Texts of conversations as OCR output: short ones give way to file name and caption."""
     c = X.table(spark, sf, "conversations")
     name = F.concat(F.lit("Invoice_iPhone15_"), F.col("role"), F.lit(".JPG"))
-    chosen = bills.choose_text(F.substring_index("text", ".", 1), name, F.lit("Bought on Amazon"))
+    chosen = bills.choose_text(F.col("text"), name, F.lit("Bought on Amazon"))
     return c.select("conv_id", "turn", chosen.alias("chosen"))
 
 
@@ -398,9 +398,7 @@ def B1_on_documents(spark, sf):
     """The whole record from long free texts."""
     d = X.dealt(spark, sf, "documents").select("doc_id", "text")
     b = bills.extract_bill(d, "text", None, X.BILL_AS_OF)
-    return b.select("doc_id", *[F.col(f"bill.{f}").alias(f) for f in
-                                ("brand", "category", "serial_no", "purchase_date", "warranty_months",
-                                 "is_food_receipt", "price_paid")])
+    return b.select("doc_id", *[F.col(f"bill.{f}").alias(f) for f in bills.BILL_FIELDS])
 
 
 @query
@@ -533,6 +531,7 @@ def R1_reminder_stream(spark, sf):
     products(spark, sf).write.parquet(incoming)
     schema = spark.read.parquet(incoming).schema
     stream = tables.read_messages_stream(spark, incoming, schema)
+    X.v_reminder_log(spark, sf).write.parquet(log)
     stream_reminders(stream, X.AS_OF, outbox, log, work_dir(spark, "cp")).awaitTermination()
     return spark.read.parquet(outbox).select("product_id", "user_id", "reminder_type", "message")
 

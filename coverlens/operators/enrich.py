@@ -78,12 +78,15 @@ def normal_category(c) -> Column:
 
 
 def component_coverage(products: DataFrame, as_of) -> DataFrame:
-    """One row per product and component cover of its category, with its own expiry."""
+    """One row per product and component cover of its category, with its own expiry.
+
+    A product whose category has no component cover keeps one row without a component.
+    """
     cover = dim(products.sparkSession, "component_coverage").select(
         F.col("category").alias("_category"), "component", F.col("months").alias("component_months"),
         F.col("note").alias("component_note"))
     return (products.withColumn("_category", normal_category("category"))
-            .join(F.broadcast(cover), "_category").drop("_category")
+            .join(F.broadcast(cover), "_category", "left").drop("_category")
             .withColumn("component_expiry", expiry_date("purchase_date", "component_months"))
             .withColumn("is_covered", day(as_of) <= F.col("component_expiry")))
 
@@ -102,10 +105,10 @@ def with_recovery_guide(df: DataFrame, platform_col: str = "purchase_platform")
             .join(F.broadcast(guides), "guide_key"))
 
 
-def with_language(df: DataFrame, users: DataFrame, spread_on: list[str]) -> DataFrame:
+def with_language(df: DataFrame, users: DataFrame, spread_on: list[str], hot_rows: int = 2_000_000) -> DataFrame:
     """Language of each row's user, English when unknown or empty."""
     langs = users.select("user_id", F.col("language").alias("_language"))
-    return (spread_join(df, langs, "user_id", spread_on, "left")
+    return (spread_join(df, langs, "user_id", spread_on, "left", hot_rows)
             .withColumn("user_lang", or_default("_language", "en")).drop("_language"))
 
 

@@ -67,24 +67,23 @@ def running_last(df: DataFrame, keys, buckets, order, values: dict, previous: di
 
 
 def spread_join(fact: DataFrame, dim: DataFrame, key: str, spread_on: list[str], how: str = "inner",
-                hot_rows: int = 2_000_000, spread: int = 64) -> DataFrame:
-    """Join facts to a table with unique keys; keys with many facts are split.
-
-    Keys with at least ``hot_rows`` facts are counted on the key column alone.
-    There are at most (facts / hot_rows) of them, which is why that list, and
-    only that list, is broadcast. Facts of such a key go to ``spread`` slices,
-    and its row in ``dim`` is repeated once per slice. A NULL key matches
-    nothing and is spread too. The slice is a hash of ``spread_on``, so a task
-    that is run again puts its rows where the first run put them.
+                hot_rows: int = 2_000_000) -> DataFrame:
+    """Join facts to a table with unique keys; keys with many facts are split into slices of about ``hot_rows`` facts.
+
+    Keys are counted on the key column alone, reduced on the map side. A key of
+    n facts gets ceil(n / hot_rows) slices, so a slice does not grow with its
+    key; the key's row in ``dim`` is repeated once per slice. The list of keys
+    with more than one slice has at most (facts / hot_rows) rows; the planner
+    decides how to join it. A NULL key matches nothing and is split likewise.
+    The slice is a hash of ``spread_on``, so a task that is run again puts its
+    rows where the first run put them.
     """
-    hot = F.broadcast(fact.where(F.col(key).isNotNull()).groupBy(key).count()
-                      .where(F.col("count") >= hot_rows).select(F.col(key).alias("_hot")))
-    slices = F.array(*[F.lit(i) for i in range(spread)])
-    some_slice = F.pmod(F.xxhash64(*spread_on), F.lit(spread)).cast("int")
-    left = (fact.join(hot, F.col(key) == F.col("_hot"), "left")
-            .withColumn("_slice", F.when(F.col("_hot").isNotNull() | F.col(key).isNull(), some_slice).otherwise(0))
-            .drop("_hot"))
+    hot = (fact.groupBy(F.col(key).alias("_hot")).count()
+           .select("_hot", F.ceil(F.col("count") / hot_rows).cast("int").alias("_slices")).where("_slices > 1"))
+    left = (fact.join(hot, F.col(key).eqNullSafe(F.col("_hot")), "left")
+            .withColumn("_slice", F.pmod(F.xxhash64(*spread_on), F.coalesce("_slices", F.lit(1))).cast("int"))
+            .drop("_hot", "_slices"))
     right = (dim.join(hot, F.col(key) == F.col("_hot"), "left")
-             .withColumn("_slice", F.explode(F.when(F.col("_hot").isNotNull(), slices).otherwise(F.array(F.lit(0)))))
-             .drop("_hot"))
+             .withColumn("_slice", F.explode(F.sequence(F.lit(0), F.coalesce("_slices", F.lit(1)) - 1)))
+             .drop("_hot", "_slices"))
     return left.join(right, [key, "_slice"], how).drop("_slice")

@@ -1,9 +1,11 @@
 """Appending sinks. Keys come from the data, so a retried batch adds nothing new."""
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F
 
 from coverlens import fixed_values as V
 from coverlens.functions.dates import expiry_date
 from coverlens.functions.text import or_default
+from coverlens.operators.lifecycle import unsent
 from coverlens.schemas import LEADS, PRODUCTS
 
 
@@ -21,7 +23,7 @@ def product_rows(confirmed: DataFrame) -> DataFrame:
     """
     df = confirmed
     for name, value in V.SAVE_DEFAULTS.items():
-        df = df.withColumn(name, or_default(name, value))
+        df = df.withColumn(name, or_default(name, value) if name in V.EMPTY_IS_MISSING else F.coalesce(name, F.lit(value)))
     df = (df.withColumn("warranty_months", F.coalesce("warranty_months", F.lit(V.DEFAULT_WARRANTY_MONTHS)))
           .withColumn("purchase_date", F.coalesce("purchase_date", F.to_date("confirmed_at")))
           .withColumn("expiry_date", expiry_date("purchase_date", "warranty_months"))
@@ -34,16 +36,29 @@ def product_rows(confirmed: DataFrame) -> DataFrame:
 
 def _append_new(rows: DataFrame, directory: str, keys: list[str]) -> None:
     """Append rows whose key is not stored yet, once each."""
-    spark = rows.sparkSession
     rows = rows.dropDuplicates(keys)
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(directory)
-    if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        stored = spark.read.schema(rows.schema).parquet(directory).select(*keys)
-        rows = rows.join(stored, keys, "left_anti")
+    stored = _stored(rows.sparkSession, rows.schema, directory)
+    if stored is not None:
+        rows = rows.join(stored.select(*keys), keys, "left_anti")
     rows.write.mode("append").parquet(directory)
 
 
+def _stored(spark, schema, directory: str) -> DataFrame | None:
+    """A stored table; none if nothing was written yet."""
+    try:
+        return spark.read.schema(schema).parquet(directory)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def not_logged(due: DataFrame, log_dir: str) -> DataFrame:
+    """Due reminders that the stored log does not hold."""
+    log = _stored(due.sparkSession, "product_id long, reminder_type string", log_dir)
+    return due if log is None else unsent(due, log)
+
+
 def append_products(confirmed: DataFrame, directory: str) -> None:
     # The hash alone could meet another product's at very large counts; with owner and time it cannot.
     _append_new(product_rows(confirmed), directory, ["id", "user_id", "created_at"])

@@ -12,19 +12,6 @@ def read_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return df.withColumnRenamed("id", "product_id") if name == "product_warranties" else df
 
 
-def deal_out(df: DataFrame, like: DataFrame | None = None, bytes_per_core: int = 8 << 20) -> DataFrame:
-    """Deals the rows of a small table out to all cores before heavy work on each row.
-
-    A small table is often one file with one row group, which one core would
-    read and work on alone. Tables of more than ``bytes_per_core`` per core
-    have splits for all cores and are left as they are: they are never shuffled.
-    For a join the estimate says little; ``like`` names the table to judge by.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = (like or df)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return df.repartition(cores) if int(str(size)) < cores * bytes_per_core else df
-
-
 def for_user(df: DataFrame, user_id: int) -> DataFrame:
     return df.where(F.col("user_id") == user_id)
 

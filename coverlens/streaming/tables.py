@@ -8,7 +8,7 @@ from coverlens.operators.lifecycle import milestones, render_reminder
 from coverlens.operators.messages import parse_action, to_leads
 from coverlens.operators.users import upsert_users
 from coverlens.plans.reminders import OUTBOX_COLUMNS
-from coverlens.sources.sinks import _append_new, append_leads, emit_reminders
+from coverlens.sources.sinks import _append_new, append_leads, emit_reminders, not_logged
 
 
 def _each_batch(stream: DataFrame, write, checkpoint: str) -> StreamingQuery:
@@ -31,9 +31,10 @@ def stream_users(seen: DataFrame, directory: str, checkpoint: str) -> StreamingQ
 
 def stream_reminders(products: DataFrame, as_of: datetime.date, outbox_dir: str, log_dir: str,
                      checkpoint: str) -> StreamingQuery:
-    """Reminders of newly arriving products for a day; a batch that is retried sends nothing twice."""
+    """Reminders of newly arriving products for a day, but those the log holds; a batch that is retried sends nothing twice."""
     def write(batch):
-        emit_reminders(render_reminder(milestones(batch, as_of)).select(*OUTBOX_COLUMNS), outbox_dir, log_dir)
+        due = not_logged(milestones(batch, as_of), log_dir)
+        emit_reminders(render_reminder(due).select(*OUTBOX_COLUMNS), outbox_dir, log_dir)
     return _each_batch(products, write, checkpoint)
 
 
