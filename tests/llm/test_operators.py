@@ -35,7 +35,7 @@ def tok():
 
 def test_encoder_equals_library(tok):
     rnd = random.Random(1)
-    parts = [*"ab'stre12 .,,\n\n  \t\u00e9\u00bd\u00b2\u00a0\x1c\x85_<|>", "<|endoftext|>", "'s", "  ", " the", "\u65e5\u672c"]
+    parts = [*"ab'stre12 .,,\n\n  \t\u00e9\u00bd\u00b2\u00a0\x1c\x85_<|>", "<|endoftext|>", "'s", "  ", " the", "\u65e5\u672c", "***", "!?", '("', " \u043c\u0438\u0440", " caf\u00e9", "\u0531\u0301"]
     encode = tokens.Encoder(tokens.tokenizer_path(), 50, 20)
     for _ in range(5000):
         text = "".join(rnd.choice(parts) for _ in range(rnd.randint(0, 14)))
