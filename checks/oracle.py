@@ -191,7 +191,7 @@ WHERE kind IN ('extend_warn', 'cashify', 'lead', 'view_prod')""")
 # --- model answers
 _clean = r"""CASE WHEN starts_with(t, '```') THEN regexp_replace(regexp_replace(t, '^```(json)?\s*', ''), '\s*```$', '') ELSE t END"""
 _fields = ["image_type", "product_name", "brand", "price_paid", "warranty_months", "serial_no", "detected_issue", "purchase_date"]
-VIEWS["v_answers"] = f"""SELECT bill_id, engine_rank, obj IS NOT NULL AS readable, {', '.join(f"obj->>'$.{f}' AS {f}" for f in _fields)} FROM (
+VIEWS["v_answers"] = f"""SELECT bill_id, engine_rank, obj IS NOT NULL AS readable, coalesce(len(json_keys(obj)) > 0, FALSE) AS spoken, {', '.join(f"obj->>'$.{f}' AS {f}" for f in _fields)} FROM (
   SELECT bill_id, engine_rank, CASE WHEN json_valid(c) THEN CASE WHEN starts_with(c, '{{') THEN c END
     WHEN json_valid(regexp_extract(c, '(?s)\\{{.*\\}}')) THEN regexp_extract(c, '(?s)\\{{.*\\}}') END AS obj
   FROM (SELECT *, {_clean} AS c FROM (SELECT *, {strip('answer')} AS t FROM v_model_json)))"""
@@ -204,9 +204,11 @@ QUALIFY row_number() OVER (PARTITION BY bill_id ORDER BY engine_rank) = 1"""
 NEEDS["v_chosen"] = ["v_answers"]
 sql("G2_first_acceptable", ["v_chosen"], "SELECT * FROM v_chosen")
 _places = "CASE model WHEN 'vision-large' THEN 0 WHEN 'vision-free' THEN 1 WHEN 'vision-small' THEN 2 END"
-sql("G2_model_order", ["v_answers"], f"""SELECT bill_id, {_places} AS chosen_engine, product_name
-FROM (SELECT *, {pick(X.MODELS, 'bill_id + engine_rank')} AS model FROM v_answers)
-WHERE image_type IN ('INVOICE', 'PRODUCT_LABEL', 'DEFECT_ISSUE') AND model <> 'other'
+sql("G2_model_order", ["v_answers"], f"""SELECT bill_id, chosen_engine, chosen_model, product_name
+FROM (SELECT *, CASE WHEN model = 'other' THEN 1 ELSE 0 END AS chosen_engine, coalesce({_places}, 0) AS chosen_model
+  FROM (SELECT *, {pick(X.MODELS, 'bill_id + engine_rank')} AS model FROM v_answers)
+  WHERE spoken QUALIFY row_number() OVER (PARTITION BY bill_id, chosen_engine ORDER BY chosen_model) = 1)
+WHERE image_type IN ('INVOICE', 'PRODUCT_LABEL', 'DEFECT_ISSUE')
 QUALIFY row_number() OVER (PARTITION BY bill_id ORDER BY chosen_engine) = 1""")
 ORACLE["J2_answer_text"] = "SELECT event_id, props AS content FROM events"
 _defect = any_of("lower(coalesce(caption, ''))", V.DEFECT_CAPTION_WORDS)

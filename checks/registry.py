@@ -329,9 +329,12 @@ def G2_first_acceptable(spark, sf):
 
 @query
 def G2_model_order(spark, sf):
+    """One engine that tries several models in order, and a second one with the model that the first does not know."""
     j = X.v_model_json(spark, sf).withColumn("model", X.pick(X.MODELS, F.col("bill_id") + F.col("engine_rank")))
-    ranked = j.withColumn("engine_rank", bills.engine_rank(F.col("model"), *X.MODEL_ORDER))
-    return bills.first_acceptable(ranked).select("bill_id", "chosen_engine", F.col("model_bill.product_name").alias("product_name"))
+    place = bills.engine_rank(F.col("model"), *X.MODEL_ORDER)
+    ranked = j.withColumns({"place": F.coalesce(place, F.lit(0)), "engine_rank": F.when(place.isNull(), 1).otherwise(0)})
+    return bills.first_acceptable(ranked, model="place").select(
+        "bill_id", "chosen_engine", "chosen_model", F.col("model_bill.product_name").alias("product_name"))
 
 
 # --- bill text ---------------------------------------------------------------

@@ -34,6 +34,11 @@ def _object_span(clean) -> Column:
                   clean.substr(head, tail - head + 1)))
 
 
+def empty_answer(c) -> Column:
+    """True when the object in the text has no fields at all."""
+    return bind(unfenced(c), lambda clean: F.coalesce(_object_span(clean).rlike(r"^\{\s*\}$"), F.lit(False)))
+
+
 def parse_answer(c) -> Column:
     """Answer text to a record of strings, NULL when no JSON object can be read.
 

@@ -6,7 +6,7 @@ lines and the captures of the patterns are computed once per row.
 from pyspark.sql import Column, DataFrame, functions as F
 
 from coverlens import fixed_values as V
-from coverlens.functions.answers import parse_answer
+from coverlens.functions.answers import empty_answer, parse_answer
 from coverlens.functions.dates import day, strict_iso_date
 from coverlens.functions.text import (after_words, contains_any, first_case, first_word_of, non_blank_lines, sql_text,
                                       strip, title_case, unicode_pattern)
@@ -186,18 +186,28 @@ def engine_rank(model, selected: str, fallbacks: list[str]) -> Column:
 
 
 def first_acceptable(answers: DataFrame, key: str = "bill_id", rank: str = "engine_rank",
-                     text_col: str = "answer") -> DataFrame:
+                     text_col: str = "answer", model: str | None = None) -> DataFrame:
     """Per bill the answer of the first engine that gave an acceptable one.
 
+    ``model`` names the place of a model within its engine, where engines try
+    several. Such an engine answers with the first of its models that gives an
+    object with any field, acceptable or not; if it is not, the next engine is
+    asked and not the next model. Models without a place are never asked.
+
     An aggregate and not a window: many answers to one bill are reduced on the
     map side before anything is shuffled. What is not acceptable gets no rank,
     which the aggregate skips; a filter in its place would parse every text a
     second time.
     """
     parsed = answers.withColumn("_a", parse_answer(text_col))
+    if model:
+        spoken = F.when(F.col("_a").isNotNull() & ~empty_answer(text_col), F.col(model))
+        parsed = parsed.groupBy(key, rank).agg(F.min_by("_a", spoken).alias("_a"), F.min(spoken).alias("chosen_model"))
     usable = F.when(F.col("_a.image_type").isin(V.ACCEPTED_IMAGE_TYPES), F.col(rank))
-    ranked = parsed.select(key, usable.alias("_rank"), typed_answer(F.col("_a")).alias("_bill"))
-    best = ranked.groupBy(key).agg(F.min_by("_bill", "_rank").alias("model_bill"), F.min("_rank").alias("chosen_engine"))
+    chosen = ["chosen_model"] if model else []
+    ranked = parsed.select(key, usable.alias("_rank"), typed_answer(F.col("_a")).alias("_bill"), *chosen)
+    best = ranked.groupBy(key).agg(F.min_by("_bill", "_rank").alias("model_bill"), F.min("_rank").alias("chosen_engine"),
+                                   *[F.min_by(c, "_rank").alias(c) for c in chosen])
     return best.where(F.col("chosen_engine").isNotNull())
 
 

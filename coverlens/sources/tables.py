@@ -40,10 +40,15 @@ def classify_files(files: DataFrame) -> DataFrame:
             .withColumn("is_image", F.col("extension").isin(V.IMAGE_EXTENSIONS)))
 
 
-def read_bill_files(spark: SparkSession, path: str) -> DataFrame:
-    """File listing with intake check; the bytes themselves are never read."""
+def read_bill_files(spark: SparkSession, path: str, photos: str | None = None) -> DataFrame:
+    """File listing with intake check; the bytes themselves are never read.
+
+    ``photos`` is a pattern of the paths that came in as photos, to which the
+    size cap does not apply.
+    """
+    is_photo = F.col("path").rlike(photos) if photos else F.lit(False)
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-             .select("path", "length", F.lit(False).alias("is_photo")))
+             .select("path", "length", is_photo.alias("is_photo")))
     return with_mime(classify_files(files), "path")
 
 

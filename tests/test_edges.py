@@ -130,6 +130,18 @@ def test_answers(spark):
     assert got[9]["brand"] == "b"
 
 
+def test_engines_and_their_models(spark):
+    """The first model that says anything speaks for its engine; the next engine is asked if that is not acceptable."""
+    invoice, other = '{"image_type": "INVOICE", "product_name": "%s"}', '{"image_type": "OTHER"}'
+    rows = [(1, 0, 0, other), (1, 0, 1, invoice % "never asked"), (1, 1, 0, invoice % "second engine"),
+            (2, 0, 0, "{ }"), (2, 0, 1, "no object"), (2, 0, 2, invoice % "third model"), (2, 1, 0, invoice % "second engine"),
+            (3, 0, 0, '{"note": 1}'), (3, 0, 1, invoice % "never asked"),
+            (4, 0, None, invoice % "no place"), (4, 1, 0, None)]
+    answers_of = spark.createDataFrame(rows, "bill_id int, engine_rank int, place int, answer string")
+    got = bills.first_acceptable(answers_of, model="place").select("bill_id", "chosen_engine", "chosen_model", "model_bill.product_name")
+    assert sorted(map(tuple, got.collect())) == [(1, 1, 0, "second engine"), (2, 0, 2, "third model")]
+
+
 def test_dates_prices_months(spark):
     typed = ["today", " Yesterday ", "2024-12-29", "29-12-2024", "29/12/2024", "29.12.2024", "31-02-2024", "soon"]
     assert column(spark, typed, lambda c: dates.parse_human_date(c, AS_OF)) == [
