@@ -186,6 +186,7 @@ def test_files(spark, tmp_path):
     (tmp_path / "x.webp").write_bytes(b"12345")
     got = tables.read_bill_files(spark, str(tmp_path)).first()
     assert (got["length"], got["extension"], got["mime_type"], got["accepted"]) == (5, "webp", "image/webp", True)
+    assert tables.read_bill_files(spark, str(tmp_path), photos=r"/x\.").first()["extension"] == "jpg"
     assert column(spark, ["x.pdf", "x.gif", "x", ".png"], lambda c: files.mime_type(c, "model")) == [
         "image/jpeg", "image/gif", "image/jpeg", "image/jpeg"]
 
