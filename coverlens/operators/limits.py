@@ -117,25 +117,29 @@ def _stretches(rated, width, block_rows):
 
 
 def _decide_stretches(rated, max_requests, width, block_rows):
+    """Decisions on contested rows, round by round.
+
+    The rows of all stretches are written once, in a folder per block: a round
+    reads the folder of its block and nothing else. They are dealt by stretch
+    first, so that a folder has no more files than stretches.
+    """
     spark = rated.sparkSession
     slices = materialize(_stretches(rated, width, block_rows), "stretches")
-    rows = (rated.join(slices, ["user_id", "_slice"])
-            .where((F.col("_us") > F.col("_from")) & (F.col("_us") <= F.col("_to")))
-            .select("user_id", "_seg", "_us", "event_id", "contested", F.lit(False).alias("carried"), "_block"))
-    rounds = slices.agg(F.max("_block")).first()[0]
-    done = [spark.createDataFrame([], "user_id long, event_id long, _us long, accepted boolean")]
+    last = slices.agg(F.max("_block")).first()[0]
+    done = spark.createDataFrame([], "user_id long, event_id long, _us long, accepted boolean")
+    if last is None:
+        return done
+    rows = materialize(rated.join(slices, ["user_id", "_slice"])
+                       .where((F.col("_us") > F.col("_from")) & (F.col("_us") <= F.col("_to")))
+                       .select("user_id", "_seg", "_us", "event_id", "contested", F.lit(False).alias("carried"), "_block")
+                       .repartition("_block", "user_id", "_seg"), "contested", by=["_block"])
     state = None
-    for r in range(0 if rounds is None else rounds + 1):
+    for r in range(last + 1):
         block = rows.where(F.col("_block") == r).drop("_block")
         if state is not None:
             block = block.unionByName(state.withColumn("contested", F.lit(False)).drop("accepted"))
-        out = (block.repartition("user_id", "_seg").sortWithinPartitions("user_id", "_seg", "_us", "event_id")
-               .mapInPandas(_decide(max_requests, width), _DECISIONS))
-        if rounds:
-            out = materialize(out, "decided")
+        out = materialize(block.repartition("user_id", "_seg").sortWithinPartitions("user_id", "_seg", "_us", "event_id")
+                          .mapInPandas(_decide(max_requests, width), _DECISIONS), "decided", by=["carried"])
         state = out.where("carried")
-        done.append(out.where("not carried").select("user_id", "event_id", "_us", "accepted"))
-    result = done[0]
-    for d in done[1:]:
-        result = result.unionByName(d)
-    return result
+        done = done.unionByName(out.where("not carried").select("user_id", "event_id", "_us", "accepted"))
+    return done

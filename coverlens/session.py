@@ -40,8 +40,8 @@ def work_dir(spark, name):
     return f"{checkpoint_root(spark).rstrip('/')}/coverlens/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df, name):
-    """Write and read back: cuts lineage in a way that survives lost executors."""
+def materialize(df, name, by=()):
+    """Write and read back: cuts lineage in a way that survives lost executors. ``by`` names columns with a folder per value."""
     path = work_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
