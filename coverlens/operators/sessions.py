@@ -1,9 +1,10 @@
 """Registration sessions: photo, edits, confirm or cancel, folded per user.
 
 A new photo or a fresh start writes every field, an edit writes one, so the
-state at any moment is the latest write of each field. That makes the fold a
-set of running latest values, which is computed per (user, hour) with a carry
-over the hours; no task ever holds all events of one user.
+state at any moment is the latest write of each field since the session began.
+The session of an event is a running value, computed per (user, hour) with a
+carry over the hours; the fields are then aggregated per session, reduced on
+the map side. No task ever holds all events of one user.
 """
 from pyspark.sql import DataFrame, functions as F
 
@@ -63,15 +64,20 @@ def field_writes(events: DataFrame) -> DataFrame:
 def confirmed_registrations(events: DataFrame) -> DataFrame:
     """State of each session at its confirmation: (user_id, ts, event_id, kind, field, value, bill) folded.
 
-    Events outside a session change nothing: the next start overwrites every
-    field, and a confirmation counts only while a session is open.
+    Only two values run over a user's events: which session began last, and
+    whether one is open. Events outside a session are dropped there; the rest
+    are grouped by session, where the latest write of each field counts.
+    Nothing follows a confirmation in its session, so all writes precede it.
     """
-    staged = field_writes(events).withColumn("_hour", F.date_trunc("hour", "ts"))
-    is_open = F.when(F.col("kind").isin(STARTS), True).when(F.col("kind").isin(ENDS), False)
-    started = F.when(F.col("kind").isin(STARTS), F.col("event_id"))
-    latest = running_last(staged, keys=["user_id"], buckets=["_hour"], order=["ts", "event_id"],
-                          values={**{f"s_{n}": F.col(f"w_{n}") for n in FIELDS}, "session_id": started},
-                          previous={"was_open": is_open})
-    done = latest.where((F.col("kind") == "confirm") & F.col("was_open"))
-    return done.select("user_id", "session_id", F.col("event_id").alias("confirmed_id"),
-                       F.col("ts").alias("confirmed_at"), *[F.col(f"s_{n}.v").alias(n) for n in FIELDS])
+    staged = events.withColumn("_hour", F.date_trunc("hour", "ts"))
+    starts = F.col("kind").isin(STARTS)
+    is_open = F.when(starts, True).when(F.col("kind").isin(ENDS), False)
+    placed = running_last(staged, keys=["user_id"], buckets=["_hour"], order=["ts", "event_id"],
+                          values={"_session": F.when(starts, F.struct("event_id", "ts"))}, previous={"was_open": is_open})
+    inside = field_writes(placed.where(starts | F.col("was_open")))
+    at = F.struct("ts", "event_id")
+    latest = [F.max_by(f"w_{n}", F.when(F.col(f"w_{n}").isNotNull(), at)).alias(f"s_{n}") for n in FIELDS]
+    done = inside.groupBy("user_id", "_session").agg(F.max(F.when(F.col("kind") == "confirm", at)).alias("_done"), *latest)
+    return done.where(F.col("_done").isNotNull()).select(
+        "user_id", F.col("_session.event_id").alias("session_id"), F.col("_done.event_id").alias("confirmed_id"), F.col("_done.ts").alias("confirmed_at"),
+        *[F.col(f"s_{n}.v").alias(n) for n in FIELDS])
