@@ -37,7 +37,7 @@ sql("S3_mime_types", ["v_files"],
     f"SELECT doc_id, {_mime(V.STORAGE_MIME)} AS storage_mime, {_mime(V.MODEL_MIME)} AS model_mime FROM v_files")
 
 sql("S4_append_products", ["v_confirmed"], f"""SELECT user_id, coalesce(nullif(product_name, ''), 'Electronic Appliance') AS product_name,
-  coalesce(nullif(category, ''), 'General') AS category, coalesce(nullif(brand, ''), 'Unknown') AS brand,
+  coalesce(category, 'General') AS category, coalesce(brand, 'Unknown') AS brand,  -- empty ones are kept
   coalesce(nullif(purchase_platform, ''), 'Local Store') AS purchase_platform,
   coalesce(purchase_date, CAST(confirmed_at AS DATE)) AS purchase_date, coalesce(warranty_months, 12) AS warranty_months,
   {expiry('coalesce(purchase_date, CAST(confirmed_at AS DATE))', 'coalesce(warranty_months, 12)')} AS expiry_date,
@@ -165,6 +165,11 @@ _policy_join = f"""LEFT JOIN {POLICY.replace('AS t(', 'AS s(')} ON contains(lowe
   OR contains(lower(coalesce(i.issue, '')), s.key)"""
 sql("C6_policy_note", ["v_issue_text"], f"""SELECT event_id, key AS policy_key, note AS brand_policy_note
 FROM (SELECT i.event_id, s.* FROM v_issue_text i {_policy_join} QUALIFY row_number() OVER (PARTITION BY i.event_id ORDER BY s.ord) = 1)""")
+sql("S1_scan_all_tables", ["v_users", "v_products", "v_reminder_log", "v_leads"], """
+SELECT 'users' AS table_name, user_id AS row_key, first_name AS detail FROM v_users
+UNION ALL SELECT 'product_warranties', product_id, brand FROM v_products
+UNION ALL SELECT 'reminder_logs', product_id, reminder_type FROM v_reminder_log
+UNION ALL SELECT 'lead_requests', event_id, service_type FROM v_leads""")
 ORACLE["C8_upsert_users"] = with_views(["v_users"], """SELECT user_id, first_name, language, CAST(NULL AS VARCHAR) AS plan_tier,
   CAST(NULL AS INTEGER) AS vault_limit, CAST(NULL AS BIGINT) AS created_us FROM v_users
 UNION ALL SELECT user_id + 20, event_type, 'en', 'free', 5, epoch_us(ts) FROM events e

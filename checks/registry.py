@@ -40,6 +40,25 @@ def S1_scan_tables(spark, sf):
         "product_id", "user_id", "brand", "purchase_date", "expiry_date", "price_paid")
 
 
+@query
+def S1_scan_all_tables(spark, sf):
+    """Each of the four stored tables, written and read back with its declared schema."""
+    folder = work_dir(spark, "all-tables")
+    leads = messages.to_leads(messages.parse_action(X.v_messages(spark, sf)), X.LEAD_CODES).withColumn("id", F.col("event_id"))
+    stored = {"users": X.v_users(spark, sf), "product_warranties": products(spark, sf).withColumnRenamed("product_id", "id"),
+              "reminder_logs": X.v_reminder_log(spark, sf), "lead_requests": leads}
+    shown = {"users": ("user_id", "first_name"), "product_warranties": ("product_id", "brand"),
+             "reminder_logs": ("product_id", "reminder_type"), "lead_requests": ("id", "service_type")}
+    out = None
+    for name, df in stored.items():
+        sinks.conform(df, schemas.TABLES[name]).write.parquet(f"{folder}/{name}")
+        key, detail = shown[name]
+        part = tables.read_table(spark, folder, name).select(
+            F.lit(name).alias("table_name"), F.col(key).alias("row_key"), F.col(detail).alias("detail"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query
 def S2_bill_files(spark, sf):
     return tables.classify_files(X.v_files(spark, sf)).select(
