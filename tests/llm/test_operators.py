@@ -9,8 +9,8 @@ import pytest
 
 import corpus_pipeline
 from checks.compare import connect
-from coverlens.llm import (cap_filters, chat_grammar, link_filter, lp_packing, queries, simhash_anchors, surrogates, template_decontam,
-                           token_records, tokens, toxicity_fm)
+from coverlens.llm import (cap_filters, chat_grammar, link_filter, lp_packing, queries, shingle_copies, simhash_anchors, surrogates,
+                           template_decontam, token_records, tokens, toxicity_fm)
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, start long, score double, fp long"
 
@@ -166,6 +166,62 @@ def test_anchors_meet():
     assert all(set(a[(i == k) & home]) & set(b[j == k]) for k in range(300))
 
 
+def shingles(text, size=5):
+    w = (text or "").lower().split()
+    return {tuple(w[i:i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def kept_by_brute_force(rows, similarity=0.8):
+    """Indices of the first row of each group, rows ordered by doc_id."""
+    sets = [shingles(t) for _, t in rows]
+    root = list(range(len(rows)))
+    while True:
+        before = list(root)
+        for i in range(len(rows)):
+            for j in range(i):
+                lo, hi = sorted((len(sets[i]), len(sets[j])))
+                if root[i] != root[j] and lo >= similarity * hi and jaccard(sets[i], sets[j]) >= similarity:
+                    root[i] = root[j] = min(root[i], root[j])
+        if before == root:
+            return sorted(set(root))
+
+
+def test_pipeline_near_copies(spark, sf):
+    """All pairs of 0.8 or more go, also those over four bits apart; pairs below stay, also two texts of one doc_id."""
+    rnd = random.Random(2)
+    words = [f"w{i}" for i in range(3000)]
+    rows = []
+    for i in range(60):  # similarities of 0.7 to 0.95, by replaced runs of words
+        base = [rnd.choice(words) for _ in range(120)]
+        rows.append((3 * i, " ".join(base)))
+        for k in (1, 2):
+            at, n = rnd.randrange(0, 90), rnd.randint(1, 14)
+            rows.append((3 * i + k, " ".join([*base[:at], *(rnd.choice(words) for _ in range(n)), *base[at + n:]])))
+    rows += [(500, "one text of a doc id that has two"), (500, "and quite another of the same id"), (501, ""), (502, None)]
+    got = sorted((r.doc_id, r.text or "") for r in corpus_pipeline.near_copies(spark, docs(spark, rows), sf).collect())
+    want = sorted((rows[i][0], rows[i][1] or "") for i in kept_by_brute_force(rows))
+    first = {r for r in want if r[0] != 500}
+    assert {r for r in got if r[0] != 500} == first and sum(r[0] == 500 for r in got) == 2
+    old = {r.doc_id for r in simhash_anchors.keep_first(docs(spark, rows)).collect()}
+    assert len(old) > len({r[0] for r in want})  # four bits miss some of them
+    edge = corpus_pipeline.near_copies(spark, docs(spark, EDGES), sf).collect()
+    assert len(edge) == len(EDGES) - 3 and corpus_pipeline.near_copies(spark, docs(spark, EDGES).limit(0), sf).count() == 0
+
+
+def test_minhash_recall():
+    rng = np.random.default_rng(5)
+    constants = shingle_copies._constants()
+    met = 0
+    for _ in range(1000):  # 160 of 200 shingles shared: 0.8
+        x = rng.integers(0, 1 << 64, 200, dtype=np.uint64)
+        met += len(np.intersect1d(shingle_copies.buckets(x[:180], constants), shingle_copies.buckets(x[20:], constants))) > 0
+    assert met == 1000
+
+
 def test_surrogates(spark):
     card = "4012888888881881"
     text = (f"Frau Anna Keller, +1 (212) 555-0187, anna.k@mail3.example.com, {card} / 4012 8888 8888 1881, 10.1.2.3, "
