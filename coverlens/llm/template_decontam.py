@@ -1,7 +1,9 @@
 """Benchmark items in texts, also with other numbers, names or units, by windows of templates.
 
-A text becomes a template: numbers, names (capitalised words inside a sentence) and units become typed placeholders, other
-words are lower-cased without the marks around them. Windows of five template words are hashed and joined with the windows
+A text becomes a template: runs of numbers, of names (capitalised words) and of units become one typed placeholder each, other
+words are lower-cased without the marks around them. A capital may also start a sentence, so every window is hashed with its
+capitalised words read as names and as words, in all combinations; items with names of several words are also compared without
+names, for lower-cased copies. Windows of five template words are hashed and joined with the windows
 of the benchmark. The windows of one item are gathered by how far they are shifted in the text, and where
 both have a placeholder, one value of the item must stand for one value of the text throughout: so a question asked again
 with other numbers is found, and chance matches of common templates are not. An item is found if at least COVERAGE of its
@@ -32,10 +34,11 @@ UNITS = ("mm cm m km inch inches foot feet yard yards mile miles mg g kg lb lbs
 
 _MARKS = ".,;:!?\"'()[]{}<>*_-"
 _NUMBER, _NAME, _UNIT = 11, 13, 17  # below any hash of a word
+PLAIN = 8  # added to the size of windows without names
 
 
 class _Codes(dict):
-    """word -> hash * 4 + 2 if capitalised + 1 if a sentence ends after it."""
+    """word -> hash * 16 + 4 if capitalised + 2 if a run of placeholders ends after it + 1 if a sentence does."""
 
     def __init__(self, limit=400_000):
         super().__init__()
@@ -46,67 +49,113 @@ class _Codes(dict):
         import xxhash
         core = word.strip(_MARKS)
         lower = core.lower()
-        if any(c.isdigit() for c in core) or lower in self.numbers:
+        if any(c.isdigit() for c in core) or (lower and self.numbers.issuperset(lower.split("-"))):
             code = _NUMBER
         elif lower in self.units:
             code = _UNIT
         else:
-            code = (xxhash.xxh64_intdigest(lower) >> 3) + 32
+            code = (xxhash.xxh64_intdigest(lower) >> 5) + 32
         named = core[:1].isupper() and code > 32
-        code = code << 2 | named << 1 | (word[-1] in ".!?:")
+        code = code << 4 | named << 2 | (word[-1] in _MARKS) << 1 | (word[-1] in ".!?:")
         if len(self) < self.limit:
             self[word] = code
         return code
 
 
-def template(words, codes):
-    """Hash of each template word, which are placeholders, and hashes as if no capital told a name."""
-    v = np.fromiter(map(codes.__getitem__, words), np.uint64, len(words))
-    first = np.concatenate([[True], (v[:-1] & np.uint64(1)).astype(bool)]) if len(v) else np.zeros(0, bool)
-    h = v >> np.uint64(2)
-    named = np.where((v & np.uint64(2)).astype(bool) & ~first, np.uint64(_NAME), h)
-    return named, named < 32, h
-
+def template(words, codes, names=True):
+    """(starts, first, other, typed, unsure) of a text's slots: the words they start at, their hashes, their other hashes (the
+    same where there is none), which are placeholders, and which are names only by the capital that starts a sentence.
 
-def window_hashes(h, size, first=None):
-    """Hashes of all windows of h; first: other hashes for the word that a window starts with."""
-    n = max(0, len(h) - size + 1)
-    out = np.zeros(n, np.uint64)
+    A run of numbers, of units or of capitalised words is one slot. A slot of capitalised words is a name or, the other way,
+    starts with an ordinary word. Without names, capitals mean nothing."""
+    v = np.fromiter(map(codes.__getitem__, words), np.uint64, len(words))
+    h = v >> np.uint64(4)
+    capital = (v & np.uint64(4)).astype(bool) & names
+    kind = np.where(capital, np.uint64(_NAME), h)
+    goes_on = (kind[1:] == kind[:-1]) & (kind[1:] < 32) & ~(v[:-1] & np.uint64(2)).astype(bool)
+    starts = np.flatnonzero(np.concatenate([[True], ~goes_on]))
+    long = np.diff(starts, append=len(v)) > 1
+    first, word = kind[starts], h[starts]
+    named = first == _NAME
+    other = np.where(named, np.where(long, word * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(_NAME), word), first)
+    begins = np.concatenate([[True], (v[:-1] & np.uint64(1)).astype(bool)])
+    sure = {words[i].strip(_MARKS) for i in np.flatnonzero(capital & ~begins).tolist()}
+    unsure = np.zeros(len(starts), bool)
+    for i in np.flatnonzero(named & begins[starts]).tolist():
+        unsure[i] = words[starts[i]].strip(_MARKS) not in sure
+    return starts, first, other, first < 32, unsure
+
+
+def window_hashes(h, size, other=None, at=None, use=()):
+    """Hashes of the windows of h that start at `at` (all if None); offsets in `use` take the hash of `other`."""
+    at = np.arange(max(0, len(h) - size + 1)) if at is None else at
+    out = np.zeros(len(at), np.uint64)
     for i in range(size):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + (h if i or first is None else first)[i:i + n]
+        out = out * np.uint64(0x9E3779B97F4A7C15) + (other if i in use else h)[at + i]
         out ^= out >> np.uint64(29)
     return out
 
 
+def _readings(first, other, size):
+    """(hashes, window starts, offsets read the other way): every window with every choice of readings."""
+    n = max(0, len(first) - size + 1)
+    yield window_hashes(first, size), np.arange(n), ()
+    two = first != other
+    for bits in range(1, 1 << size) if two.any() else ():
+        use = [i for i in range(size) if bits >> i & 1]
+        at = np.flatnonzero(np.logical_and.reduce([two[i:i + n] for i in use]))
+        if len(at):
+            yield window_hashes(first, size, other, at, use), at, use
+
+
 def _windows(keyed, wanted, bitmap):
-    """(key, position, hash, slots) of windows. wanted: sizes for whole short texts (None: a text's own); bitmap: a filter."""
+    """(key, size, position, hash, slots, unsure) of windows. wanted: sizes for whole short texts (None: a text's own); bitmap: a
+    filter. Sizes over PLAIN are of windows in which capitals mean nothing."""
     def run(batches):
         import pyarrow as pa
         codes = _Codes()
         bits = None if bitmap is None else np.frombuffer(bitmap.value, np.uint8)
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string()))
-        names = ["key", "size", "position", "hash", "slots"]
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.bool_())
+        names = ["key", "size", "position", "hash", "slots", "unsure"]
+
+        def add(rows, key, words, named, sizes):
+            starts, first, other, typed, unsure = template(words, codes, named)
+            ends = np.append(starts[1:], len(words))
+            mode = 0 if named else PLAIN
+            for size in [min(WINDOW, len(starts))] if sizes is None else sizes:
+                for w, at, use in _readings(first, other, size):
+                    if bits is not None:
+                        bit = w >> np.uint64(64 - BITMAP_BITS)
+                        in_it = (bits[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+                        w, at = w[in_it], at[in_it]
+                    for i, x in zip(at.tolist(), w.view(np.int64).tolist()):
+                        slots = []
+                        for k in range(size):
+                            lo, hi = starts[i + k] + (k in use), ends[i + k]
+                            if typed[i + k] and lo < hi:
+                                slots.append(" ".join(x.strip(_MARKS).lower() for x in words[lo:hi]))
+                        rows.append((key, size + mode, i, x, slots, any(unsure[i + k] for k in range(size) if k not in use)))
+            return len(starts)
+
         for batch in batches:
             rows = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = (text or "").split()
-                h, slot, plain = template(words, codes)
-                for size in ([min(WINDOW, len(words))] if wanted is None else wanted) if words else ():
-                    w = window_hashes(h, size)
-                    found = [(w, np.arange(len(w)), 0)]
-                    if bits is not None:  # the capital of a passage's first word may start its first sentence
-                        named = np.flatnonzero(h[:len(w)] != plain[:len(w)])
-                        found.append((window_hashes(h, size, plain), named, 1))
-                    for w, at, skip in found:
-                        if bits is not None:
-                            bit = w[at] >> np.uint64(64 - BITMAP_BITS)
-                            at = at[(bits[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(bool)]
-                        rows += [(key, size, i, int(w[i:i + 1].view(np.int64)[0]),
-                                  [words[k].strip(_MARKS).lower() for k in range(i + skip, i + size) if slot[k]]) for i in at.tolist()]
+                if not words:
+                    continue
+                if wanted is None:
+                    n = add(rows, key, words, True, None)
+                    if n < len(template(words, codes, False)[0]):  # with single names only, their other reading is the plain text
+                        add(rows, key, words, False, None)
+                else:
+                    for named in (True, False):
+                        sizes = [x % PLAIN for x in wanted if (x < PLAIN) == named]
+                        if sizes:
+                            add(rows, key, words, named, sizes)
             if rows:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
-    return keyed.mapInArrow(run, "key long, size int, position int, hash long, slots array<string>")
+    return keyed.mapInArrow(run, "key long, size int, position int, hash long, slots array<string>, unsure boolean")
 
 
 def matches(docs, benchmark, coverage=COVERAGE):
@@ -122,21 +171,35 @@ def matches(docs, benchmark, coverage=COVERAGE):
     bitmap = spark.sparkContext.broadcast(np.packbits(bits, bitorder="little").tobytes())
     ours = _windows(docs.select(F.col("doc_id").cast("long").alias("key"), "text"), sizes, bitmap)
     theirs = theirs.select(F.col("key").alias("item"), "size", F.col("position").alias("item_position"), "hash",
-                           F.col("slots").alias("item_slots"))
-    total = theirs.groupBy("item").agg(F.count(F.lit(1)).alias("windows"))
-    hits = (ours.withColumnRenamed("key", "doc_id").join(theirs, ["size", "hash"])
+                           F.col("slots").alias("item_slots"), "unsure")
+    mode = F.col("size") > PLAIN
+    total = theirs.groupBy("item", mode.alias("plain")).agg((F.max("item_position") + 1).alias("windows"))
+    hits = (ours.withColumnRenamed("key", "doc_id").drop("unsure").join(theirs, ["size", "hash"]).withColumn("plain", mode)
             .withColumn("shift", F.col("position") - F.col("item_position")))
-    placed = (hits.groupBy("doc_id", "item", "shift")
-              .agg(F.collect_set("item_position").alias("positions"),
-                   F.array_distinct(F.flatten(F.collect_set(F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b"))))).alias("pairs")))
-    # one value of the item for one value of the text; at most one pair per word of the item, as the place is fixed
-    consistent = F.size(F.array_distinct(F.transform("pairs", lambda p: p["a"]))) == F.size("pairs")
+    pairs = F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b"))
+    certain = F.when(~F.col("unsure"), F.struct(F.col("item_position").alias("at"), pairs.alias("pairs")))
+    every = F.struct(F.col("item_position").alias("at"), pairs.alias("pairs"))
+    placed = (hits.groupBy("doc_id", "item", "plain", "shift")
+              .agg(F.collect_set(every).alias("every"), F.collect_set(certain).alias("certain")))
+    # one value of the item for one value of the text; at most a few readings per word of the item, as the place is fixed
+    flat = {k: F.array_distinct(F.flatten(F.transform(k, lambda x: x["pairs"]))) for k in ("every", "certain")}
+    placed = placed.select("doc_id", "item", "plain", "every", "certain", *[v.alias(f"{k}_pairs") for k, v in flat.items()])
+
+    def consistent(name):
+        return F.size(F.array_distinct(F.transform(name, lambda p: p["a"]))) == F.size(name)
+    # words that are names only if a sentence's first word is one are left out where they contradict each other
+    best = F.when(consistent("every_pairs"), F.struct(F.col("every").alias("hits"), F.col("every_pairs").alias("pairs"))).when(
+        consistent("certain_pairs"), F.struct(F.col("certain").alias("hits"), F.col("certain_pairs").alias("pairs")))
+    placed = placed.withColumn("best", best).where("best is not null").select(
+        "doc_id", "item", "plain", F.transform("best.hits", lambda x: x["at"]).alias("positions"), F.col("best.pairs").alias("pairs"))
     renamed = F.exists("pairs", lambda p: p["a"] != p["b"])
-    found = (placed.where(consistent).groupBy("doc_id", "item")
+    found = (placed.groupBy("doc_id", "item", "plain")
              .agg(F.size(F.array_distinct(F.flatten(F.collect_set("positions")))).alias("seen"), F.max(renamed).alias("reparameterised"))
-             .join(total, "item").where(F.col("seen") >= coverage * F.col("windows")))
+             .join(total, ["item", "plain"]).where(F.col("seen") >= coverage * F.col("windows"))
+             .groupBy("doc_id", "item").agg(F.max(F.col("seen") / F.col("windows")).alias("coverage"),
+                                            F.min("reparameterised").alias("reparameterised")))
     return (found.join(items.select(F.col("key").alias("item"), "item_id"), "item")
-            .select("doc_id", "item_id", (F.col("seen") / F.col("windows")).alias("coverage"), "reparameterised"))
+            .select("doc_id", "item_id", "coverage", "reparameterised"))
 
 
 def without_items(docs, benchmark):

@@ -310,6 +310,22 @@ def test_decontamination(spark, table, sf):
     assert template_decontam.matches(table.limit(0), items).count() == 0 and template_decontam.matches(table, items.limit(0)).count() == 0
 
 
+def test_decontamination_names(spark):
+    """Other names at the start of a sentence, of two words or in lower case, and numbers of several words."""
+    ask = spark.createDataFrame([(1, "Tom has 5 apples. Tom gives 2 apples to Anna. How many apples does Tom have?"),
+                                 (2, "If Mary Ann buys 12 red boxes for Ben then how many boxes will Mary Ann carry home tonight?"),
+                                 (3, "Otto walks along the river. Later a small dog follows quietly.")], "item_id long, text string")
+    texts = [(1, "Lena has 7 apples. Lena gives 3 apples to Mary Ann. How many apples does Lena have?"),
+             (2, "x Mary Ann has twenty five apples. Mary Ann gives 3 apples to Bo. How many apples does Mary Ann have?"),
+             (3, "now tom has 5 apples. tom gives 2 apples to anna. how many apples does tom have? yes"),
+             (4, "If Eve buys twenty-five red boxes for Jo Ann Lee then how many boxes will Eve carry home tonight?"),
+             (5, "if mary ann buys 12 red boxes for ben then how many boxes will mary ann carry home tonight?"),
+             (6, "Zoe walks along the river. Later a small dog follows quietly."),
+             (7, "Lena has 7 apples. Tim gives 3 apples to Lena. How many apples does Bo have?")]
+    found = {(r.doc_id, r.item_id): r.reparameterised for r in template_decontam.matches(docs(spark, texts), ask).collect()}
+    assert found == {(1, 1): True, (2, 1): True, (3, 1): False, (4, 2): True, (5, 2): False, (6, 3): True}
+
+
 def test_pipeline(spark, sf):
     d = spark.read.parquet(f"{sf}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
