@@ -2,15 +2,17 @@
 
 A host starts with as much trust as it has pages that a rule allows, and as much distrust as it has pages that a rule
 blocks. Trust walks along links (personalised PageRank from the trusted seeds), distrust against them, as a host that links
-to blocked pages is to blame for it. Walks stop after STEPS steps of the series; links within a host say nothing and do not
-count. A host is blocked if distrust makes up more than THRESHOLD of both; a host that neither reaches is allowed.
+to blocked pages is to blame for it. Steps go on until no host's score changes by more than TOLERANCE of it, so that every
+host that links lead to has its score; links within a host say nothing and do not count. A host is blocked if distrust makes up more than THRESHOLD of both; a host that neither reaches is allowed.
 
 Links are read in Spark from the absolute and scheme-relative href values of the pages. Steps are equi joins of scores with
 edges and sums per host; frequent hosts are reduced on the map side, and each step is written to the shared folder.
 
 Edge cases: a null url, or one without `://`, has an empty host and path, fits no rule and is allowed; a null html has no
 links; repeated rows each get a row and count as pages of their own; an empty table gives no rows; other columns are
-ignored; ties between trust and distrust allow.
+ignored; ties between trust and distrust (within TIE of their sum) allow.
+
+The SQL ends after STEPS steps and has an absolute MARGIN, so it holds for graphs with short ways only.
 """
 from pyspark.sql import functions as F
 
@@ -20,8 +22,11 @@ from coverlens.session import materialize
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
          ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 DAMPING = 0.85
-STEPS = 8
+TOLERANCE = 1e-8
 THRESHOLD = 0.5
+TIE = 1e-6
+#: Of the SQL only.
+STEPS = 8
 MARGIN = 1e-9
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -64,7 +69,7 @@ def host_edges(pages):
             .agg(F.count(F.lit(1)).alias("links")))
 
 
-def spread(seeds, edges, damping=DAMPING, steps=STEPS):
+def spread(seeds, edges, damping=DAMPING, tolerance=TOLERANCE):
     """seeds: (host, kind, score), edges: (src, dst, links). Scores after the walks, kind 'trust' along, 'distrust' against."""
     edges = materialize(edges, "host-edges")
     out = edges.groupBy(F.col("src").alias("from")).agg(F.sum("links").alias("all"))
@@ -74,12 +79,15 @@ def spread(seeds, edges, damping=DAMPING, steps=STEPS):
                          .withColumn("kind", F.lit("distrust"))))
     ways = materialize(ways.select("from", "to", "kind", (F.lit(damping) * F.col("links") / F.col("all")).alias("share")), "host-ways")
     start = seeds.select("host", "kind", (F.lit(1 - damping) * F.col("score")).alias("score"))
-    start = now = materialize(start, "host-scores")
-    for _ in range(steps):
+    start = materialize(start.withColumn("before", F.lit(0.0)), "host-scores")
+    now = start
+    while not now.where(F.col("score") - F.col("before") > tolerance * F.col("score")).isEmpty():  # scores only grow
         moved = (ways.join(now.withColumnRenamed("host", "from"), ["from", "kind"])
-                 .select(F.col("to").alias("host"), "kind", (F.col("score") * F.col("share")).alias("score")))
-        now = materialize(start.unionByName(moved).groupBy("host", "kind").agg(F.sum("score").alias("score")), "host-scores")
-    return now
+                 .select(F.col("to").alias("host"), "kind", (F.col("score") * F.col("share")).alias("score"), F.lit(0.0).alias("before")))
+        last = now.select("host", "kind", F.lit(0.0).alias("score"), F.col("score").alias("before"))
+        now = materialize(start.unionByName(moved).unionByName(last).groupBy("host", "kind")
+                          .agg(F.sum("score").alias("score"), F.sum("before").alias("before")), "host-scores")
+    return now.drop("before")
 
 
 def blocked_hosts(pages, rules=RULES, threshold=THRESHOLD):
@@ -90,7 +98,7 @@ def blocked_hosts(pages, rules=RULES, threshold=THRESHOLD):
     trust = F.sum(F.when(F.col("kind") == "trust", F.col("score")).otherwise(0.0))
     distrust = F.sum(F.when(F.col("kind") == "distrust", F.col("score")).otherwise(0.0))
     return (scores.groupBy("host").agg(trust.alias("trust"), distrust.alias("distrust"))
-            .where(F.col("distrust") - threshold * (F.col("trust") + F.col("distrust")) > MARGIN).select("host"))
+            .where(F.col("distrust") > (threshold + TIE) * (F.col("trust") + F.col("distrust"))).select("host"))
 
 
 def verdicts(pages, rules=RULES):

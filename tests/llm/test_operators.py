@@ -295,6 +295,17 @@ def test_links(spark, sf, tmp_path):
     assert sorted(map(str, rows)) == sorted(str(tuple(r)) for r in queries.op9_link_filter(spark, sf).collect())
 
 
+def test_links_far_and_popular(spark):
+    """A chain of 12 hosts to a blocked page, and a blocked page behind two hosts with very many links to each."""
+    chain = [(i, f"http://h{i}.net/", f'<a href="http://h{i + 1}.net/">') for i in range(11)] + [(11, "http://h11.net/", '<a href="http://b.com/x">')]
+    many = '<a href="http://p1.net/">' * 100_000
+    pages = [*chain, (20, "http://b.com/de/1", None), (21, "http://f.net/", '<a href="http://p1.net/">'), (22, "http://g.net/", many),
+             (23, "http://p1.net/", '<a href="http://p2.net/">'), (24, "http://q.net/", many.replace("p1", "p2")),
+             (25, "http://p2.net/", '<a href="http://z.com/x">'), (26, "http://z.com/de/1", None), (27, "http://alone.net/", None)]
+    got = {r.page_id: r.verdict for r in link_filter.verdicts(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {p[0]: "allow" if p[0] == 27 else "block" for p in pages}
+
+
 def test_decontamination(spark, table, sf):
     items = spark.read.parquet(f"{sf}/benchmark.parquet")
     got = {(r.doc_id, r.item_id) for r in template_decontam.matches(table, items).collect()}
