@@ -12,7 +12,11 @@ texts that may hold an entity meet their surrogates in a join; the others pass u
 
 Edge cases: null and empty texts stay as they are; repeated rows get equal results; rows of one doc_id share the
 surrogates of all of them (a value has one surrogate anyway); an empty table gives no rows; other columns are kept by
-`masked` and ignored by `report`. A value of a format that is used up by the corpus raises after MOST_DRAWS draws.
+`masked` and ignored by `report`.
+
+Formats of which the corpus uses over a quarter (65 536 addresses of 192.168., say) are not drawn: their values take the next
+value of a keyed order of the whole format, which is distinct by construction, never the value itself, and may be another
+value of the corpus, as no others may be left.
 """
 import re
 
@@ -139,6 +143,102 @@ def _shaped(value, draw):
     return "".join(out)
 
 
+def _fixed_parts(ip):
+    """How many parts of an address its private range keeps."""
+    parts = ip.split(".")
+    return 1 if parts[0] in ("10", "127") else 2 if ip.startswith("192.168.") or (parts[0] == "172" and 16 <= int(parts[1]) < 32) else 0
+
+
+#: First address and size of the private ranges, in order.
+_PRIVATE = ((10 << 24, 1 << 24), (127 << 24, 1 << 24), (172 << 24 | 16 << 16, 1 << 20), (192 << 24 | 168 << 16, 1 << 16))
+_DIGITS, _LOWER = "0123456789", "abcdefghijklmnopqrstuvwxyz"
+
+
+def format_space(kind, value):
+    """(format, size, index, value of an index): all values of the format, numbered; None if it cannot be used up."""
+    if kind == "ip":
+        parts = value.split(".")
+        if any(p != str(int(p)) for p in parts):
+            return None
+        n, fixed = int.from_bytes(map(int, parts), "big"), _fixed_parts(value)
+        if fixed:
+            bits = 8 * (4 - fixed)
+            first = n >> bits << bits
+            return ".".join(parts[:fixed]), 1 << bits, n - first, lambda i: ".".join(map(str, (first + i).to_bytes(4, "big")))
+
+        def public(i):
+            for first, size in _PRIVATE:
+                i += size * (i >= first)
+            return ".".join(map(str, i.to_bytes(4, "big")))
+        return "", (1 << 32) - sum(x for _, x in _PRIVATE), n - sum(x for first, x in _PRIVATE if first < n), public
+    if kind == "card":
+        head, free = value[0], len(value) - 2
+        return (f"{head} {free}", 10 ** free, int(value[1:-1]),
+                lambda i: next(c for d in _DIGITS if luhn(c := f"{head}{i:0{free}d}{d}")))
+    if kind not in ("ssn", "phone", "secret") or not value.isascii() or len(value) > 24:
+        return None
+    kept = (2 if value[1:2] in "17" else 3) if kind == "phone" and value.startswith("+") else 0
+    letters = [c if i < kept else next((a for a in (_DIGITS, _LOWER, _LOWER.upper()) if c in a), c) for i, c in enumerate(value)]
+    if re.fullmatch(r"[0-9a-f]{16,}|[0-9A-F]{16,}", value):
+        return None  # 16^16 at least
+    size, index = 1, 0
+    for c, a in zip(value, letters):
+        size, index = size * len(a), index * len(a) + a.index(c)
+
+    def value_of(i):
+        out = []
+        for a in reversed(letters):
+            i, k = divmod(i, len(a))
+            out.append(a[k])
+        return "".join(reversed(out))
+    return "".join(a[0] for a in letters), size, index, value_of
+
+
+def next_in_order(index, size, *what):
+    """The index after this one in a keyed order of range(size): a permutation without fixed points if size > 1."""
+    half = max(1, ((size - 1).bit_length() + 1) // 2)
+    mask = (1 << half) - 1
+
+    def turned(x, rounds, back):
+        while True:  # a Feistel network over 2 * half bits, walked until it is back in range
+            a, b = x >> half, x & mask
+            for r in rounds:
+                if back:
+                    a, b = b ^ (_Draw(*what, str(r), str(a)).left & mask), a
+                else:
+                    a, b = b, a ^ (_Draw(*what, str(r), str(b)).left & mask)
+            x = a << half | b
+            if x < size:
+                return x
+
+    return turned((turned(index, range(6), False) + 1) % size, range(5, -1, -1), True)
+
+
+def used_up(values, key=KEY):
+    """(kind, value, attempt, surrogate) of the values whose format the corpus uses by over a quarter."""
+    def run(batches):
+        import pyarrow as pa
+        for batch in batches:
+            spaces = [format_space(k, v) for k, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            yield pa.record_batch([*batch.columns, pa.array([x and x[0] for x in spaces], pa.string()),
+                                   pa.array([x and min(x[1], 1 << 62) for x in spaces], pa.int64())], ["kind", "value", "format", "size"])
+
+    def move(batches):
+        import pyarrow as pa
+        for batch in batches:
+            out = []
+            for k, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                name, size, index, value_of = format_space(k, v)
+                out.append(value_of(next_in_order(index, size, key, k, name)))
+            yield pa.record_batch([*batch.columns, pa.array([0] * len(out), pa.int32()), pa.array(out, pa.string())],
+                                  ["kind", "value", "attempt", "surrogate"])
+
+    formed = values.select("kind", "value").mapInArrow(run, "kind string, value string, format string, size long").where("format is not null")
+    full = formed.groupBy("kind", "format", "size").agg(F.count(F.lit(1)).alias("n")).where("4 * n > size").drop("n", "size")
+    return (formed.join(full, ["kind", "format"]).select("kind", "value")
+            .mapInArrow(move, "kind string, value string, attempt int, surrogate string"))
+
+
 def surrogate(kind, value, attempt, key=KEY):
     """The attempt-th surrogate of a canonical value."""
     draw = _Draw(key, kind, value, str(attempt))
@@ -150,7 +250,7 @@ def surrogate(kind, value, attempt, key=KEY):
         return f"{_shaped(local, draw)}{''.join('abcdefghij'[draw(10)] for _ in range(attempt // 4))}@{'.'.join([*hosts, 'example', top])}"
     if kind == "ip":
         parts = value.split(".")
-        fixed = 1 if parts[0] in ("10", "127") else 2 if value.startswith("192.168.") or (parts[0] == "172" and 16 <= int(parts[1]) < 32) else 0
+        fixed = _fixed_parts(value) if attempt <= MOST_DRAWS // 2 else 0
         free = [x for x in range(1, 224) if x not in (10, 127, 172, 192)]
         return ".".join([*parts[:fixed], *(str(free[draw(len(free))]) if i == 0 else str(draw(256)) for i in range(fixed, 4))])
     if kind == "card":
@@ -209,9 +309,13 @@ def _drawn(values, key):
 
 
 def assign(values, key=KEY):
-    """values: distinct (kind, value). (kind, value, attempt, surrogate), no two surrogates of a kind alike and none a value."""
-    now = materialize(_drawn(values.withColumn("attempt", F.lit(0)), key), "surrogates")
-    taken = now.select("kind", F.col("value").alias("surrogate"), F.lit(True).alias("taken"))
+    """values: distinct (kind, value). (kind, value, attempt, surrogate), no two surrogates of a kind alike and none a value,
+    but for formats that are used up."""
+    moved = materialize(used_up(values, key), "surrogates-moved")
+    rest = values.join(moved.select("kind", "value"), ["kind", "value"], "left_anti")
+    now = materialize(_drawn(rest.withColumn("attempt", F.lit(0)), key), "surrogates")
+    taken = (now.select("kind", F.col("value").alias("surrogate")).unionByName(moved.select("kind", F.col("value").alias("surrogate")))
+             .unionByName(moved.select("kind", "surrogate")).distinct().withColumn("taken", F.lit(True)))
     for _ in range(MOST_DRAWS):
         shared = (now.groupBy("kind", "surrogate").agg(F.min(F.struct("attempt", "value")).alias("first"), F.count(F.lit(1)).alias("n"))
                   .join(taken, ["kind", "surrogate"], "left").where("n > 1 or taken"))
@@ -220,7 +324,7 @@ def assign(values, key=KEY):
             "again", F.coalesce("taken", F.lit(False)) | F.coalesce(later, F.lit(False)))
         marked = materialize(marked.select("kind", "value", "attempt", "surrogate", "again"), "surrogates-marked")
         if marked.where("again").isEmpty():
-            return now
+            return now.unionByName(moved)
         redrawn = _drawn(marked.where("again").withColumn("attempt", F.col("attempt") + 1), key)
         now = materialize(marked.where("not again").drop("again").unionByName(redrawn), "surrogates")
     raise ValueError(f"values that still collide after {MOST_DRAWS} draws: a format of the corpus is used up")

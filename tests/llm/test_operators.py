@@ -245,6 +245,21 @@ def test_surrogates_stay_distinct(spark, monkeypatch):
     assert len({r.surrogate for r in got}) == 18 and not {r.surrogate for r in got} & {r.value for r in got}
 
 
+def test_surrogates_of_a_full_format(spark):
+    """All of 192.168., some other addresses and secrets without a choice."""
+    rows = [("ip", f"192.168.{i >> 8}.{i & 255}") for i in range(1 << 16)]
+    rows += [("ip", "192.168.01.5"), ("ip", "10.1.2.3"), ("ip", "8.8.8.8"), ("secret", "________"), ("ssn", "123456789")]
+    got = surrogates.assign(spark.createDataFrame(rows, "kind string, value string").repartition(8)).collect()
+    assert sorted((r.kind, r.value) for r in got) == sorted(rows) and len({(r.kind, r.surrogate) for r in got}) == len(rows)
+    assert all(r.value != r.surrogate for r in got if r.kind != "secret")
+    assert all(r.surrogate.startswith("192.168.") for r in got if r.value.startswith("192.168.") and r.value != "192.168.01.5")
+    for kind, value in (("ip", "8.8.8.8"), ("ip", "172.15.255.255"), ("ip", "223.1.2.3"), ("card", "4012888888881881"), ("phone", "+12125550187"),
+                        ("secret", "aB3_xy-9")):
+        _, size, index, value_of = surrogates.format_space(kind, value)
+        assert value_of(index) == value and 0 <= index < size
+    assert sorted(surrogates.next_in_order(i, 1000, "k") for i in range(1000)) == list(range(1000))
+
+
 def test_languages(spark, sf):
     got = queries.op6_language_fusion(spark, sf).toPandas()
     assert len(got) == spark.read.parquet(f"{sf}/pages.parquet").count()
