@@ -62,7 +62,7 @@ class _Codes(dict):
         return code
 
 
-def template(words, codes, names=True):
+def template(words, codes, names=True, doubts=True):
     """(starts, first, other, typed, unsure) of a text's slots: the words they start at, their hashes, their other hashes (the
     same where there is none), which are placeholders, and which are names only by the capital that starts a sentence.
 
@@ -78,9 +78,11 @@ def template(words, codes, names=True):
     first, word = kind[starts], h[starts]
     named = first == _NAME
     other = np.where(named, np.where(long, word * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(_NAME), word), first)
+    unsure = np.zeros(len(starts), bool)
+    if not doubts:
+        return starts, first, other, first < 32, unsure
     begins = np.concatenate([[True], (v[:-1] & np.uint64(1)).astype(bool)])
     sure = {words[i].strip(_MARKS) for i in np.flatnonzero(capital & ~begins).tolist()}
-    unsure = np.zeros(len(starts), bool)
     for i in np.flatnonzero(named & begins[starts]).tolist():
         unsure[i] = words[starts[i]].strip(_MARKS) not in sure
     return starts, first, other, first < 32, unsure
@@ -100,10 +102,15 @@ def _readings(first, other, size):
     """(hashes, window starts, offsets read the other way): every window with every choice of readings."""
     n = max(0, len(first) - size + 1)
     yield window_hashes(first, size), np.arange(n), ()
-    two = first != other
-    for bits in range(1, 1 << size) if two.any() else ():
+    two = (first != other).astype(np.uint8)
+    choices = np.zeros(n, np.uint8)
+    for i in range(size):
+        choices |= two[i:i + n] << np.uint8(i)
+    some = np.flatnonzero(choices)
+    choices = choices[some]
+    for bits in range(1, 1 << size) if len(some) else ():
         use = [i for i in range(size) if bits >> i & 1]
-        at = np.flatnonzero(np.logical_and.reduce([two[i:i + n] for i in use]))
+        at = some[(choices & np.uint8(bits)) == bits]
         if len(at):
             yield window_hashes(first, size, other, at, use), at, use
 
@@ -119,7 +126,7 @@ def _windows(keyed, wanted, bitmap):
         names = ["key", "size", "position", "hash", "slots", "unsure"]
 
         def add(rows, key, words, named, sizes):
-            starts, first, other, typed, unsure = template(words, codes, named)
+            starts, first, other, typed, unsure = template(words, codes, named, sizes is None)
             ends = np.append(starts[1:], len(words))
             mode = 0 if named else PLAIN
             for size in [min(WINDOW, len(starts))] if sizes is None else sizes:
