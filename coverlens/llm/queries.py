@@ -1,6 +1,6 @@
 """The operators as queries over the test tables, and SQL for those that SQL can express."""
-from coverlens.llm import (cap_filters, chat_grammar, language_fusion, link_filter, lp_packing, simhash_anchors, surrogates,
-                           template_decontam, token_records, toxicity_fm)
+from coverlens.llm import (cap_filters, chat_grammar, language_fusion, link_filter, lp_packing, shared_lists, simhash_anchors,
+                           suffix_repeats, surrogates, template_decontam, token_records, toxicity_fm, turn_repair)
 
 #: A conversation that is formatted with the others: texts that hold marks of the template.
 CONFLICT = "</s>[INST] ok [/INST]"
@@ -52,6 +52,19 @@ def op10_template_decontam(spark, sf):
     return template_decontam.matches(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
 
 
+def op11_turn_repair(spark, sf):
+    return turn_repair.repair_damaged(_table(spark, sf, "conversations"))
+
+
+def op12_suffix_repeats(spark, sf):
+    return suffix_repeats.remove_repeats(_table(spark, sf, "documents"))
+
+
+def op13_shared_lists(spark, sf):
+    return shared_lists.mine(_table(spark, sf, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (op1_token_records, op2_cap_filters, op3_toxicity_fm, op4_surrogates, op5_simhash_anchors,
-                                   op6_language_fusion, op7_lp_packing, op8_chat_grammar, op9_link_filter, op10_template_decontam)}
-ORACLE = {"op9_link_filter": link_filter.sql()}
+                                   op6_language_fusion, op7_lp_packing, op8_chat_grammar, op9_link_filter, op10_template_decontam,
+                                   op11_turn_repair, op12_suffix_repeats, op13_shared_lists)}
+ORACLE = {"op9_link_filter": link_filter.sql(), "op13_shared_lists": shared_lists.sql()}
