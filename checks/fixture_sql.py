@@ -165,6 +165,14 @@ VIEWS["v_confirmed"] = f"""SELECT user_id, session_id, event_id AS confirmed_id,
     last_value(started IGNORE NULLS) {_upto} AS session_id,
     {', '.join(f'last_value(w_{n} IGNORE NULLS) {_upto} AS s_{n}' for n in _writes)} FROM v_session_writes)
 WHERE kind = 'confirm' AND was_open"""
+#: The same with sessions that end in a long silence.
+_silent = f"coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) > {X.IDLE_SECONDS * 1_000_000}, FALSE)"
+VIEWS["v_idle_writes"] = f"""SELECT * REPLACE (CASE WHEN {_start} THEN TRUE WHEN silent THEN FALSE ELSE opened END AS opened) FROM (
+  SELECT *, {_silent} AS silent FROM v_session_writes)"""
+VIEWS["v_idle_confirmed"] = VIEWS["v_confirmed"].replace("v_session_writes", "v_idle_writes").replace(
+    "SELECT user_id, ts, event_id, kind,", "SELECT user_id, ts, event_id, kind, silent,").replace("AND was_open", "AND was_open AND NOT silent")
+NEEDS["v_idle_writes"] = ["v_session_writes"]
+NEEDS["v_idle_confirmed"] = ["v_idle_writes"]
 NEEDS["v_session_writes"] = ["v_session_events"]
 NEEDS["v_confirmed"] = ["v_session_writes"]
 

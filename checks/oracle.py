@@ -56,6 +56,15 @@ _UNSENT = "NOT EXISTS (SELECT 1 FROM v_reminder_log l WHERE l.product_id = d.pro
 _due_views = ["v_reminder_log", "due_now"]
 sql("S5_emit_reminders", _due_views,
     f"SELECT product_id, reminder_type, user_id, {_MESSAGE} AS message, {AS_OF} AS sent_on FROM due_now d WHERE {_UNSENT}")
+sql("S5_delivery_receipts", _due_views, f"""WITH tried AS (
+  SELECT d.*, a.attempt, a.attempt < 3 AND (product_id * 7 + a.attempt) % 3 <> 0 AS good,
+    a.attempt < 3 AND (product_id * 7 + a.attempt) % 3 = 0 AS bad
+  FROM due_now d, (VALUES (1), (2), (3)) a(attempt) WHERE {_UNSENT}),
+handed AS (SELECT *, coalesce(bool_and(bad) OVER (PARTITION BY product_id, reminder_type ORDER BY attempt
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), TRUE) AS out, bool_or(good) OVER (PARTITION BY product_id, reminder_type ORDER BY attempt
+  ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS arrived FROM tried)
+SELECT product_id, reminder_type, CAST(attempt AS INTEGER) AS attempt, CASE WHEN good THEN 'delivered' WHEN bad THEN 'failed' ELSE 'handed_over' END AS state,
+  CASE WHEN arrived THEN {AS_OF} END AS sent_on, {_MESSAGE} AS message FROM handed WHERE out""")
 sql("C2_due_reminders", _due_views,
     f"SELECT product_id, user_id, reminder_type, days_left FROM due_now d WHERE {_UNSENT}")
 sql("P6_milestones", ["due_now"], "SELECT product_id, expiry_date, days_left, reminder_type FROM due_now")
@@ -405,5 +414,8 @@ ORACLE["R2_limiter"] = ORACLE["R2_limiter_stream"] = _LIMITER
 sql("R3_sessions", ["v_confirmed"], """SELECT user_id, session_id, confirmed_id, product_name, brand, category, purchase_platform,
   purchase_date, warranty_months, serial_no, price_paid FROM v_confirmed""")
 ORACLE["R3_sessions_stream"] = ORACLE["R3_sessions"]
+sql("R3_idle_sessions", ["v_idle_confirmed"], """SELECT user_id, session_id, confirmed_id, product_name, brand, category, purchase_platform,
+  purchase_date, warranty_months, serial_no, price_paid FROM v_idle_confirmed""")
+ORACLE["R3_idle_sessions_stream"] = ORACLE["R3_idle_sessions"]
 ORACLE["R5_first_seen_stream"] = """SELECT user_id, 'en' AS language, 'free' AS plan_tier, 5 AS vault_limit, epoch_us(ts) AS created_us
 FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1"""

@@ -2,6 +2,8 @@
 
 Results are flat, so that they can be compared with plain SQL value by value.
 """
+import datetime
+
 from pyspark.sql import functions as F
 
 from checks import fixtures as X
@@ -10,7 +12,7 @@ from coverlens.functions import answers, dates, files, text
 from coverlens.operators import bills, claims, enrich, lifecycle, limits, messages, sessions, users
 from coverlens.plans import intake, reminders
 from coverlens.session import materialize, work_dir
-from coverlens.sources import dims, sinks, tables
+from coverlens.sources import delivery, dims, sinks, tables
 from coverlens.streaming.limiter import stream_allow_requests
 from coverlens.streaming.ordered import rocksdb_state
 from coverlens.streaming.routing import stream_route_counts
@@ -96,6 +98,31 @@ def S5_emit_reminders(spark, sf):
         "product_id", "reminder_type", "user_id", "message", "sent_on")
 
 
+def _receipts(outbox):
+    """Receipts of all attempts so far: a third of them failed, by product and attempt."""
+    failed = (F.col("product_id") * 7 + F.col("attempt")) % 3 == 0
+    return outbox.select("product_id", "reminder_type", "attempt", (~failed).alias("delivered"),
+                         F.to_timestamp("as_of").alias("received_at"), "as_of")
+
+
+@query
+def S5_delivery_receipts(spark, sf):
+    """Three runs of the day with receipts between them, the second and third run twice, and one of the next day: attempts and the log."""
+    outbox, told, log = (work_dir(spark, n) for n in ("outbox", "receipts", "log"))
+    stored = products(spark, sf)
+    sinks._append_new(X.v_reminder_log(spark, sf).select(F.xxhash64("product_id", "reminder_type").alias("id"), "product_id", "reminder_type",
+                                                         F.lit("1990-01-01").cast("timestamp").alias("sent_at")), log, delivery.KEYS)
+    for turn in range(3):
+        if turn:
+            delivery.append_receipts(_receipts(spark.read.schema(delivery.OUTBOX).parquet(outbox)), told)
+        for _ in range(min(turn + 1, 2)):
+            delivery.run_daily(stored, X.AS_OF, outbox, told, log)
+    delivery.run_daily(stored, X.AS_OF + datetime.timedelta(days=1), outbox, told, log)
+    logged = spark.read.schema(delivery.LOG).parquet(log).select("product_id", "reminder_type", F.to_date("sent_at").alias("sent_on"))
+    return (delivery.day_states(spark, X.AS_OF, outbox, told).join(logged, delivery.KEYS, "left")
+            .select("product_id", "reminder_type", "attempt", "state", "sent_on", "message"))
+
+
 @query
 def S6_append_leads(spark, sf):
     folder = work_dir(spark, "leads")
@@ -604,6 +631,18 @@ def R3_sessions_stream(spark, sf):
     return _registrations(_collect_stream(spark, stream_registrations(stream)))
 
 
+@query
+def R3_idle_sessions(spark, sf):
+    """Sessions that end when their user is silent for half a day."""
+    return _registrations(sessions.confirmed_registrations(X.v_session_events(spark, sf), X.IDLE_SECONDS))
+
+
+@query
+def R3_idle_sessions_stream(spark, sf):
+    stream = _staged(spark, X.v_session_events(spark, sf))
+    return _registrations(_collect_stream(spark, stream_registrations(stream, idle_seconds=X.IDLE_SECONDS)))
+
+
 @query
 def R4_route_counts_stream(spark, sf):
     stream = _staged(spark, X.v_messages(spark, sf))

@@ -61,9 +61,12 @@ def field_writes(events: DataFrame) -> DataFrame:
     return events.withColumns(out)
 
 
-def confirmed_registrations(events: DataFrame) -> DataFrame:
+def confirmed_registrations(events: DataFrame, idle_seconds: float | None = None) -> DataFrame:
     """State of each session at its confirmation: (user_id, ts, event_id, kind, field, value, bill) folded.
 
+    With ``idle_seconds`` a session also ends where its user's next event comes later than that. The time of the event
+    before is a running value like the others.
+
     Only two values run over a user's events: which session began last, and
     whether one is open. Events outside a session are dropped there; the rest
     are grouped by session, where the latest write of each field counts.
@@ -71,10 +74,16 @@ def confirmed_registrations(events: DataFrame) -> DataFrame:
     """
     staged = events.withColumn("_hour", F.date_trunc("hour", "ts"))
     starts = F.col("kind").isin(STARTS)
-    is_open = F.when(starts, True).when(F.col("kind").isin(ENDS), False)
+    over = F.col("kind").isin(ENDS)
+    alive = F.lit(True)
+    if idle_seconds is not None:
+        staged = running_last(staged, keys=["user_id"], buckets=["_hour"], order=["ts", "event_id"], values={}, previous={"_before": F.col("ts")})
+        idle = F.coalesce(F.unix_micros("ts") - F.unix_micros("_before") > int(idle_seconds * 1_000_000), F.lit(False))
+        over, alive = over | idle, ~idle
+    is_open = F.when(starts, True).when(over, False)
     placed = running_last(staged, keys=["user_id"], buckets=["_hour"], order=["ts", "event_id"],
                           values={"_session": F.when(starts, F.struct("event_id", "ts"))}, previous={"was_open": is_open})
-    inside = field_writes(placed.where(starts | F.col("was_open")))
+    inside = field_writes(placed.where(starts | (F.col("was_open") & alive)))
     at = F.struct("ts", "event_id")
     latest = [F.max_by(f"w_{n}", F.when(F.col(f"w_{n}").isNotNull(), at)).alias(f"s_{n}") for n in FIELDS]
     done = inside.groupBy("user_id", "_session").agg(F.max(F.when(F.col("kind") == "confirm", at)).alias("_done"), *latest)

@@ -1,4 +1,7 @@
 """Appending sinks. Keys come from the data, so a retried batch adds nothing new."""
+import functools
+import operator
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F
 
@@ -7,6 +10,7 @@ from coverlens.functions.dates import expiry_date
 from coverlens.functions.text import or_default
 from coverlens.operators.lifecycle import unsent
 from coverlens.schemas import LEADS, PRODUCTS
+from coverlens.session import materialize
 
 
 def conform(df: DataFrame, schema) -> DataFrame:
@@ -34,16 +38,52 @@ def product_rows(confirmed: DataFrame) -> DataFrame:
     return conform(df, PRODUCTS)
 
 
-def _append_new(rows: DataFrame, directory: str, keys: list[str]) -> None:
-    """Append rows whose key is not stored yet, once each."""
-    rows = rows.dropDuplicates(keys)
-    stored = _stored(rows.sparkSession, rows.schema, directory)
-    if stored is not None:
-        rows = rows.join(stored.select(*keys), keys, "left_anti")
-    rows.write.mode("append").parquet(directory)
+#: Parts of a stored table. A key belongs to one part; an append meets only parts that may hold its keys.
+PARTS = 64
+
+
+def _parts_of(df: DataFrame) -> list[int]:
+    return sorted(r[0] for r in df.select("key_part").distinct().collect())  # at most PARTS
 
 
-def _stored(spark, schema, directory: str) -> DataFrame | None:
+def _append_new(rows: DataFrame, directory: str, keys: list[str], day: str | None = None) -> None:
+    """Append rows whose key is not stored yet, once each; a NULL in a key is a value like others.
+
+    The table lies in folders by a hash of the key (within folders by ``day``, if that is given; it then belongs to the key).
+    `_keys` in it holds the hashes of the stored keys alone, in folders likewise: a small filter that tells which of the new
+    keys may be stored. Of the hashes only the parts are read that new keys fall into, and of the table only the parts in
+    which one of them was found. Hashes are written before rows: a run that stops between the two leaves keys that may be
+    stored but are not, and the next one, as it looks at the rows too, adds them.
+    """
+    spark, schema = rows.sparkSession, rows.schema
+    folders = ([day] if day else []) + ["key_part"]
+    keys = list(dict.fromkeys([*keys, *folders[:-1]]))
+    h = F.xxhash64(F.lit("key"), *keys)
+    new = materialize(rows.dropDuplicates(keys).withColumn("_h", h).withColumn("key_part", F.pmod(h, F.lit(PARTS)).cast("int")), "append")
+    touched = _parts_of(new)
+    if not touched:
+        if stored(spark, schema, directory) is None:
+            rows.limit(0).write.mode("append").parquet(directory)
+        return
+    days = [r[0] for r in new.select(day).distinct().collect()] if day else []  # the days of one batch
+
+    def within(df, parts):
+        df = df.where(F.col("key_part").isin(parts))
+        return df.where(F.col(day).isin(days)) if day else df
+
+    known = stored(spark, ", ".join(["_h long", *([f"{day} {schema[day].dataType.simpleString()}"] if day else [])]), f"{directory}/_keys")
+    met = []
+    if known is not None:
+        met = _parts_of(new.join(within(known, touched).select("_h").distinct(), "_h", "left_semi"))
+    if met:
+        old = within(stored(spark, schema, directory), met).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).distinct()
+        same = functools.reduce(operator.and_, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+        new = materialize(new.join(old, same, "left_anti"), "append")
+    for df, target in ((new.select("_h", *folders), f"{directory}/_keys"), (new.drop("_h"), directory)):
+        df.hint("rebalance", *folders).write.mode("append").partitionBy(*folders).parquet(target)
+
+
+def stored(spark, schema, directory: str) -> DataFrame | None:
     """A stored table; none if nothing was written yet."""
     try:
         return spark.read.schema(schema).parquet(directory)
@@ -55,7 +95,7 @@ def _stored(spark, schema, directory: str) -> DataFrame | None:
 
 def not_logged(due: DataFrame, log_dir: str) -> DataFrame:
     """Due reminders that the stored log does not hold."""
-    log = _stored(due.sparkSession, "product_id long, reminder_type string", log_dir)
+    log = stored(due.sparkSession, "product_id long, reminder_type string", log_dir)
     return due if log is None else unsent(due, log)
 
 

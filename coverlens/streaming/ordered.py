@@ -33,6 +33,9 @@ class OrderedFold(StatefulProcessor):
 
     ``fold`` gets the state tuple (or None) and rows (us, event_id, payload) in
     order and returns the new state (None to clear it) and output rows.
+
+    ``forget_at`` gives the time in microseconds after which a state is of no use any more (None: it stays). A timer then
+    clears it, whether the key has further events or not.
     """
     state_schema: str
     columns: list
@@ -43,6 +46,9 @@ class OrderedFold(StatefulProcessor):
         self.waiting = handle.getMapState("waiting", "ms long", "rows string")
         self.state = handle.getValueState("state", self.state_schema)
 
+    def forget_at(self, state):
+        return None
+
     def slot_end(self, us):
         return (us // 1000 // self.slot_ms + 1) * self.slot_ms
 
@@ -59,16 +65,24 @@ class OrderedFold(StatefulProcessor):
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        ms = expiredTimerInfo.getExpiryTimeInMs()
-        if not self.waiting.containsKey((ms,)):
-            return
-        rows = sorted(json.loads(self.waiting.getValue((ms,))[0]), key=lambda r: (r[0], r[1]))
-        self.waiting.removeKey((ms,))
-        state, out = self.fold(self.state.get() if self.state.exists() else None, rows)
-        if state is None:
-            self.state.clear()
-        else:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        old = self.state.get() if self.state.exists() else None
+        state, out = old, []
+        for ms in sorted(k[0] for k in self.waiting.keys() if k[0] <= now):
+            rows = sorted(json.loads(self.waiting.getValue((ms,))[0]), key=lambda r: (r[0], r[1]))
+            self.waiting.removeKey((ms,))
+            state, new = self.fold(state, rows)
+            out += new
+        end = None if state is None else self.forget_at(state)
+        # The timer is set a slot later than the state's end: all events up to the end have then been folded.
+        if end is not None and self.slot_end(end) + self.slot_ms <= now:
+            state = None
+        elif end is not None:
+            self.handle.registerTimer(self.slot_end(end) + self.slot_ms)
+        if state is not None:
             self.state.update(state)
+        elif old is not None:
+            self.state.clear()
         if out:
             yield pd.DataFrame([(key[0], *r) for r in out], columns=self.columns)
 

@@ -14,6 +14,9 @@ class _Sessions(OrderedFold):
     def __init__(self, idle_seconds=None):
         self.idle_us = None if idle_seconds is None else int(idle_seconds * 1_000_000)
 
+    def forget_at(self, state):
+        return None if self.idle_us is None else state[1] + self.idle_us
+
     def fold(self, state, rows):
         session, touched, out = (json.loads(state[0]), state[1], []) if state else (None, None, [])
         for us, event_id, payload in rows:
@@ -33,7 +36,10 @@ class _Sessions(OrderedFold):
 
 
 def stream_registrations(events: DataFrame, delay: str = "10 minutes", idle_seconds: float | None = None) -> DataFrame:
-    """Confirmed registrations; a session without activity for ``idle_seconds`` is forgotten."""
+    """Confirmed registrations; a session without activity for ``idle_seconds`` is forgotten.
+
+    An event-time timer clears it from the state, so that users who leave in the middle of a session leave nothing behind.
+    """
     writes = field_writes(events)
     payload = F.to_json(F.struct("kind", *[f"w_{f}" for f in FIELDS]))
     out = fold_in_order(writes, payload, _Sessions(idle_seconds),
