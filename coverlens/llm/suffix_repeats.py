@@ -4,12 +4,12 @@ A byte goes if a string of LEAST bytes that covers it starts anywhere else too,
 
 Arrays over shards of whole documents could only be merged by sending every suffix to where its neighbours are, many times
 the input. So shards are made of passages: every string of LEAST bytes selects its smallest hash of ANCHOR bytes as its
-anchor (about one byte in 85 becomes one), and a passage is all that the strings with one anchor can cover. Equal strings have
+anchor (about one byte in 85 becomes one), and a passage is what the strings that select one anchor cover. Equal strings have
 equal anchors at equal places, so all copies of a string lie in passages of one anchor, and only these have to meet:
 
 * an anchor that occurs once is no copy; where all passages of an anchor are equal, all their strings are copies;
 * the different passages of an anchor, each once, go to one shard. A shard sorts its suffixes by Larsson-Sadakane refinement
-  (groups of equal rank are split by the rank of the suffix that starts where the group's common prefix ends, which doubles it),
+  (groups of equal rank are split by the ranks of the suffixes that start where the group's common prefix ends, which multiplies it),
   takes common prefixes by Kasai's rule (of a suffix at least one byte less than of the suffix before it in the text), and
   reads runs of common prefixes of LEAST bytes as copies;
 * an anchor with many passages fills several shards. Each writes the fingerprints of its strings as sorted runs, cut by
@@ -90,47 +90,52 @@ def smallest_in(values, width):
 
 
 def spots(data, ends):
-    """(text, position, anchor, passage) of every anchor of concatenated texts; anchor and passage are hashes.
+    """(text, position, anchor, passage, left, right) of every anchor of concatenated texts; anchor and passage are hashes.
 
-    data: their bytes; ends: where each ends; position: within its text.
+    data: their bytes; ends: where each ends; position: within its text; left, right: where in data its passage is.
     """
     h = hashes()
     reach = LEAST - ANCHOR
     starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
     found = []
-    for first in range(0, len(data) - LEAST + 1, PIECE):
-        start, last = max(0, first - LEAST), min(len(data), first + PIECE + 2 * LEAST)
+    strings = len(data) - LEAST + 1
+    for first in range(0, len(data), PIECE):  # anchors at first to first + PIECE, with all strings that may select them
+        low, high = max(0, first - reach), min(strings, first + PIECE)
+        if high <= low:
+            break
+        start, last = low, min(len(data), high + LEAST)
         sums = h.sums(data[start:last])
-        strings = min(PIECE, len(data) - LEAST + 1 - first)
-        low, high = first - start, first - start + strings + reach
-        coded = mixed((sums[low + ANCHOR:high + ANCHOR] - sums[low:high]) * h.down[low:high])
+        n = high - low
+        coded = mixed((sums[ANCHOR:n + reach + ANCHOR] - sums[:n + reach]) * h.down[:n + reach])
         coded &= ~_MASK
-        coded |= np.arange(low, high, dtype=np.uint64)
+        coded |= np.arange(n + reach, dtype=np.uint64)
         chosen = (smallest_in(coded, reach + 1) & _MASK).astype(np.int64)
-        texts = slice(*np.searchsorted(ends, [first, first + strings], "right") + np.array([0, 1]))
-        inside = np.zeros(strings + 1, np.int8)  # strings that one text holds
-        a, z = starts[texts] - first, ends[texts] - LEAST + 1 - first
-        some = (z > a) & (z > 0) & (a < strings)
+        texts = slice(*np.searchsorted(ends, [low, high], "right") + np.array([0, 1]))
+        inside = np.zeros(n + 1, np.int8)  # strings that one text holds
+        a, z = starts[texts] - low, ends[texts] - LEAST + 1 - low
+        some = (z > a) & (z > 0) & (a < n)
         np.add.at(inside, np.maximum(a[some], 0), 1)
-        np.add.at(inside, np.minimum(z[some], strings), -1)
-        chosen = chosen[np.cumsum(inside[:-1]) > 0]
-        if not len(chosen):
+        np.add.at(inside, np.minimum(z[some], n), -1)
+        at = np.flatnonzero(np.cumsum(inside[:-1]) > 0)
+        chosen = chosen[at]
+        if not len(at):
             continue
-        chosen = chosen[np.concatenate([[True], chosen[1:] != chosen[:-1]])]
-        text = np.searchsorted(ends, chosen + start, "right")
-        left, right = np.maximum(chosen - reach, starts[text] - start), np.minimum(chosen + LEAST, ends[text] - start)
+        begin = np.flatnonzero(np.concatenate([[True], chosen[1:] != chosen[:-1]]))
+        left, right = at[begin], at[np.append(begin[1:], len(at)) - 1] + LEAST
+        chosen = chosen[begin]
+        own = (chosen + low >= first) & (chosen + low < first + PIECE)
+        left, right, chosen = left[own], right[own], chosen[own]
+        text = np.searchsorted(ends, chosen + low, "right")
         passage = h.of(sums, left, right) + mixed((chosen - left).astype(np.uint64) << np.uint64(16) | (right - chosen).astype(np.uint64))
-        found.append((text, chosen + start - starts[text], h.of(sums, chosen, chosen + ANCHOR), mixed(passage)))
+        found.append((text, chosen + low - starts[text], h.of(sums, chosen, chosen + ANCHOR), mixed(passage), left + low, right + low))
     if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    every = [np.concatenate(c) for c in zip(*found)]
-    once = np.concatenate([[True], (every[0][1:] != every[0][:-1]) | (every[1][1:] != every[1][:-1])])
-    return tuple(c[once] for c in every)
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.uint64, np.int64, np.int64))
+    return tuple(np.concatenate(c) for c in zip(*found))
 
 
 def kinds(spotted):
     """(first, of, times): the first of a text's spots with the same anchor and passage, the kind of every spot, spots per kind."""
-    text, _, anchor, passage = spotted
+    text, anchor, passage = spotted[0], spotted[2], spotted[3]
     key = mixed(anchor) + passage
     order = np.lexsort((key, text))  # stable, so that the first of a kind is its first position
     new = np.concatenate([[True], (key[order][1:] != key[order][:-1]) | (text[order][1:] != text[order][:-1])])[:len(order)]
@@ -165,7 +170,7 @@ def _spotted(docs):
             for batch in portions(whole, 2):
                 spotted = spots(*joined(batch.column(2).to_pylist()))
                 first, _, times = kinds(spotted)
-                text, position, anchor, passage = (c[first] for c in spotted)
+                text, position, anchor, passage = (c[first] for c in spotted[:4])
                 d, h = (batch.column(i).to_numpy()[text] for i in (0, 1))
                 yield pa.record_batch([pa.array(d), pa.array(h), pa.array(position.astype(np.int32)), pa.array(anchor.view(np.int64)),
                                        pa.array(passage.view(np.int64)), pa.array(times.astype(np.int32))],
@@ -174,44 +179,48 @@ def _spotted(docs):
     return docs.select("d", "h", "text").mapInArrow(run, "d long, h long, position int, anchor long, passage long, times int")
 
 
-def starts_of(position, size, mask=None):
-    """Starts of the strings around an anchor whose bit is set (all without a mask); bit i is the string i bytes before the anchor."""
-    low, high = max(0, position - (LEAST - ANCHOR)), min(position, size - LEAST)
-    if mask is None:
-        return np.arange(low, high + 1)
-    back = np.flatnonzero(np.unpackbits(np.array(mask, "<i8").view(np.uint8), bitorder="little"))
-    at = position - back
-    return at[(at >= low) & (at <= high)]
-
-
-def without(data, marked):
-    """(n_bytes, n_removed, n_spans, kept_sha256) of a text whose strings at `marked` (arrays of starts) are removed."""
-    if not marked:
-        return len(data), 0, 0, hashlib.sha256(data.tobytes()).hexdigest()
-    step = np.zeros(len(data) + 1, np.int32)
-    for at in marked:
-        np.add.at(step, at, 1)
-        np.add.at(step, at + LEAST, -1)
+def _pointed(spotted, first, text, position):
+    """The kinds of the spots that have these first positions in these texts."""
+    code = spotted[0][first] << 32 | spotted[1][first]
+    order = np.argsort(code)
+    return order[np.searchsorted(code[order], text << 32 | position)]
+
+
+def cleaned(data, ends, settled, masked):
+    """(n_bytes, n_removed, n_spans, kept_sha256) of texts.
+
+    settled: (text, first position) of kinds of spots of which all strings are copies; masked: (text, first position, masks) of others, where bit i is the
+    string i bytes before the anchor.
+    """
+    step = np.zeros(len(data) + 1, np.int64)
+    if len(settled[0]) or len(masked[0]):
+        spotted = spots(data, ends)
+        first, of, _ = kinds(spotted)
+        _, _, _, _, left, right = spotted
+        whole = np.zeros(len(first), bool)
+        whole[_pointed(spotted, first, *settled)] = True
+        hit = whole[of]
+        step += np.bincount(left[hit], minlength=len(step)) - np.bincount(right[hit], minlength=len(step))
+        masks = np.zeros((len(first), 3), "<i8")
+        masks[_pointed(spotted, first, *masked[:2])] = masked[2]
+        some = np.flatnonzero((masks[of] != 0).any(axis=1))
+        at = spotted[1][some] + np.concatenate([[0], ends[:-1]])[spotted[0][some]]
+        for i in range(0, len(some), 1 << 14):
+            row, back = np.nonzero(np.unpackbits(masks[of[some[i:i + (1 << 14)]]].view(np.uint8), axis=1, bitorder="little"))
+            begin = at[i:i + (1 << 14)][row] - back
+            step += np.bincount(begin, minlength=len(step)) - np.bincount(begin + LEAST, minlength=len(step))
     gone = np.cumsum(step[:-1]) > 0
-    spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-    return len(data), int(gone.sum()), spans, hashlib.sha256(data[~gone].tobytes()).hexdigest()
-
-
-def _cleaned(text, settled, masks):
-    """The result of a text: settled are first positions whose strings are all copies, masks a list of (first position, masks)."""
-    data = _bytes(text)
-    if not settled and not masks:
-        return without(data, [])
-    spotted = spots(data, np.array([len(data)]))
-    first, of, _ = kinds(spotted)
-    kind = {int(p): i for i, p in enumerate(spotted[1][first])}
-    by = [[] for _ in first]
-    for p in settled:
-        by[kind[p]].append(None)
-    for p, *mask in masks:
-        by[kind[p]].append(mask)
-    marked = [starts_of(int(p), len(data), mask) for p, k in zip(spotted[1], of) for mask in by[k]]
-    return without(data, [m for m in marked if len(m)])
+    kept = data[~gone]
+    new = gone.copy()
+    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+    inner = starts[(starts > 0) & (starts < len(data))]
+    new[1:] = gone[1:] & ~gone[:-1]
+    new[inner] = gone[inner]
+    total, spans = (np.concatenate([[0], np.cumsum(x)]) for x in (gone, new))
+    removed = total[ends] - total[starts]
+    to = ends - total[ends]
+    digests = [hashlib.sha256(kept[i:j].data).hexdigest() for i, j in zip((starts - total[starts]).tolist(), to.tolist())]
+    return ends - starts, removed, spans[ends] - spans[starts], digests
 
 
 def suffix_array(data, ends):
@@ -240,22 +249,26 @@ def suffix_array(data, ends):
 
     several = ranked(order, key[order], np.arange(size))
     places, depth = np.flatnonzero(several), 7
+    bits = (size + count).bit_length()
     while len(places):
         at = order[places]
-        ahead = at + depth
-        inside = depth < rest[at]
-        second = np.where(inside, rank[np.where(inside, ahead, 0)] + count, owner[at])
-        both = rank[at] << 32 | second
-        o = np.argsort(both)
-        at, both = at[o], both[o]
+        code = rank[at]
+        for i in range(1, 63 // bits):  # as many ranks as fit one number
+            ahead = at + i * depth
+            code = code << bits | np.where(i * depth < rest[at], rank[np.minimum(ahead, size - 1)] + count, owner[at])
+        o = np.argsort(code)
+        at, code = at[o], code[o]
         order[places] = at
-        several = ranked(at, both, places)
-        places, depth = places[several], depth * 2
+        several = ranked(at, code, places)
+        places, depth = places[several], depth * (63 // bits)
     return order, rank
 
 
-def common_prefixes(data, ends, order, rank, most=LEAST):
-    """Common prefix of each suffix in order with the one before it, up to `most`, by Kasai's rule along all passages at once."""
+def common_prefixes(data, ends, order, rank, most=LEAST, steps=None):
+    """Common prefix of each suffix in order with the one before it, up to `most`, by Kasai's rule along all passages at once.
+
+    steps: of each passage, how many suffixes are asked for; all if None. Others get 0.
+    """
     size = len(data)
     starts = np.concatenate([[0], ends[:-1]])
     stop = np.repeat(ends, ends - starts)
@@ -266,8 +279,9 @@ def common_prefixes(data, ends, order, rank, most=LEAST):
     limits = np.array([1 << 8 * b for b in range(8)], np.uint64)
     out = np.zeros(size, np.int32)
     held = np.zeros(len(ends), np.int64)
-    for step in range(int((ends - starts).max(initial=0))):
-        lane = np.flatnonzero(starts + step < ends)
+    steps = ends - starts if steps is None else steps
+    for step in range(int(steps.max(initial=0))):
+        lane = np.flatnonzero(step < steps)
         i = starts[lane] + step
         j = order[np.maximum(rank[i] - 1, 0)]
         limit = np.where(rank[i] > 0, np.minimum(np.minimum(stop[i] - i, stop[j] - j), most), 0)
@@ -287,14 +301,13 @@ def copies(passages, before, groups):
     """(passage, back, class, several) of all strings around the anchors of the passages of a shard.
 
     passages: arrays of bytes; before: bytes before the anchor of each; groups: its anchor. Strings are copies if they are equal, of one anchor
-    and equally far before it; several says whether a string has copies here, class is the same for copies.
+    and equally far before it, that is at another place; several says whether a string has copies here, class is the same for copies.
     """
     data, ends = np.concatenate(passages), np.cumsum([len(p) for p in passages])
-    order, rank = suffix_array(data, ends)
-    run = np.cumsum(common_prefixes(data, ends, order, rank) < LEAST)[rank]
     starts = np.concatenate([[0], ends[:-1]])
-    first = np.maximum(starts, starts + before - (LEAST - ANCHOR))
-    many = np.maximum(np.minimum(starts + before, ends - LEAST) - first + 1, 0)
+    first, many = starts, ends - starts - LEAST + 1
+    order, rank = suffix_array(data, ends)
+    run = np.cumsum(common_prefixes(data, ends, order, rank, steps=many) < LEAST)[rank]
     owner = np.repeat(np.arange(len(ends)), many)
     at = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many) + first[owner]
     back = starts[owner] + before[owner] - at
@@ -405,38 +418,45 @@ def _merged(batches):
 
 
 def _passages(texts):
-    """(anchor, passage, before, bytes, times) of the open spots of (text, open)."""
+    """(anchor, parts, slice, passage, before, bytes, times) of the passages that (text, chosen) are to give."""
+    schema = "anchor long, parts int, slice int, passage long, before int, bytes binary, times long"
+
     def run(batches):
         import pyarrow as pa
-        for batch in batches:
-            out = []
-            for text, wanted in zip(*(c.to_pylist() for c in batch.columns)):
-                data = _bytes(text)
-                spotted = spots(data, np.array([len(data)]))
-                first, _, times = kinds(spotted)
-                asked = np.isin(spotted[1][first], wanted)
-                for i, n in zip(first[asked].tolist(), times[asked].tolist()):
-                    p = int(spotted[1][i])
-                    left = max(0, p - (LEAST - ANCHOR))
-                    out.append((int(spotted[2][i].view(np.int64)), int(spotted[3][i].view(np.int64)), p - left, data[left:p + LEAST].tobytes(), n))
-            kinds_ = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64()]
-            for i in range(0, len(out), 20_000):
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out[i:i + 20_000]), kinds_)], ["anchor", "passage", "before", "bytes", "times"])
-
-    return texts.select("text", "open").mapInArrow(run, "anchor long, passage long, before int, bytes binary, times long")
+        for whole in batches:
+            for batch in portions(whole, 0):
+                data, ends = joined(batch.column(0).to_pylist())
+                spotted = spots(data, ends)
+                first, _, _ = kinds(spotted)
+                text, chosen = _flat(batch.column(1))
+                at = first[_pointed(spotted, first, text, chosen["position"])]
+                left, right = spotted[4][at], spotted[5][at]
+                size = right - left
+                to = np.concatenate([[0], np.cumsum(size)])
+                held = data[np.arange(to[-1]) + np.repeat(left - to[:-1], size)]
+                before = spotted[1][at] + np.concatenate([[0], ends[:-1]])[spotted[0][at]] - left
+                yield pa.record_batch([
+                    pa.array(spotted[2][at].view(np.int64)), pa.array(chosen["parts"].astype(np.int32)), pa.array(chosen["slice"].astype(np.int32)),
+                    pa.array(spotted[3][at].view(np.int64)), pa.array(before.astype(np.int32)),
+                    pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(to.astype(np.int32)), pa.py_buffer(held)]),
+                    pa.array(chosen["times"])], ["anchor", "parts", "slice", "passage", "before", "bytes", "times"])
+
+    return texts.select("text", "chosen").mapInArrow(run, schema)
+
+
+def _flat(lists):
+    """(row, columns) of an Arrow column of lists of numbers or of records of numbers; null lists are empty."""
+    size = np.array([0 if n is None else n for n in lists.value_lengths().to_pylist()], np.int64)
+    flat = lists.flatten()
+    row = np.repeat(np.arange(len(lists)), size)
+    if not hasattr(flat.type, "num_fields") or not flat.type.num_fields:
+        return row, flat.to_numpy(zero_copy_only=False).astype(np.int64)
+    return row, {flat.type.field(i).name: c.to_numpy(zero_copy_only=False).astype(np.int64) for i, c in enumerate(flat.flatten())}
 
 
 def _masks(passages):
     """(anchor, passage, m0, m1, m2): which strings of the different passages of an anchor are copies."""
-    once = materialize(passages.groupBy("anchor", "passage").agg(F.min("bytes").alias("bytes"), F.min("before").alias("before"), F.sum("times").alias("times")),
-                       "repeat-passages")
-    hot = (once.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SLICE)
-           .select("anchor", F.ceil(F.col("n") * 2 / SLICE).cast("int").alias("slices"),
-                   F.greatest(F.lit(2), F.ceil(F.col("n") * (LEAST - ANCHOR + 1) / PART)).cast("int").alias("parts")))
-    placed = once.join(hot, "anchor", "left").select(
-        "anchor", F.coalesce("parts", F.lit(1)).alias("parts"), F.pmod("passage", F.coalesce("slices", F.lit(1))).cast("int").alias("slice"), "passage",
-        "before", "bytes", "times")
-    solved = materialize(placed.repartition("anchor", "slice").sortWithinPartitions("anchor", "slice", "passage")
+    solved = materialize(passages.repartition("anchor", "slice").sortWithinPartitions("anchor", "slice", "passage")
                          .mapInArrow(_shards, "anchor long, passage long, m0 long, m1 long, m2 long, part int, run binary"), "repeat-shards")
     runs = solved.where("run is not null").select("anchor", "part", "run")
     crossed = runs.repartition("anchor", "part").sortWithinPartitions("anchor", "part").mapInArrow(_merged, "anchor long, passage long, m0 long, m1 long, m2 long")
@@ -445,15 +465,17 @@ def _masks(passages):
 
 
 def _results(rows, schema):
-    """Results of (doc_id, text, settled, masks); with `open` given, texts that have open spots are passed on instead."""
+    """Results of (doc_id, text, settled, masks)."""
     def run(batches):
         import pyarrow as pa
-        for batch in batches:
-            ids, texts, settled, more = batch.columns[:4]
-            out = [_cleaned(t.as_py(), s.as_py() or [], [tuple(m.values()) for m in (x.as_py() or [])]) for t, s, x in zip(texts, settled, more)]
-            columns = list(zip(*out)) if out else [[]] * 4
-            yield pa.record_batch([ids, *[pa.array(c, pa.int64()) for c in columns[:3]], pa.array(columns[3], pa.string())],
-                                  ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        for whole in batches:
+            for batch in portions(whole, 1):
+                data, ends = joined(batch.column(1).to_pylist())
+                text, masks = _flat(batch.column(3))
+                masked = text, masks["position"], np.stack([masks[m] for m in MASKS], 1)
+                out = cleaned(data, ends, _flat(batch.column(2)), masked)
+                yield pa.record_batch([batch.column(0), *[pa.array(c, pa.int64()) for c in out[:3]], pa.array(out[3], pa.string())],
+                                      ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     return rows.select("doc_id", "text", "settled", "masks").mapInArrow(run, schema)
 
@@ -467,14 +489,23 @@ def remove_repeats(documents):
     shared = (spotted.groupBy("anchor").agg(F.sum("times").alias("n"), F.min("passage").alias("low"), F.max("passage").alias("high"))
               .where(F.col("n") > 1).select("anchor", (F.col("low") == F.col("high")).alias("settled")))
     hits = materialize(spotted.join(shared, "anchor"), "repeat-hits")
-    spot = F.col("position")
-    lists = hits.groupBy("d", "h").agg(F.collect_set(F.when(F.col("settled"), spot)).alias("settled"),
-                                       F.collect_set(F.when(~F.col("settled"), spot)).alias("open"))  # bounded by the text itself
+    spot = F.struct("d", "h", "position")
+    once = materialize(hits.where("not settled").groupBy("anchor", "passage").agg(F.min(spot).alias("spot"), F.sum("times").alias("times")), "repeat-passages")
+    hot = (once.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SLICE)
+           .select("anchor", F.ceil(F.col("n") * 2 / SLICE).cast("int").alias("slices"),
+                   F.greatest(F.lit(2), F.ceil(F.col("n") * (LEAST - ANCHOR + 1) / PART)).cast("int").alias("parts")))
+    cut = F.pmod("passage", F.coalesce("slices", F.lit(1))).cast("int")
+    chosen = (once.join(hot, "anchor", "left")
+              .groupBy("spot.d", "spot.h").agg(F.collect_list(F.struct(F.col("spot.position").alias("position"), F.coalesce("parts", F.lit(1)).alias("parts"),
+                                                                       cut.alias("slice"), "times")).alias("chosen")))
+    lists = hits.groupBy("d", "h").agg(F.collect_set(F.when(F.col("settled"), F.col("position"))).alias("settled"),  # bounded by the text itself
+                                       F.max(~F.col("settled")).alias("open"))
     none = F.lit(None).cast("array<struct<position:int,m0:bigint,m1:bigint,m2:bigint>>")
-    read = materialize(docs.join(lists, ["d", "h"], "left").withColumn("waits", F.coalesce(F.size("open") > 0, F.lit(False))), "repeat-texts", by=["waits"])
+    read = materialize(docs.join(lists.join(chosen, ["d", "h"], "left"), ["d", "h"], "left").withColumn("waits", F.coalesce("open", F.lit(False))).drop("open"),
+                       "repeat-texts", by=["waits"])
     done = _results(read.where("not waits").withColumn("masks", none), schema)
     waiting = read.where("waits")
-    masks = _masks(_passages(waiting))
+    masks = _masks(_passages(waiting.where("chosen is not null")))
     found = (hits.where("not settled").select("d", "h", "position", "anchor", "passage").join(masks, ["anchor", "passage"])
              .groupBy("d", "h").agg(F.collect_set(F.struct("position", *MASKS)).alias("masks")))
     return done.unionByName(_results(waiting.join(found, ["d", "h"], "left"), schema))
