@@ -48,34 +48,35 @@ def terms_of(word):
     return {h("w " + word)} | {h(f"{n} {word[:n]}") for n in PREFIXES if len(word) >= n}
 
 
+#: Texts whose terms are counted at once.
+COUNTED = 256
+
+
 def _term_counts(batches):
+    """(term, clean, toxic): texts of each class that hold a term, of a portion of texts at a time."""
     import pyarrow as pa
-    counts = {}
-    known = {}
-    for batch in batches:
-        for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-            found = set()
-            for w in words_of(text):
-                if w not in known:
-                    if len(known) > 200_000:
-                        known.clear()
-                    known[w] = terms_of(w)
-                found |= known[w]
-            for t in found:
-                c = counts.get(t)
-                if c is None:
-                    counts[t] = c = [0, 0]
-                c[toxic] += 1
-            if len(counts) > 500_000:
-                yield _count_batch(pa, counts)
-                counts = {}
-    yield _count_batch(pa, counts)
-
-
-def _count_batch(pa, counts):
-    term = np.fromiter(counts, np.uint64, len(counts)).view(np.int64)
-    both = np.array(list(counts.values()), np.int64).reshape(-1, 2)
-    return pa.record_batch([pa.array(term), pa.array(both[:, 0]), pa.array(both[:, 1])], ["term", "clean", "toxic"])
+    for whole in batches:
+        for at in range(0, whole.num_rows, COUNTED):
+            batch = whole.slice(at, COUNTED)
+            index, pairs = {}, []
+            for text in batch.column("text").to_pylist():
+                pairs.append(np.array([index.setdefault(w, len(index)) for w in words_of(text)], np.int32))
+            found = [np.fromiter(terms_of(w), np.uint64) for w in index]
+            many = np.array([len(t) for t in found], np.int64)
+            terms = np.concatenate(found) if found else np.zeros(0, np.uint64)
+            first = np.cumsum(many) - many
+            word = np.concatenate(pairs) if pairs else np.zeros(0, np.int32)
+            n = many[word]
+            row = np.repeat(np.repeat(np.arange(len(pairs)), [len(p) for p in pairs]), n)
+            term = terms[np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[word], n)]
+            order = np.lexsort((row, term))
+            row, term = row[order], term[order]
+            new = np.ones(len(row), bool)
+            new[1:] = (row[1:] != row[:-1]) | (term[1:] != term[:-1])
+            term, of = np.unique(term[new], return_inverse=True)
+            marked = batch.column("toxic").to_numpy()[row[new]]
+            both = [np.bincount(of, marked == c, len(term)).astype(np.int64) for c in (0, 1)]
+            yield pa.record_batch([pa.array(term.view(np.int64)), *map(pa.array, both)], ["term", "clean", "toxic"])
 
 
 def sample(docs, labels, max_rows=MAX_ROWS):
