@@ -9,14 +9,14 @@ both have a placeholder, one value of the item must stand for one value of the t
 with other numbers is found, and chance matches of common templates are not. An item is found if at least COVERAGE of its
 windows are.
 
-A bitmap of fixed size over the benchmark's hashes lets each task drop windows that cannot match; the join decides.
+A text is compared with the items of which it holds one of the rarest windows (see `probes`). A bitmap of fixed size over the benchmark's hashes lets each task drop windows that cannot match; the join decides.
 
 Edge cases: null, empty and wordless texts match nothing, and such items are never found; an item of under five words is
 one window of its length; repeated items and rows each count for themselves, rows of one doc_id as one text with all their
 matches; empty tables give no rows; other columns are ignored.
 """
 import numpy as np
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from coverlens.session import materialize
 
@@ -62,17 +62,19 @@ class _Codes(dict):
         return code
 
 
-def template(words, codes, names=True, doubts=True):
+def template(words, codes, names=True, doubts=True, border=None):
     """(starts, first, other, typed, unsure) of a text's slots: the words they start at, their hashes, their other hashes (the
     same where there is none), which are placeholders, and which are names only by the capital that starts a sentence.
 
     A run of numbers, of units or of capitalised words is one slot. A slot of capitalised words is a name or, the other way,
-    starts with an ordinary word. Without names, capitals mean nothing."""
+    starts with an ordinary word. Without names, capitals mean nothing. border: which words begin a text, for several texts."""
     v = np.fromiter(map(codes.__getitem__, words), np.uint64, len(words))
     h = v >> np.uint64(4)
     capital = (v & np.uint64(4)).astype(bool) & names
     kind = np.where(capital, np.uint64(_NAME), h)
     goes_on = (kind[1:] == kind[:-1]) & (kind[1:] < 32) & ~(v[:-1] & np.uint64(2)).astype(bool)
+    if border is not None:
+        goes_on &= ~border[1:]
     starts = np.flatnonzero(np.concatenate([[True], ~goes_on]))
     long = np.diff(starts, append=len(v)) > 1
     first, word = kind[starts], h[starts]
@@ -115,54 +117,124 @@ def _readings(first, other, size):
             yield window_hashes(first, size, other, at, use), at, use
 
 
-def _windows(keyed, wanted, bitmap):
-    """(key, size, position, hash, slots, unsure) of windows. wanted: sizes for whole short texts (None: a text's own); bitmap: a
-    filter. Sizes over PLAIN are of windows in which capitals mean nothing."""
+_SCHEMA = "key long, size int, position int, hash long, slots array<string>, unsure boolean"
+
+
+def _batch_of(rows):
+    import pyarrow as pa
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.bool_())
+    return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["key", "size", "position", "hash", "slots", "unsure"])
+
+
+def _slots(words, starts, ends, typed, i, size, use):
+    """The placeholders' words in the window that starts at slot i."""
+    out = []
+    for k in range(size):
+        lo, hi = starts[i + k] + (k in use), ends[i + k]
+        if typed[i + k] and lo < hi:
+            out.append(" ".join(x.strip(_MARKS).lower() for x in words[lo:hi]))
+    return out
+
+
+def _item_windows(items):
+    """(key, size, position, hash, slots, unsure) of the windows of benchmark items. Sizes over PLAIN are of windows in which capitals mean nothing."""
     def run(batches):
-        import pyarrow as pa
         codes = _Codes()
-        bits = None if bitmap is None else np.frombuffer(bitmap.value, np.uint8)
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.bool_())
-        names = ["key", "size", "position", "hash", "slots", "unsure"]
 
-        def add(rows, key, words, named, sizes):
-            starts, first, other, typed, unsure = template(words, codes, named, sizes is None)
+        def add(rows, key, words, named):
+            starts, first, other, typed, unsure = template(words, codes, named)
             ends = np.append(starts[1:], len(words))
-            mode = 0 if named else PLAIN
-            for size in [min(WINDOW, len(starts))] if sizes is None else sizes:
-                for w, at, use in _readings(first, other, size):
-                    if bits is not None:
-                        bit = w >> np.uint64(64 - BITMAP_BITS)
-                        in_it = (bits[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-                        w, at = w[in_it], at[in_it]
-                    for i, x in zip(at.tolist(), w.view(np.int64).tolist()):
-                        slots = []
-                        for k in range(size):
-                            lo, hi = starts[i + k] + (k in use), ends[i + k]
-                            if typed[i + k] and lo < hi:
-                                slots.append(" ".join(x.strip(_MARKS).lower() for x in words[lo:hi]))
-                        rows.append((key, size + mode, i, x, slots, any(unsure[i + k] for k in range(size) if k not in use)))
+            size = min(WINDOW, len(starts))
+            for w, at, use in _readings(first, other, size):
+                for i, x in zip(at.tolist(), w.view(np.int64).tolist()):
+                    doubt = any(unsure[i + k] for k in range(size) if k not in use)
+                    rows.append((key, size + (0 if named else PLAIN), i, x, _slots(words, starts, ends, typed, i, size, use), doubt))
             return len(starts)
 
         for batch in batches:
             rows = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = (text or "").split()
-                if not words:
-                    continue
-                if wanted is None:
-                    n = add(rows, key, words, True, None)
+                if words:
+                    n = add(rows, key, words, True)
                     if n < len(template(words, codes, False)[0]):  # with single names only, their other reading is the plain text
-                        add(rows, key, words, False, None)
-                else:
-                    for named in (True, False):
-                        sizes = [x % PLAIN for x in wanted if (x < PLAIN) == named]
-                        if sizes:
-                            add(rows, key, words, named, sizes)
+                        add(rows, key, words, False)
             if rows:
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+                yield _batch_of(rows)
+
+    return items.mapInArrow(run, _SCHEMA)
+
+
+#: Words of texts that are hashed at once.
+PORTION = 1 << 17
+
+
+def _text_windows(keyed, wanted, bitmap):
+    """Likewise of the windows of texts, many texts in one array. wanted: sizes; bitmap: a filter of hashes."""
+    plain = [x - PLAIN for x in wanted if x > PLAIN]
+    named = [x for x in wanted if x <= PLAIN]
+
+    def run(batches):
+        codes, bits = _Codes(), np.frombuffer(bitmap.value, np.uint8)
+
+        def windows(keys, words, border):
+            rows = []
+            text = np.cumsum(border) - 1
+            for names, sizes, mode in ((True, named, 0), (False, plain, PLAIN)):
+                if not sizes:
+                    continue
+                starts, first, other, typed, _ = template(words, codes, names, False, border)
+                ends = np.append(starts[1:], len(words))
+                of = text[starts]
+                begin = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))[of]  # a text's first slot
+                for size in sizes:
+                    for w, at, use in _readings(first, other, size):
+                        bit = w >> np.uint64(64 - BITMAP_BITS)
+                        fits = (bits[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+                        w, at = w[fits], at[fits]
+                        fits = of[at] == of[at + size - 1]
+                        for i, x in zip(at[fits].tolist(), w[fits].view(np.int64).tolist()):
+                            rows.append((keys[of[i]], size + mode, i - int(begin[i]), x, _slots(words, starts, ends, typed, i, size, use), False))
+            return rows
+
+        for batch in batches:
+            keys, words, first = [], [], []
+            for key, text in zip(batch.column(0), batch.column(1)):
+                new = (text.as_py() or "").split()
+                if new:
+                    keys.append(key.as_py())
+                    first.append(len(words))
+                    words += new
+                if len(words) >= PORTION:
+                    border = np.zeros(len(words), bool)
+                    border[first] = True
+                    rows = windows(keys, words, border)
+                    if rows:
+                        yield _batch_of(rows)
+                    keys, words, first = [], [], []
+            if words:
+                border = np.zeros(len(words), bool)
+                border[first] = True
+                rows = windows(keys, words, border)
+                if rows:
+                    yield _batch_of(rows)
+
+    return keyed.mapInArrow(run, _SCHEMA)
+
+
+def probes(windows, total, coverage):
+    """The windows of each item's rarest positions, one more of these than an item can lack and still be found.
 
-    return keyed.mapInArrow(run, "key long, size int, position int, hash long, slots array<string>, unsure boolean")
+    So a text meets an item only if it holds one of them, and an instruction that many items share brings no text to all of
+    them. windows: with `item`, `plain`, `size`, `hash`, `item_position`; a position has a window per reading.
+    """
+    held = windows.groupBy("size", "hash").agg(F.count_distinct("item").alias("n"))
+    positions = (windows.select("item", "plain", "item_position", "size", "hash").distinct().join(held, ["size", "hash"])
+                 .groupBy("item", "plain", "item_position").agg(F.sum("n").alias("n")).join(total, ["item", "plain"]))
+    order = Window.partitionBy("item", "plain").orderBy("n", "item_position")
+    few = (positions.withColumn("nth", F.row_number().over(order))
+           .where(F.col("nth") <= F.col("windows") - F.ceil(F.col("windows") * coverage) + 1).select("item", "plain", "item_position"))
+    return windows.join(few, ["item", "plain", "item_position"], "left_semi").select("item", "plain", "size", "hash").distinct()
 
 
 def matches(docs, benchmark, coverage=COVERAGE):
@@ -170,22 +242,27 @@ def matches(docs, benchmark, coverage=COVERAGE):
     spark = docs.sparkSession
     items = benchmark.select(F.monotonically_increasing_id().alias("key"), F.col("item_id").cast("long").alias("item_id"), "text")
     items = materialize(items, "benchmark-items")
-    theirs = materialize(_windows(items.select("key", "text"), None, None), "benchmark-windows")
+    theirs = materialize(_item_windows(items.select("key", "text")), "benchmark-windows")
     sizes = sorted(r["size"] for r in theirs.select("size").distinct().collect())  # at most WINDOW numbers
     bits = np.zeros(1 << BITMAP_BITS, bool)
     top = F.shiftrightunsigned("hash", 64 - BITMAP_BITS).cast("int")
     bits[theirs.select(top.alias("bit")).distinct().toPandas()["bit"].to_numpy(np.int64)] = True  # at most 2^BITMAP_BITS numbers
     bitmap = spark.sparkContext.broadcast(np.packbits(bits, bitorder="little").tobytes())
-    ours = _windows(docs.select(F.col("doc_id").cast("long").alias("key"), "text"), sizes, bitmap)
+    ours = _text_windows(docs.select(F.col("doc_id").cast("long").alias("key"), "text"), sizes, bitmap)
+    ours = materialize(ours.drop("unsure").withColumnRenamed("key", "doc_id"), "text-windows")
     theirs = theirs.select(F.col("key").alias("item"), "size", F.col("position").alias("item_position"), "hash",
                            F.col("slots").alias("item_slots"), "unsure")
     mode = F.col("size") > PLAIN
     total = theirs.groupBy("item", mode.alias("plain")).agg((F.max("item_position") + 1).alias("windows"))
-    hits = (ours.withColumnRenamed("key", "doc_id").drop("unsure").join(theirs, ["size", "hash"]).withColumn("plain", mode)
+    theirs = theirs.withColumn("plain", mode)
+    pairs = ours.join(probes(theirs, total, coverage), ["size", "hash"]).select("doc_id", "item", "plain").distinct()
+    met = pairs.join(theirs, ["item", "plain"]).withColumnRenamed("doc_id", "_doc")
+    hits = (met.join(ours.withColumnsRenamed({"size": "_size", "hash": "_hash"}),
+                     F.col("_doc").eqNullSafe(F.col("doc_id")) & (F.col("size") == F.col("_size")) & (F.col("hash") == F.col("_hash")))
             .withColumn("shift", F.col("position") - F.col("item_position")))
-    pairs = F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b"))
-    certain = F.when(~F.col("unsure"), F.struct(F.col("item_position").alias("at"), pairs.alias("pairs")))
-    every = F.struct(F.col("item_position").alias("at"), pairs.alias("pairs"))
+    zipped = F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b"))
+    certain = F.when(~F.col("unsure"), F.struct(F.col("item_position").alias("at"), zipped.alias("pairs")))
+    every = F.struct(F.col("item_position").alias("at"), zipped.alias("pairs"))
     placed = (hits.groupBy("doc_id", "item", "plain", "shift")
               .agg(F.collect_set(every).alias("every"), F.collect_set(certain).alias("certain")))
     # one value of the item for one value of the text; at most a few readings per word of the item, as the place is fixed

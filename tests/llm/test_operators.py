@@ -6,6 +6,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from checks.compare import connect
@@ -385,6 +386,24 @@ def test_links_far_and_popular(spark):
     assert got == {p[0]: "allow" if p[0] == 27 else "block" for p in pages}
 
 
+def test_decontamination_of_items_that_share_an_instruction(spark):
+    """A thousand items begin with one line that half of the texts hold too: only texts with the rest of an item meet it."""
+    rnd = random.Random(1)
+    word = ["".join(rnd.choices("abcdefghijklmnop", k=6)) for _ in range(4000)]
+    line = "read the passage below with care and then answer the question that follows it in one word"
+    rest = [" ".join(rnd.choices(word, k=30)) for _ in range(1000)]
+    items = spark.createDataFrame([(i, f"{line} {r}") for i, r in enumerate(rest)], "item_id long, text string")
+    rows = [(i, " ".join([*rnd.choices(word, k=20), line if i % 2 else "", *rnd.choices(word, k=20)])) for i in range(400)]
+    rows += [(1000 + i, f"x y {line} {rest[i]} z") for i in range(20)]
+    got = {(r.doc_id, r.item_id) for r in template_decontam.matches(docs(spark, rows), items).collect()}
+    assert got == {(1000 + i, i) for i in range(20)}
+    windows = template_decontam._item_windows(items.select(F.col("item_id").alias("key"), "text")).select(
+        F.col("key").alias("item"), F.lit(False).alias("plain"), "size", F.col("position").alias("item_position"), "hash")
+    total = windows.groupBy("item", "plain").agg((F.max("item_position") + 1).alias("windows"))
+    held = template_decontam.probes(windows, total, 0.8).groupBy("hash").count()
+    assert held.agg(F.max("count")).first()[0] < 5
+
+
 def test_decontamination(spark, table, sf):
     items = spark.read.parquet(f"{sf}/benchmark.parquet")
     got = {(r.doc_id, r.item_id) for r in template_decontam.matches(table, items).collect()}
