@@ -54,6 +54,7 @@ ANSWERS = ['{"image_type": "INVOICE", "product_name": "Dell XPS", "brand": "Dell
 EDIT_FIELDS = ["name", "retailer", "date", "warranty", "serial", "price"]
 EDIT_VALUES = ["Sony WH-1000 <xm5>", "Corner Shop & Co", "2023-11-05", "18", "SN 00#7/9-A", "Rs 12,500.00",
                "  LG TV ", "yesterday", "31-02-2024", "eighteen", "", "n/a"]
+TYPED_MONTHS = ["6", "24", "custom", " 18 ", "-3", "", "12 months", "60", "99999999999"]
 PICKS = ["Smartphone", "Laptop", "TV & Audio", "Home Appliance", "Wearable"]
 FILE_SUFFIXES = [".jpg", ".JPEG", ".png", ".pdf", ".webp", "", ".gif", ".tar.gz"]
 ADMINS = "7, 42,abc, 0 ,99 9,"

@@ -189,6 +189,20 @@ sql("C9_cascade_delete", ["v_products", "v_reminder_log", "v_users"], """WITH go
 SELECT 'products' AS tbl, product_id AS id, CAST(NULL AS VARCHAR) AS tag FROM v_products WHERE product_id NOT IN (SELECT product_id FROM gone)
 UNION ALL SELECT 'users', user_id, NULL FROM v_users WHERE coalesce(language, '') <> 'hi'
 UNION ALL SELECT 'reminder_logs', product_id, reminder_type FROM v_reminder_log WHERE product_id NOT IN (SELECT product_id FROM gone)""")
+_ALL_IDS = """SELECT {v} AS version, 'products' AS tbl, product_id AS id, CAST(NULL AS VARCHAR) AS tag FROM v_products{p}
+UNION ALL SELECT {v}, 'users', user_id, NULL FROM v_users{u}
+UNION ALL SELECT {v}, 'reminder_logs', product_id, reminder_type FROM v_reminder_log{p}"""
+sql("C9_store_delete", ["v_products", "v_reminder_log", "v_users"], f"""WITH gone AS (
+  SELECT product_id FROM v_products WHERE order_status = 'P' OR user_id IN (SELECT user_id FROM v_users WHERE language = 'hi'))
+{_ALL_IDS.format(v="'first'", p="", u="")}
+UNION ALL {_ALL_IDS.format(v="'newest'", p=" WHERE product_id NOT IN (SELECT product_id FROM gone)", u=" WHERE coalesce(language, '') <> 'hi'")}""")
+sql("C8_C12_store_users", ["v_users", "v_actions"], """SELECT n.user_id, first_name, coalesce(arg, language) AS language, plan_tier, created_us FROM (
+  SELECT user_id, first_name, language, CAST(NULL AS VARCHAR) AS plan_tier, CAST(NULL AS BIGINT) AS created_us FROM v_users
+  UNION ALL (SELECT user_id + 20, event_type, 'en', 'free', epoch_us(ts) FROM events e
+    WHERE NOT EXISTS (SELECT 1 FROM v_users u WHERE u.user_id = e.user_id + 20)
+    QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1)) n
+LEFT JOIN (SELECT user_id, arg FROM v_actions WHERE kind = 'set_lang'
+  QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1) a ON a.user_id = n.user_id""")
 product("C10_component_coverage", f"""SELECT product_id, component, months AS component_months, note AS component_note,
   {expiry('purchase_date', 'months')} AS component_expiry, {AS_OF} <= {expiry('purchase_date', 'months')} AS is_covered
 FROM v_products LEFT JOIN {COVER} ON cat = category""")
@@ -257,6 +271,18 @@ ORACLE["D3_months"] = f"""SELECT event_id,
   coalesce(TRY_CAST(CASE WHEN regexp_matches(trim(t), '^[+-]?[0-9]+$') THEN trim(t) END AS INTEGER), 12) AS preset,
   TRY_CAST(CASE WHEN regexp_matches(trim(t), '^[0-9]+$') THEN trim(t) END AS INTEGER) AS typed_months
 FROM (SELECT event_id, {pick(["6", "24", "custom", " 18 ", "-3", "", "12 months", "60"], 'event_id')} AS t FROM events)"""
+_typed_day = f"{human_date('typed', AS_OF, EDIT_FORMATS)}"
+_typed_months = "TRY_CAST(CASE WHEN regexp_matches(trim(typed), '^[0-9]+$') THEN trim(typed) END AS INTEGER)"
+ORACLE["D1_D3_rejects"] = f"""WITH typed AS (
+  SELECT o_orderkey AS entry_id, 'date' AS field, {_typed} AS typed FROM (SELECT *, CAST(o_orderdate AS DATE) AS d FROM orders)
+  UNION ALL SELECT event_id, 'months', {pick([*X.TYPED_MONTHS, None], 'event_id')} FROM events),
+read AS (SELECT *, CASE WHEN field = 'date' THEN {_typed_day} END AS day, CASE WHEN field = 'months' THEN {_typed_months} END AS months FROM typed),
+told AS (SELECT *, CASE WHEN day IS NOT NULL OR months IS NOT NULL THEN NULL WHEN coalesce(trim(typed), '') = '' THEN 'blank'
+    WHEN field = 'date' THEN CASE WHEN regexp_matches(trim(typed), '^[0-9]+([-/.])[0-9]+[-/.][0-9]+$') THEN 'no such day' ELSE 'unknown form' END
+    WHEN regexp_matches(trim(typed), '^-[0-9]+$') THEN 'negative' WHEN regexp_matches(trim(typed), '^[0-9]+$') THEN 'too large'
+    ELSE 'no whole number' END AS reason FROM read)
+SELECT entry_id, field, typed, day, months, reason, CASE WHEN reason IS NULL THEN NULL WHEN field = 'date' THEN {lit(V.DATE_REPLY)}
+  ELSE {lit(V.MONTHS_REPLY)} END AS reply FROM told"""
 ORACLE["D4_formats"] = """SELECT o_orderkey AS order_id, strftime(o_orderdate, '%d %b %Y') AS day,
   CASE WHEN o_orderstatus = 'F' AND o_totalprice <> 0 THEN '₹' || format('{:,.2f}', o_totalprice) ELSE 'Recorded' END AS price FROM orders"""
 

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from checks import fixtures as X
 from coverlens import fixed_values as V, schemas
-from coverlens.functions import answers, dates, files, text
+from coverlens.functions import answers, dates, entries, files, text
 from coverlens.operators import bills, claims, enrich, lifecycle, limits, messages, sessions, users
-from coverlens.plans import intake, reminders
+from coverlens.plans import intake, reminders, store_changes
 from coverlens.session import materialize, work_dir
 from coverlens.sources import delivery, dims, sinks, tables
 from coverlens.streaming.limiter import stream_allow_requests
@@ -311,6 +311,40 @@ def C9_cascade_delete(spark, sf):
                                                       F.col("reminder_type").alias("tag"))))
 
 
+def _ids(store, version, label):
+    """Keys and, where there is one, the kind of all rows of a version."""
+    shown = {"products": ("product_id", None), "users": ("user_id", None), "reminder_logs": ("product_id", "reminder_type")}
+    out = None
+    for name, (key, tag) in shown.items():
+        part = store.read(name, version).select(F.lit(label).alias("version"), F.lit(name).alias("tbl"), F.col(key).alias("id"),
+                                                (F.col(tag) if tag else F.lit(None).cast("string")).alias("tag"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query
+def C9_store_delete(spark, sf):
+    """The same deletes written as a version of a store, run twice; all tables of the first and the newest version read back."""
+    p, u = products(spark, sf), X.v_users(spark, sf)
+    store = store_changes.open_store(spark, work_dir(spark, "store"), parts=8)
+    first = store.commit({"products": p, "users": u, "reminder_logs": X.v_reminder_log(spark, sf)})
+    for _ in range(2):
+        store_changes.delete(store, p.where("order_status = 'P'").select("product_id"), u.where("language = 'hi'").select("user_id"))
+    return _ids(store, first, "first").unionByName(_ids(store, None, "newest"))
+
+
+@query
+def C8_C12_store_users(spark, sf):
+    """New users and chosen languages written as versions of a store."""
+    store = store_changes.open_store(spark, work_dir(spark, "store"), parts=8)
+    more = {"plan_tier": "string", "vault_limit": "int", "created_at": "timestamp"}
+    store.commit({"users": X.v_users(spark, sf).withColumns({n: F.lit(None).cast(t) for n, t in more.items()})})
+    store_changes.first_seen(store, X.events(spark, sf).select((F.col("user_id") + X.NEW_USER_SHIFT).alias("user_id"), "ts", "event_id",
+                                                               F.col("event_type").alias("first_name")))
+    store_changes.choose_languages(store, messages.parse_action(X.v_messages(spark, sf)))
+    return store.read("users").select("user_id", "first_name", "language", "plan_tier", F.unix_micros("created_at").alias("created_us"))
+
+
 @query
 def C10_component_coverage(spark, sf):
     return enrich.component_coverage(products(spark, sf), X.AS_OF).select(
@@ -538,6 +572,17 @@ def D3_months(spark, sf):
                                                text.parse_months(typed, strict=True).alias("typed_months"))
 
 
+@query
+def D1_D3_rejects(spark, sf):
+    """Typed days and months in one pass: what was accepted with its value, what was rejected with a reason and a reply."""
+    days = _typed_days(spark, sf).select(F.col("order_id").alias("entry_id"), F.lit("date").alias("field"), "typed")
+    typed = X.pick([*X.TYPED_MONTHS, None], F.col("event_id"))
+    months = X.table(spark, sf, "events").select(F.col("event_id").alias("entry_id"), F.lit("months").alias("field"), typed.alias("typed"))
+    accepted, rejected = entries.write_split(days.unionByName(months), X.AS_OF, work_dir(spark, "entries"))
+    return accepted.withColumns({"reason": F.lit(None).cast("string"), "reply": F.lit(None).cast("string")}).unionByName(
+        rejected.withColumns({"day": F.lit(None).cast("date"), "months": F.lit(None).cast("int")}))
+
+
 @query
 def D4_formats(spark, sf):
     o = X.table(spark, sf, "orders")

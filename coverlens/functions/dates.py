@@ -1,5 +1,7 @@
 """Date rules. Nothing here reads the clock: the day of reference is an argument."""
 import datetime
+import functools
+import operator
 
 from pyspark.sql import Column, functions as F
 
@@ -40,6 +42,13 @@ _SHAPES = {"yyyy-M-d": r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$", "d-M-yyyy": r"^[0-9]
            "d/M/yyyy": r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$", "d.M.yyyy": r"^[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}$"}
 
 
+def shaped_like_date(c, formats=None) -> Column:
+    """Whether a text has one of the forms of parse_human_date, real day or not."""
+    text = F.lower(strip(c))
+    shapes = [text.rlike(_SHAPES[f]) for f in (formats or V.EDIT_DATE_FORMATS)]
+    return F.coalesce(functools.reduce(operator.or_, shapes, text.isin(*V.TODAY_WORDS, *V.YESTERDAY_WORDS)), F.lit(False))
+
+
 def parse_human_date(c, as_of, formats=None) -> Column:
     """today / now / yesterday or one of the formats; NULL for anything else."""
     text = F.lower(strip(c))
