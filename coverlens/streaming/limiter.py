@@ -23,8 +23,9 @@ class _Limiter(OrderedFold):
 
 
 def stream_allow_requests(events: DataFrame, max_requests: int = V.LIMITER_MAX_REQUESTS,
-                          seconds: float = V.LIMITER_WINDOW_SECONDS, delay: str = "10 minutes") -> DataFrame:
-    """Decisions in event-time order; events later than ``delay`` behind the newest are dropped."""
+                          seconds: float = V.LIMITER_WINDOW_SECONDS, delay: str = "10 minutes", with_late: bool = False) -> DataFrame:
+    """Decisions in event-time order. Requests more than ``delay`` behind the newest get none: ``with_late`` gives them out with
+    ``late`` set and without a decision, else they are dropped."""
     out = fold_in_order(events, F.lit(""), _Limiter(max_requests, seconds),
-                        "user_id long, event_id long, us long, accepted boolean", delay)
-    return out.select("user_id", "event_id", F.timestamp_micros("us").alias("ts"), "accepted")
+                        "user_id long, event_id long, us long, accepted boolean", delay, with_late)
+    return out.select("user_id", "event_id", F.timestamp_micros("us").alias("ts"), "accepted", *(["late"] if with_late else []))

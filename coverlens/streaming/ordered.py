@@ -2,6 +2,9 @@
 
 Events wait in state until the watermark has passed them and are then folded in
 (time, id) order. State per key is what still waits plus the fold's own state.
+
+An event behind the watermark comes too late to be folded in order. It is not dropped: it leaves at once as a row with
+`late` set and nothing but its key, id and time, so that rows on time and late rows are all events.
 """
 import contextlib
 import json
@@ -39,6 +42,8 @@ class OrderedFold(StatefulProcessor):
     """
     state_schema: str
     columns: list
+    id_column = "event_id"  # where a late event's id goes
+    with_late = False
     slot_ms = 1000  # events of one slot wait together under one timer
 
     def init(self, handle):
@@ -53,16 +58,23 @@ class OrderedFold(StatefulProcessor):
         return (us // 1000 // self.slot_ms + 1) * self.slot_ms
 
     def handleInputRows(self, key, rows, timerValues):
-        arrived = {}
+        arrived, late = {}, []
+        passed = timerValues.getCurrentWatermarkInMs()
         for pdf in rows:
             for us, event_id, payload in zip(pdf["us"], pdf["event_id"], pdf["payload"]):
+                if self.slot_end(int(us)) <= passed:  # the timer of its slot has fired
+                    late.append((int(event_id), int(us)))
+                    continue
                 arrived.setdefault(self.slot_end(int(us)), []).append([int(us), int(event_id), payload])
         for ms, new in arrived.items():
             old = json.loads(self.waiting.getValue((ms,))[0]) if self.waiting.containsKey((ms,)) else []
             if not old:
                 self.handle.registerTimer(ms)
             self.waiting.updateValue((ms,), (json.dumps(old + new),))
-        yield from ()
+        if late and self.with_late:
+            known = [{"user_id": key[0], self.id_column: event_id, "us": us, "late": True} for event_id, us in late]
+            columns = [*self.columns, "late"]
+            yield pd.DataFrame({c: pd.Series([row.get(c) for row in known], dtype=object) for c in columns})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         now = expiredTimerInfo.getExpiryTimeInMs()
@@ -84,15 +96,24 @@ class OrderedFold(StatefulProcessor):
         elif old is not None:
             self.state.clear()
         if out:
-            yield pd.DataFrame([(key[0], *r) for r in out], columns=self.columns)
+            found = pd.DataFrame([(key[0], *r) for r in out], columns=self.columns)
+            if self.with_late:
+                found["late"] = False
+            yield found
 
     def close(self):
         pass
 
 
-def fold_in_order(events: DataFrame, payload, processor, schema: str, delay: str) -> DataFrame:
-    """Runs an OrderedFold per user over a stream of (user_id, ts, event_id, ...)."""
+def fold_in_order(events: DataFrame, payload, processor, schema: str, delay: str, with_late: bool = False) -> DataFrame:
+    """Runs an OrderedFold per user over a stream of (user_id, ts, event_id, ...).
+
+    ``with_late`` adds a column ``late`` and a row per event that came too late; else such events are dropped. The time goes
+    in as a number, as Spark itself drops late rows where it sees the column of the watermark.
+    """
+    processor.with_late = with_late
+    schema = f"{schema}, late boolean" if with_late else schema
     slim = (events.withWatermark("ts", delay)
-            .select("user_id", "ts", F.unix_micros("ts").alias("us"), "event_id", payload.alias("payload")))
+            .select("user_id", F.unix_micros("ts").alias("us"), "event_id", payload.alias("payload")))
     return slim.groupBy("user_id").transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=schema, outputMode="append", timeMode="EventTime")

@@ -54,6 +54,28 @@ def test_sessions_out_of_order(spark, sf):
     assert rows(got.select(want.columns)) == rows(want) and got.count() > 0
 
 
+def test_late_events_are_given_out(spark, sf):
+    """Files of the time range, the newest first, and a delay of an hour: what is on time and what is late are all events."""
+    events = X.events(spark, sf).select("user_id", "ts", "event_id")
+    got = finish(spark, stream_allow_requests(newest_first(spark, events), 2, 6 * 3600, "1 hour", with_late=True)).where("user_id >= 0")
+    assert rows(got.select(events.columns)) == rows(events)
+    late, on_time = got.where("late"), got.where("not late")
+    assert 0 < late.count() < events.count() and late.where("accepted is not null").isEmpty() and on_time.where("accepted is null").isEmpty()
+    want = limits.allow_requests(events.join(on_time.select("event_id"), "event_id", "left_semi"), 2, 6 * 3600)
+    columns = ["user_id", "event_id", "ts", "accepted"]
+    assert rows(on_time.select(columns)) == rows(want.select(columns))
+
+
+def test_late_session_events_are_given_out(spark, sf):
+    events = X.v_session_events(spark, sf)
+    got = finish(spark, stream_registrations(newest_first(spark, events), "1 hour", with_late=True)).where("user_id >= 0")
+    late = got.where("late")
+    assert late.count() > 0 and late.where("product_name is not null or session_id is not null").isEmpty()
+    on_time = events.join(late.select(F.col("confirmed_id").alias("event_id")), "event_id", "left_anti")
+    want = sessions.confirmed_registrations(on_time)
+    assert rows(got.where("not late").select(want.columns)) == rows(want) and on_time.count() + late.count() == events.count()
+
+
 SESSION = f"user_id long, ts timestamp, event_id long, kind string, field string, value string, bill {sessions.PHOTO_SCHEMA}"
 PHOTO = ("TV", "LG", "TV & Audio", "Croma", datetime.date(2025, 1, 1), 24, "SN1", 500.0)
 
