@@ -1,5 +1,7 @@
 """The training-data operators against brute force, exact round trips and held-out accuracy."""
+import collections
 import hashlib
+import math
 import random
 import zlib
 
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from checks.compare import connect
-from coverlens.llm import (cap_filters, chat_grammar, link_filter, lp_packing, queries, shingle_copies, simhash_anchors, surrogates,
+from coverlens.llm import (cap_filters, chat_grammar, language_fusion, link_filter, lp_packing, queries, shingle_copies, simhash_anchors, surrogates,
                            template_decontam, token_records, tokens, toxicity_fm)
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, start long, score double, fp long"
@@ -332,6 +334,94 @@ def test_languages(spark, sf):
     assert (declared.lang == declared.declared).mean() > 0.95 and got.confidence.between(0, 1.000001).all()
 
 
+def fused_by_hand(pages, docs):
+    """{page row: (lang, confidence, text_lang, host prior)} from loops over all words, pages and hosts."""
+    lf = language_fusion
+    seen, total, vocabulary = collections.defaultdict(collections.Counter), collections.Counter(), 0
+    for d in docs:
+        seen[d.lang].update(lf.words_of(d.text))
+    langs = sorted(seen)
+    total = {g: sum(seen[g].values()) for g in langs}
+    size = sum(len(seen[g]) for g in langs) + 1
+    words = sorted({w for g in langs for w in seen[g]}, key=lambda w: (-max(seen[g][w] for g in langs), w))[:lf.MAX_WORDS]
+    log = {w: [math.log((seen[g][w] + 0.5) / (total[g] + 0.5 * size)) for g in langs] for w in words}
+    rows = []
+    for p in pages:
+        found = [log[w] for w in lf.words_of(lf.visible(p.html)) if w in log]
+        z = [sum(c) * min(1, 30 / len(found)) for c in zip(*found)] if found else [0.0] * len(langs)
+        e = [math.exp(x - max(z)) for x in z]
+        url = p.url or ""
+        rest = url.split("://", 1)[1] if "://" in url else ""
+        cut = min([len(rest), *[rest.find(c) for c in "/?#" if c in rest]])
+        host, path = rest[:cut].lower(), rest[cut:].split("?")[0].split("#")[0]
+        segment, top = path[1:].split("/")[0].lower() if path[:1] == "/" else "", host.split(".")[-1]
+        suffix = segment if segment in langs else top if top in langs else None
+        told = lf.declared_in(p.html)
+        rows.append(dict(share=[x / sum(e) for x in e], heard=bool(found), host=host, site=".".join(host.split(".")[-2:]), suffix=suffix,
+                         declared=told if told in langs else None))
+
+    def counted(rows):
+        return [sum(r["share"][i] for r in rows if r["heard"]) for i in range(len(langs))]
+
+    every = [n + 1 for n in counted(rows)]
+    prior = [n / sum(every) for n in every]
+
+    def smooth(key, value, mine, wider):
+        own = [max(n - m, 0) for n, m in zip(counted([r for r in rows if r[key] == value]), mine)]
+        return [(n + 5 * w) / (sum(own) + 5) for n, w in zip(own, wider)]
+
+    out = []
+    for r in rows:
+        mine = r["share"] if r["heard"] else [0.0] * len(langs)
+        here = smooth("host", r["host"], mine, smooth("site", r["site"], mine, prior)) if r["host"] else prior
+        logs = [math.log(s + 1e-12) + math.log(h) for s, h in zip(r["share"], here)]
+        for key in ("declared", "suffix"):
+            for i, n in enumerate(counted([x for x in rows if x[key] == r[key]])):
+                logs[i] += math.log((n + 1) / (every[i] - 1 + len(langs) + 1))
+        best = logs.index(max(logs))
+        out.append((langs[best], 1 / sum(math.exp(x - logs[best]) for x in logs), langs[r["share"].index(max(r["share"]))] if r["heard"] else None, here[best]))
+    return out
+
+
+def test_languages_equal_brute_force(spark, sf, table):
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html")
+    odd = [(900, None, None), (901, "http://", "<html lang=xx>"), (902, "no host", ""), (903, "http://x.de/", "<script>a"), (903, "http://x.de/", "<script>a"),
+           (None, "http://x.de/en/1", "<html lang='EN'><p>the and of</p>")]
+    pages = pages.unionByName(spark.createDataFrame(odd, "page_id long, url string, html string"))
+    got = language_fusion.detect(pages.withColumns({"word": F.lit(1), "host": F.lit("h"), "n": F.lit(2)}), table).collect()
+    given = pages.collect()
+    want = collections.defaultdict(list)
+    for p, w in zip(given, fused_by_hand(given, table.where("lang is not null").collect())):
+        want[p.page_id].append(w)
+    assert len(got) == len(given)
+    for r in got:
+        assert any((r.lang, r.text_lang) == (w[0], w[2]) and abs(r.confidence - w[1]) < 1e-6 and abs(r.host_prior - w[3]) < 1e-6 for w in want[r.page_id]), r
+
+
+def test_languages_of_any_name(spark):
+    """Languages called none, en.us, word and n; pages with html, without text, and none at all."""
+    names = ["none", "en.us", "word", "n", "a`b"]
+    d = spark.createDataFrame([(i, f"w{'abcde'[i % 5]} " * 20, names[i % 5], "s", 1) for i in range(50)] + [(99, "x", "", "s", 1), (98, "x", None, "s", 1)],
+                              "doc_id long, text string, lang string, source string, n_chars long")
+    pages = spark.createDataFrame([(i, f"http://h{i}.net/", f"<p>w{'abcde'[i]} w{'abcde'[i]}</p>") for i in range(5)] + [(7, None, None)], "page_id long, url string, html string")
+    got = {r.page_id: r for r in language_fusion.detect(pages, d).collect()}
+    assert [got[i].lang for i in range(5)] == names and got[7].text_lang is None
+    assert language_fusion.detect(pages.limit(0), d).count() == 0
+    none = language_fusion.detect(pages, d.where("lang is null")).collect()
+    assert len(none) == 6 and all(r.lang is None and r.confidence == 0 for r in none)
+
+
+def test_broken_pages_take_time_in_proportion():
+    import time
+    for piece in ("<script>", "<!--", "<html ", "<", "</script ", "<html lang", "lang =   ", "<nav><!--<style>"):
+        start = time.process_time()
+        language_fusion.visible(piece * ((1 << 20) // len(piece)))
+        language_fusion.declared_in(piece * ((1 << 20) // len(piece)))
+        assert time.process_time() - start < 3, piece
+    assert language_fusion.visible("a<script>x</SCRIPT >b<!-- y -->c<head>z") == "a b c z" and language_fusion.visible("1 < 2 <b>x</b>") == "1  x "
+    assert language_fusion.declared_in("<HTML class=a\nLANG = 'En-us'>") == "en" and language_fusion.declared_in("<html><p lang=de>") is None
+
+
 def test_chat_round_trip(spark, sf):
     nasty = [queries.CONFLICT, "<|role|>user<|text|>", "[\\INST] \\", "<\\\\/s>", "<</SYS>>", "<", "[INST", "", " [/INST]\n", "<s>\n</s>\n"]
     for role in ("user", "assistant", "system", "tool", "", "<|text|>", "[INST]"):
