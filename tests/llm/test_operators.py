@@ -221,10 +221,25 @@ def test_minhash_recall():
     met = 0
     for _ in range(1000):  # 160 of 200 shingles shared: 0.8
         x = rng.integers(0, 1 << 64, 200, dtype=np.uint64)
-        met += len(np.intersect1d(shingle_copies.buckets(x[:180], constants), shingle_copies.buckets(x[20:], constants))) > 0
+        least = [shingle_copies.minima(s, constants) for s in (x[:180], x[20:])]
+        met += len(np.intersect1d(*map(shingle_copies.buckets, least))) > 0 and shingle_copies.agreeing(*map(shingle_copies.sketch, least)) >= shingle_copies.AGREE
     assert met == 1000
 
 
+def test_near_copies_of_a_template(spark, monkeypatch):
+    """Pages that share half of their words and buckets, but are no copies, in blocks of a few; with copies among them, and columns
+    named like the operator's own."""
+    monkeypatch.setattr(shingle_copies, "UNIT", 8)
+    rnd = random.Random(7)
+    words = [f"w{i}" for i in range(3000)]
+    frame = [rnd.choice(words) for _ in range(100)]
+    rows = [(i, " ".join(frame[:80] + rnd.choices(words, k=30) + frame[80:])) for i in range(120)]
+    rows += [(200 + i, rows[i * 7][1] + " x") for i in range(10)] + [(300, rows[3][1]), (300, rows[3][1])]
+    d = spark.createDataFrame([(i, t, "s", 1, [2], i) for i, t in rows], "doc_id long, text string, `set` string, other int, buckets array<int>, `c0` long")
+    got = shingle_copies.keep_first(d)
+    assert got.columns == d.columns and sorted(r.doc_id for r in got.collect()) == sorted({rows[i][0] for i in kept_by_brute_force(rows)}) == list(range(120))
+
+
 def test_surrogates(spark):
     card = "4012888888881881"
     text = (f"Frau Anna Keller, +1 (212) 555-0187, anna.k@mail3.example.com, {card} / 4012 8888 8888 1881, 10.1.2.3, "
