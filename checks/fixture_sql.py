@@ -109,11 +109,13 @@ VIEWS["v_files"] = f"""SELECT doc_id, '/in/' || source || '/f' || doc_id || {pic
 
 # Session events with the parsed value of each edit.
 _start = "kind = 'photo'"
-VIEWS["v_session_events"] = f"""SELECT user_id, ts, event_id, value AS amount,
+VIEWS["v_session_events"] = f"""SELECT user_id, ts, event_id, value AS amount, path AS file_path,
+  CASE WHEN doc_id IS NOT NULL THEN 'f' || doc_id END AS file_id, CASE WHEN is_photo THEN 'photo' WHEN NOT is_photo THEN 'document' END AS file_type,
   CASE event_type WHEN 'signup' THEN 'photo' WHEN 'purchase' THEN 'confirm' WHEN 'error' THEN 'cancel' ELSE 'edit' END AS kind,
   CASE event_type WHEN 'view' THEN {pick(X.EDIT_FIELDS, 'event_id')} WHEN 'click' THEN 'category' END AS field,
   CASE event_type WHEN 'view' THEN {pick(X.EDIT_VALUES, 'event_id // 5')} WHEN 'click' THEN {pick(X.PICKS, 'event_id')} END AS value
-FROM events"""
+FROM events LEFT JOIN (SELECT * FROM v_files WHERE is_photo OR NOT coalesce(length > {V.MAX_UPLOAD_BYTES}, FALSE)) ON doc_id = event_id % {X.FILES}"""
+NEEDS["v_session_events"] = ["v_files"]
 
 
 def human_date(c, as_of, formats):
@@ -149,6 +151,7 @@ _writes = {
     "warranty_months": (_months.replace("p_partkey", "event_id"),
                         [("field = 'warranty' AND regexp_matches(trim(value), '^[0-9]+$')", "TRY_CAST(trim(value) AS INTEGER)")]),
     "serial_no": ("CAST(NULL AS VARCHAR)", [("field = 'serial'", serial("value"))]),
+    "invoice_file_id": ("file_id", []), "invoice_file_type": ("file_type", []), "local_invoice_path": ("file_path", []),
     "price_paid": ("amount", [(f"field = 'price' AND {price('value')} IS NOT NULL", price("value"))]),
 }
 _write_columns = ",\n  ".join(

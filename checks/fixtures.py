@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from coverlens import fixed_values as V
 from coverlens.functions.dates import expiry_date
 from coverlens.functions.text import sql_text
+from coverlens.operators.sessions import with_files
+from coverlens.sources.tables import classify_files
 
 AS_OF = datetime.date(2000, 1, 1)
 BILL_AS_OF = datetime.date(2026, 1, 1)
@@ -57,6 +59,7 @@ EDIT_VALUES = ["Sony WH-1000 <xm5>", "Corner Shop & Co", "2023-11-05", "18", "SN
 TYPED_MONTHS = ["6", "24", "custom", " 18 ", "-3", "", "12 months", "60", "99999999999"]
 PICKS = ["Smartphone", "Laptop", "TV & Audio", "Home Appliance", "Wearable"]
 FILE_SUFFIXES = [".jpg", ".JPEG", ".png", ".pdf", ".webp", "", ".gif", ".tar.gz"]
+FILES = 200  # every table of documents has as many
 ADMINS = "7, 42,abc, 0 ,99 9,"
 LEAD_CODES = {"OneAssist": "CODE1", "Onsitego": "CODE2", "Cashify": "CODE3"}
 NEW_USER_SHIFT = 20  # moves the ids of the event log, so that some are above the known ones
@@ -176,8 +179,11 @@ def v_session_events(spark, sf):
         F.lit("General").alias("category"), pick(PLATFORMS, e).alias("purchase_platform"),
         F.date_sub(F.to_date("ts"), F.pmod(e, F.lit(700)).cast("int")).alias("purchase_date"),
         months.alias("warranty_months"), F.lit(None).cast("string").alias("serial_no"), F.col("value").alias("price_paid"))
-    return events(spark, sf).select("user_id", "ts", "event_id", kind.alias("kind"), field.alias("field"),
-                                    value.alias("value"), F.when(kind == "photo", bill).alias("bill"))
+    file_id = F.when(kind == "photo", F.concat(F.lit("f"), F.pmod(e, F.lit(FILES)).cast("string")))
+    photos = events(spark, sf).select("user_id", "ts", "event_id", kind.alias("kind"), field.alias("field"),
+                                      value.alias("value"), F.when(kind == "photo", bill).alias("bill"), file_id.alias("file_id"))
+    files = classify_files(v_files(spark, sf)).withColumn("file_id", F.concat(F.lit("f"), F.col("doc_id").cast("string")))
+    return with_files(photos, files)
 
 
 def v_files(spark, sf):

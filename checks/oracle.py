@@ -41,7 +41,7 @@ sql("S4_append_products", ["v_confirmed"], f"""SELECT user_id, coalesce(nullif(p
   coalesce(nullif(purchase_platform, ''), 'Local Store') AS purchase_platform,
   coalesce(purchase_date, CAST(confirmed_at AS DATE)) AS purchase_date, coalesce(warranty_months, 12) AS warranty_months,
   {expiry('coalesce(purchase_date, CAST(confirmed_at AS DATE))', 'coalesce(warranty_months, 12)')} AS expiry_date,
-  price_paid, 7 AS return_window_days, 'active' AS status, serial_no, epoch_us(confirmed_at) AS created_us FROM v_confirmed""")
+  price_paid, 7 AS return_window_days, 'active' AS status, serial_no, invoice_file_id, invoice_file_type, local_invoice_path, epoch_us(confirmed_at) AS created_us FROM v_confirmed""")
 
 # --- reminders
 _MILESTONES = f"(VALUES {', '.join(f'({n})' for n in V.REMINDER_DAYS)}) AS m(n)"
@@ -438,10 +438,11 @@ UNION ALL SELECT e.user_id, e.event_id, e.rn, CASE WHEN len({_keep}) < {X.LIMIT_
 SELECT event_id, user_id, accepted FROM f"""
 ORACLE["R2_limiter"] = ORACLE["R2_limiter_stream"] = _LIMITER
 sql("R3_sessions", ["v_confirmed"], """SELECT user_id, session_id, confirmed_id, product_name, brand, category, purchase_platform,
-  purchase_date, warranty_months, serial_no, price_paid FROM v_confirmed""")
+  purchase_date, warranty_months, serial_no, price_paid, invoice_file_id, invoice_file_type, local_invoice_path FROM v_confirmed""")
 ORACLE["R3_sessions_stream"] = ORACLE["R3_sessions"]
 sql("R3_idle_sessions", ["v_idle_confirmed"], """SELECT user_id, session_id, confirmed_id, product_name, brand, category, purchase_platform,
-  purchase_date, warranty_months, serial_no, price_paid FROM v_idle_confirmed""")
+  purchase_date, warranty_months, serial_no, price_paid, invoice_file_id, invoice_file_type, local_invoice_path FROM v_idle_confirmed""")
 ORACLE["R3_idle_sessions_stream"] = ORACLE["R3_idle_sessions"]
 ORACLE["R5_first_seen_stream"] = """SELECT user_id, 'en' AS language, 'free' AS plan_tier, 5 AS vault_limit, epoch_us(ts) AS created_us
 FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1"""
+ORACLE["R5_first_seen_state"] = ORACLE["R5_first_seen_stream"]

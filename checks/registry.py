@@ -13,6 +13,7 @@ from coverlens.operators import bills, claims, enrich, lifecycle, limits, messag
 from coverlens.plans import intake, reminders, store_changes
 from coverlens.session import materialize, work_dir
 from coverlens.sources import delivery, dims, sinks, tables
+from coverlens.streaming.first_seen import stream_first_seen
 from coverlens.streaming.limiter import stream_allow_requests
 from coverlens.streaming.ordered import rocksdb_state
 from coverlens.streaming.routing import stream_route_counts
@@ -83,7 +84,7 @@ def S4_append_products(spark, sf):
     sinks.append_products(done, folder)
     return spark.read.schema(schemas.PRODUCTS).parquet(folder).select(
         "user_id", "product_name", "category", "brand", "purchase_platform", "purchase_date", "warranty_months",
-        "expiry_date", "price_paid", "return_window_days", "status", "serial_no",
+        "expiry_date", "price_paid", "return_window_days", "status", "serial_no", *sessions.FILE_FIELDS,
         F.unix_micros("created_at").alias("created_us"))
 
 
@@ -662,7 +663,7 @@ def R2_limiter_stream(spark, sf):
 
 def _registrations(df):
     return df.select("user_id", "session_id", "confirmed_id", "product_name", "brand", "category", "purchase_platform",
-                     "purchase_date", "warranty_months", "serial_no", "price_paid")
+                     "purchase_date", "warranty_months", "serial_no", "price_paid", *sessions.FILE_FIELDS)
 
 
 @query
@@ -704,6 +705,14 @@ def R5_first_seen_stream(spark, sf):
                                              F.unix_micros("created_at").alias("created_us"))
 
 
+@query
+def R5_first_seen_state(spark, sf):
+    """First sight in the state of a stream, forgotten after a year without an event."""
+    stream = _staged(spark, X.events(spark, sf).select("user_id", "ts", "event_id"))
+    return _collect_stream(spark, stream_first_seen(stream, 366 * 86_400)).select(
+        "user_id", "language", "plan_tier", "vault_limit", F.unix_micros("created_at").alias("created_us")).where("user_id >= 0")
+
+
 @query
 def S6_lead_stream(spark, sf):
     folder, incoming = work_dir(spark, "leads"), work_dir(spark, "in")

@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from coverlens import fixed_values as V
 from coverlens.functions.dates import day, days_left, expiry_date, format_day
+from coverlens.functions.text import as_col
 from coverlens.operators.hot_keys import running_totals
 
 
@@ -108,13 +109,23 @@ def vault_summary(products: DataFrame, users: DataFrame, as_of) -> DataFrame:
             .withColumn("is_empty", F.col("total") == 0))
 
 
-def vault_catalog(products: DataFrame, as_of, id_block: int = 1 << 20) -> DataFrame:
+def id_bucket(product_id, steps: int = 1000):
+    """A slice of the ids that follows their order: each is about 1/``steps`` of its ids wide.
+
+    So there are at most a hundred thousand of them, and hashed ids, which are spread over 64 bits, as well as dense ones fall
+    into many, of which none holds more than a small share of an owner's products.
+    """
+    x = as_col(product_id).cast("double")
+    return F.floor(F.signum(x) * F.log1p(F.abs(x)) * steps)
+
+
+def vault_catalog(products: DataFrame, as_of, steps: int = 1000) -> DataFrame:
     """Products of each user numbered by expiry, with status.
 
-    Numbering is split by (user, day, block of ids): one owner may hold a third
+    Numbering is split by (user, day, slice of ids): one owner may hold a third
     of all products and is still numbered by many tasks.
     """
-    cut = products.withColumn("_block", F.floor(F.col("product_id") / id_block))
+    cut = products.withColumn("_block", id_bucket("product_id", steps))
     ranked = running_totals(cut, keys=["user_id"], buckets=["expiry_date", "_block"], order=["product_id"],
                             sums={"position": F.lit(1)})
     return vault_status(ranked.drop("_block"), as_of)

@@ -15,10 +15,27 @@ from coverlens.operators.hot_keys import running_last
 
 FIELDS = {"product_name": "string", "brand": "string", "category": "string", "purchase_platform": "string",
           "purchase_date": "date", "warranty_months": "int", "serial_no": "string", "price_paid": "double"}
+#: The bill file that a photo or document brings along; a photo writes all three at once, an entry by hand none.
+FILE_FIELDS = {"invoice_file_id": "string", "invoice_file_type": "string", "local_invoice_path": "string"}
+FIELDS |= FILE_FIELDS
 STARTS, ENDS = ["photo", "add"], ["confirm", "cancel"]
 PHOTO_SCHEMA = "struct<" + ", ".join(f"{n}:{t}" for n, t in FIELDS.items()) + ">"
 
 
+def with_files(events: DataFrame, files: DataFrame) -> DataFrame:
+    """Events whose bill refers to its file: (file_id, path, is_photo, accepted) as checked at intake.
+
+    The file of an event is named by ``file_id``. A rejected or unknown file gives no reference, whole or in part.
+    """
+    known = files.where("accepted").select(F.col("file_id").alias("_file"), F.col("path").alias("_path"),
+                                           F.when(F.col("is_photo"), "photo").otherwise("document").alias("_type"))
+    found = events.join(known, F.col("file_id") == F.col("_file"), "left")
+    bill = F.col("bill")
+    for name, value in zip(FILE_FIELDS, ("_file", "_type", "_path")):
+        bill = bill.withField(name, F.col(value))
+    return found.withColumn("bill", F.when(F.col("bill").isNotNull(), bill)).drop("file_id", "_file", "_path", "_type")
+
+
 def field_writes(events: DataFrame) -> DataFrame:
     """One column ``w_<field>`` per field: a struct when the event writes it, NULL when it does not.
 
@@ -55,7 +72,7 @@ def field_writes(events: DataFrame) -> DataFrame:
         def written(v):
             return F.struct(v.cast(dtype).alias("v"))
         w = F.when(starts, written(F.col(f"bill.{name}")))
-        for cond, v in edits[name]:
+        for cond, v in edits.get(name, []):
             w = w.when(cond, written(v))
         out[f"w_{name}"] = w
     return events.withColumns(out)

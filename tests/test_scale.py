@@ -27,14 +27,29 @@ def rows(df):
     return sorted(map(tuple, df.collect()), key=str)
 
 
-@pytest.mark.parametrize("block", [1, 64, 1 << 20])
-def test_catalog_positions(spark, block):
+@pytest.mark.parametrize("steps", [1, 50, 1000])
+@pytest.mark.parametrize("hashed", [False, True])
+def test_catalog_positions(spark, steps, hashed):
     df = skewed(spark)
-    got = lifecycle.vault_catalog(df, X.AS_OF, id_block=block).select("product_id", "position")
+    if hashed:  # ids as the sinks write them
+        df = df.withColumn("product_id", F.xxhash64("product_id"))
+    got = lifecycle.vault_catalog(df, X.AS_OF, steps=steps).select("product_id", "position")
     w = Window.partitionBy("user_id").orderBy("expiry_date", "product_id")
     assert rows(got) == rows(df.select("product_id", F.row_number().over(w).cast("bigint").alias("position")))
 
 
+def test_slices_of_ids_are_bounded_in_number_and_size(spark):
+    """Dense and hashed ids of one owner: the order of slices is the order of ids, there are many slices and none is large."""
+    n = 200_000
+    for ids in (F.col("id"), F.col("id") + 10 ** 12, F.xxhash64("id"), -F.col("id") * 977):
+        df = spark.range(n).select(ids.alias("product_id")).withColumn("b", lifecycle.id_bucket("product_id"))
+        per = df.groupBy("b").agg(F.count("*").alias("n"), F.min("product_id").alias("lo"), F.max("product_id").alias("hi"))
+        found = per.orderBy("b").collect()
+        assert all(a.hi < b.lo for a, b in zip(found, found[1:])) and len(found) < 100_000
+    hashed = spark.range(n).select(lifecycle.id_bucket(F.xxhash64("id")).alias("b")).groupBy("b").count().agg(F.max("count"), F.count("*")).first()
+    assert hashed[0] < n / 500 and hashed[1] < n / 10
+
+
 def test_running_last(spark):
     df = skewed(spark).withColumn("x", F.when(F.col("v") > 9, F.col("v"))).withColumn("b", F.col("expiry_date"))
     got = hot_keys.running_last(df, ["user_id"], ["b"], ["expiry_date", "product_id"], {"here": F.col("x")}, {"prior": F.col("x")})

@@ -200,6 +200,26 @@ def test_users_who_leave_a_session_leave_no_state(spark):
     assert rows(done.select("user_id", "confirmed_id")) == [(5, 1005)]
 
 
+def test_rejected_files_give_no_reference(spark):
+    """A photo and a document of the same size over the limit, an accepted document, an unknown file, an event without a bill."""
+    files = tables.classify_files(spark.createDataFrame([("a", "/in/a.jpg", 20 << 20, True), ("b", "/in/b.pdf", 20 << 20, False), ("c", "/in/c.pdf", 9, False)],
+                                                        "file_id string, path string, length long, is_photo boolean"))
+    bill = ("TV", None, None, None, None, None, None, None, "stale", "stale", "stale")
+    given = spark.createDataFrame([(i, f, None if f is None else bill) for i, f in enumerate(["a", "b", "c", "x", None])],
+                                  f"event_id long, file_id string, bill {sessions.PHOTO_SCHEMA}")
+    got = {r.event_id: r.bill and tuple(r.bill[n] for n in sessions.FILE_FIELDS) for r in sessions.with_files(given, files).collect()}
+    assert got == {0: ("a", "photo", "/in/a.jpg"), 1: (None,) * 3, 2: ("c", "document", "/in/c.pdf"), 3: (None,) * 3, 4: None}
+
+
+def test_first_seen_in_state_is_forgotten(spark):
+    from coverlens.streaming.first_seen import stream_first_seen
+    from tests.test_streams import finish, newest_first
+    start = datetime.datetime(2026, 1, 1)
+    data = [(u, start + datetime.timedelta(hours=h), 100 * h + u) for u, hours in ((1, (5, 0, 9)), (2, (3, 30)), (3, (40,))) for h in hours]
+    got = finish(spark, stream_first_seen(newest_first(spark, spark.createDataFrame(data, "user_id long, ts timestamp, event_id long")), 10 * 3600, "40 days"))
+    assert rows(got.where("user_id >= 0").select("user_id", "event_id")) == [(1, 1), (2, 302), (2, 3002), (3, 4003)]
+
+
 def test_idle_sessions_out_of_order(spark, sf):
     from tests.test_streams import finish, newest_first
     events = X.v_session_events(spark, sf)

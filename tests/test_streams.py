@@ -77,7 +77,7 @@ def test_late_session_events_are_given_out(spark, sf):
 
 
 SESSION = f"user_id long, ts timestamp, event_id long, kind string, field string, value string, bill {sessions.PHOTO_SCHEMA}"
-PHOTO = ("TV", "LG", "TV & Audio", "Croma", datetime.date(2025, 1, 1), 24, "SN1", 500.0)
+PHOTO = ("TV", "LG", "TV & Audio", "Croma", datetime.date(2025, 1, 1), 24, "SN1", 500.0, "f1", "photo", "/in/f1.jpg")
 
 
 def events(spark, *steps, gap=60):
