@@ -27,6 +27,7 @@ import hashlib
 import numpy as np
 from pyspark.sql import functions as F
 
+from coverlens.llm.batches import small_batches
 from coverlens.session import materialize
 
 LEAST, ANCHOR = 200, 32
@@ -482,6 +483,7 @@ def _results(rows, schema):
 
 def remove_repeats(documents):
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    small_batches(documents.sparkSession)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).select(
         "doc_id", F.coalesce("doc_id", F.lit(-1)).alias("d"), F.xxhash64("text").alias("h"), "text")

@@ -28,6 +28,7 @@ import re
 import pandas as pd
 from pyspark.sql import functions as F
 
+from coverlens.llm.batches import small_batches
 from coverlens.session import materialize
 
 KEY = "corpus surrogates"
@@ -403,6 +404,7 @@ def assign(values, key=KEY):
 
 def masked(docs, key=KEY, count=None):
     """docs with surrogates in `text` and all their columns, and, if asked for, `count`: how many mentions were replaced."""
+    small_batches(docs.sparkSession)
     at = docs.columns.index("text")
     doc_id = f"c{docs.columns.index('doc_id')}"
     may = F.coalesce(F.col("text").rlike(HINT), F.lit(False)).alias("may")

@@ -18,6 +18,7 @@ matches; empty tables give no rows; other columns are ignored.
 import numpy as np
 from pyspark.sql import Window, functions as F
 
+from coverlens.llm.batches import small_batches
 from coverlens.session import materialize
 
 WINDOW = 5
@@ -240,6 +241,7 @@ def probes(windows, total, coverage):
 def matches(docs, benchmark, coverage=COVERAGE):
     """(doc_id, item_id, coverage, reparameterised): the items found in each text."""
     spark = docs.sparkSession
+    small_batches(spark)
     items = benchmark.select(F.monotonically_increasing_id().alias("key"), F.col("item_id").cast("long").alias("item_id"), "text")
     items = materialize(items, "benchmark-items")
     theirs = materialize(_item_windows(items.select("key", "text")), "benchmark-windows")

@@ -19,6 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from coverlens.llm.batches import small_batches
 from coverlens.session import materialize
 
 #: Labelled rows, terms and factors of the machine.
@@ -101,6 +102,7 @@ def _ratio(clean, toxic, n_clean, n_toxic):
 
 def fit(docs, labels, max_rows=MAX_ROWS, max_terms=MAX_TERMS):
     """The machine: (kept term -> index, w0, w, v)."""
+    small_batches(docs.sparkSession)
     rows = materialize(sample(docs, labels, max_rows), "toxicity-sample")
     n = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_clean, n_toxic = n.get(0, 0), n.get(1, 0)
@@ -126,7 +128,7 @@ def fit(docs, labels, max_rows=MAX_ROWS, max_terms=MAX_TERMS):
     return index, *_train([examples.terms[i] for i in order], examples.toxic.to_numpy(float)[order], len(index))
 
 
-def _finder(index, remembered=200_000):
+def _finder(index, remembered=100_000):
     """text -> sorted indices of the kept terms in it."""
     known = {}
 
