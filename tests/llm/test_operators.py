@@ -3,6 +3,7 @@ import collections
 import hashlib
 import math
 import random
+import re
 import zlib
 
 import duckdb
@@ -83,6 +84,16 @@ def test_packing(spark, table):
     assert lp_packing.pack_documents(table.limit(0)).count() == 0
 
 
+def test_packed_pieces_hold_the_ids_of_the_library(spark, table, tok):
+    got = lp_packing.pack_documents(table).toPandas().sort_values(["doc_id", "piece"])
+    for r in table.select("doc_id", "text").collect():
+        ids, at = np.array(tok.encode(r.text or "", add_special_tokens=False).ids + [2], "<u4"), 0
+        for p in got[got.doc_id == r.doc_id].itertuples():
+            assert p.start == at and p.ids_crc32 == zlib.crc32(ids[at:at + p.length].tobytes())
+            at += p.length
+        assert at == len(ids)
+
+
 def test_packing_program():
     demand = np.zeros(11, np.int64)
     demand[[6, 4, 3, 7, 10]] = [50, 50, 30, 30, 5]
@@ -158,6 +169,23 @@ def test_simhash(spark, table):
     assert simhash_anchors.keep_first(docs(spark, EDGES)).count() == len(EDGES) - 3
 
 
+def test_fingerprints_equal_sparks_own_hashes(spark, table):
+    """Majority bits of Spark's xxhash64, whose seed is 42, of four-word shingles."""
+    def shingled(text):
+        low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+        words = [w for w in re.split("[\\x20\\x09-\\x0D]+", low) if w]
+        return [" ".join(words[i:i + 4]) for i in range(max(1, len(words) - 3))] if words else []
+
+    texts = {r.doc_id: r.text for r in table.select("doc_id", "text").collect()}
+    rows = [(i, s) for i, t in texts.items() for s in shingled(t)]
+    hashed = spark.createDataFrame(rows, "doc_id long, s string").select("doc_id", F.xxhash64("s").alias("h")).toPandas()
+    want = {i: "0" * 16 for i in texts}
+    for i, h in hashed.groupby("doc_id").h:
+        bits = np.unpackbits(h.to_numpy(np.int64).astype(">i8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0) * 2 > len(h)
+        want[i] = np.packbits(bits).tobytes().hex()
+    assert {r.doc_id: r.fingerprint for r in simhash_anchors.groups(table).select("doc_id", "fingerprint").collect()} == want
+
+
 def test_anchors_meet():
     rng = np.random.default_rng(0)
     x = rng.integers(0, 1 << 64, 300, dtype=np.uint64)
@@ -456,6 +484,16 @@ def test_chat_round_trip(spark, sf):
     assert got[-1].loss_sha256 == hashlib.sha256(queries.CONFLICT.encode()).hexdigest()
 
 
+def test_chat_of_many_turns_parses_back():
+    """Turns joined to one text are read back as they were, whatever they hold."""
+    rnd = random.Random(3)
+    parts = [queries.CONFLICT, "<|role|>", "<|text|>", "[INST]", "[/INST]", "</s>", "<s>", "\\", "<", "\n", "user", "é", "<</SYS>>", " "]
+    for _ in range(2000):
+        turns = [(rnd.choice(["user", "assistant", "system", "<|text|>", ""]), "".join(rnd.choices(parts, k=rnd.randint(0, 6)))) for _ in range(rnd.randint(1, 5))]
+        whole = "".join(chat_grammar.proven(role, text)[0] for role, text in turns)
+        assert [tuple(x[:2]) for x in chat_grammar.parse(whole)] == turns, turns
+
+
 def test_chat_edges(spark):
     rows = [(1, None, None, None), (1, 0, "assistant", None), (1, 0, "assistant", "b"), (None, 1, "user", "x")]
     d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
@@ -540,6 +578,23 @@ def test_decontamination_names(spark):
     assert found == {(1, 1): True, (2, 1): True, (3, 1): False, (4, 2): True, (5, 2): False, (6, 3): True}
 
 
+def test_stages_drop_and_change_what_they_should(spark, sf):
+    """Toxicity and decontamination against plain loops over planted rows; both keep the other rows as they are."""
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    judged = {r.doc_id: r.predicted for r in toxicity_fm.judge(d, labels).collect()}
+    marked = {r.doc_id: r.toxic for r in labels.where("toxic is not null").collect()}
+    kept = [tuple(r) for r in corpus_pipeline.toxicity(spark, d, sf).collect()]
+    assert sorted(kept) == sorted(tuple(r) for r in d.collect() if not judged[r.doc_id])
+    assert sum(judged[i] == m for i, m in marked.items() if i in judged) > 0.9 * sum(i in judged for i in marked)  # fitted on two thirds of 87
+    items = [r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    planted = [(5000 + i, f"some words before {t} and after", "en", "s", 1) for i, t in enumerate(items[:10])]
+    planted += [(6000 + i, f"only a part {' '.join(t.split()[:len(t.split()) // 2])} of it", "en", "s", 1) for i, t in enumerate(items[:10])]
+    more = d.unionByName(spark.createDataFrame(planted, d.schema))
+    got = sorted(tuple(r) for r in corpus_pipeline.decontamination(spark, more, sf).collect())
+    assert got == sorted(tuple(r) for r in more.collect() if not any(t in r.text for t in items))
+
+
 def test_pipeline(spark, sf):
     d = spark.read.parquet(f"{sf}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
