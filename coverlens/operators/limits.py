@@ -39,30 +39,34 @@ def admit(kept, now, max_requests, width):
     return accepted
 
 
-_DECISIONS = "user_id long, _seg long, _us long, event_id long, accepted boolean, carried boolean"
+_BLOCK = ["user_id", "_seg", "_block"]
+_DECIDED = [*_BLOCK, "_us", "event_id", "accepted", "carried"]
+_DECISIONS = "user_id long, _seg long, _block long, _us long, event_id long, accepted boolean, carried boolean"
 
 
 def _decide(max_requests, width):
-    """Folds batches of rows sorted by (user_id, _seg, _us, event_id); carried times come first."""
+    """Folds batches of rows sorted by block and time; the times a block starts from come first, those it leaves behind last."""
+    def left_behind(block, kept):
+        return [(*block, t, -1, True, True) for t in kept]
+
     def decide(batches):
-        stretch, kept = None, collections.deque()
+        block, kept = None, collections.deque()
         for pdf in batches:
             out = []
-            for user, seg, now, event, contested, carried in pdf.itertuples(index=False, name=None):
-                if (user, seg) != stretch:
-                    if stretch:
-                        out += [(*stretch, t, -1, True, True) for t in kept]
-                    stretch, kept = (user, seg), collections.deque()
+            for *this, now, event, contested, carried in pdf.itertuples(index=False, name=None):
+                if this != block:
+                    if block:
+                        out += left_behind(block, kept)
+                    block, kept = this, collections.deque()
                 if carried:
                     kept.append(now)
                     continue
                 accepted = admit(kept, now, max_requests, width)
                 if contested:
-                    out.append((user, seg, now, event, accepted, False))
-            yield pd.DataFrame(out, columns=["user_id", "_seg", "_us", "event_id", "accepted", "carried"])
-        if stretch:
-            yield pd.DataFrame([(*stretch, t, -1, True, True) for t in kept],
-                               columns=["user_id", "_seg", "_us", "event_id", "accepted", "carried"])
+                    out.append((*block, now, event, accepted, False))
+            yield pd.DataFrame(out, columns=_DECIDED)
+        if block:
+            yield pd.DataFrame(left_behind(block, kept), columns=_DECIDED)
     return decide
 
 
@@ -78,9 +82,11 @@ def allow_requests(events: DataFrame, max_requests: int = V.LIMITER_MAX_REQUESTS
     start, in parallel.
 
     A stretch of one user under permanent overload may be long. It is cut into
-    blocks of about ``block_rows`` rows, and block n of all stretches is
-    decided in round n from the at most ``max_requests`` times that block n-1
-    left behind. Usually there is one round.
+    blocks of about ``block_rows`` rows. A block needs the at most
+    ``max_requests`` times that the block before it left behind, so all blocks
+    are decided at once from a guess (none), and those whose guess was wrong
+    again, until no guess is: see ``_decide_stretches``. Usually there is one
+    block.
     """
     width = _micros(seconds)
     rated = request_rate(events.select("user_id", "event_id", "ts"), seconds)
@@ -117,29 +123,75 @@ def _stretches(rated, width, block_rows):
 
 
 def _decide_stretches(rated, max_requests, width, block_rows):
-    """Decisions on contested rows, round by round.
-
-    The rows of all stretches are written once, in a folder per block: a round
-    reads the folder of its block and nothing else. They are dealt by stretch
-    first, so that a folder has no more files than stretches.
-    """
+    """Decisions on contested rows: one block per stretch at once, several from guesses."""
     spark = rated.sparkSession
     slices = materialize(_stretches(rated, width, block_rows), "stretches")
     last = slices.agg(F.max("_block")).first()[0]
-    done = spark.createDataFrame([], "user_id long, event_id long, _us long, accepted boolean")
     if last is None:
-        return done
-    rows = materialize(rated.join(slices, ["user_id", "_slice"])
-                       .where((F.col("_us") > F.col("_from")) & (F.col("_us") <= F.col("_to")))
-                       .select("user_id", "_seg", "_us", "event_id", "contested", F.lit(False).alias("carried"), "_block")
-                       .repartition("_block", "user_id", "_seg"), "contested", by=["_block"])
-    state = None
-    for r in range(last + 1):
-        block = rows.where(F.col("_block") == r).drop("_block")
-        if state is not None:
-            block = block.unionByName(state.withColumn("contested", F.lit(False)).drop("accepted"))
-        out = materialize(block.repartition("user_id", "_seg").sortWithinPartitions("user_id", "_seg", "_us", "event_id")
-                          .mapInPandas(_decide(max_requests, width), _DECISIONS), "decided", by=["carried"])
-        state = out.where("carried")
-        done = done.unionByName(out.where("not carried").select("user_id", "event_id", "_us", "accepted"))
-    return done
+        return spark.createDataFrame([], "user_id long, event_id long, _us long, accepted boolean")
+    rows = (rated.join(slices, ["user_id", "_slice"])
+            .where((F.col("_us") > F.col("_from")) & (F.col("_us") <= F.col("_to")))
+            .select(*_BLOCK, "_us", "event_id", "contested", F.lit(False).alias("carried")))
+    fold = _decide(max_requests, width)
+    decided = _settle(rows, fold) if last else _fold_blocks(rows, fold)
+    return decided.where("not carried").select("user_id", "event_id", "_us", "accepted")
+
+
+def _fold_blocks(rows, fold):
+    folded = rows.repartition(*_BLOCK).sortWithinPartitions(*_BLOCK, "_us", "event_id").mapInPandas(fold, _DECISIONS)
+    return materialize(folded, "decided", by=["carried"])
+
+
+#: Rounds in which all blocks with a wrong guess are decided again; later ones decide the first such block of each stretch.
+GUESSES = 4
+
+
+def _settle(rows, fold):
+    """Decides blocks until each has started from the times that the block before it left behind.
+
+    Round 0 starts every block from nothing. Two runs over the same requests
+    that start from different times meet once they have kept the same ones.
+    With k requests between two kept ones that takes some 2k windows of
+    irregular requests; a block that is longer leaves behind the same times
+    whatever it started from, and round 1 settles all blocks. Shorter blocks
+    need some rounds more, as each round brings the right times one block
+    further. Requests at even distances never meet, and a flood of thousands
+    a second does so late: after ``GUESSES`` rounds only the first wrong block
+    of a stretch is decided in a round, one after another, so the work stays
+    within ``GUESSES`` + 2 passes over the rows.
+
+    ``blocks`` has a row per block with its current start, end and round; the
+    rows of a block are in the folder of its number, so late rounds read only
+    the folders that their blocks lie in.
+    """
+    rows = materialize(rows.repartition(*_BLOCK), "contested", by=["_block"]).select(*rows.columns)
+    ends = F.sort_array(F.collect_list(F.when(F.col("carried"), F.col("_us"))))  # at most max_requests times
+    in_order = Window.partitionBy("user_id", "_seg").orderBy("_block")
+    nothing = F.array().cast("array<long>")
+
+    rounds = _fold_blocks(rows, fold).withColumn("round", F.lit(0))
+    blocks = rounds.groupBy(*_BLOCK).agg(ends.alias("end")).withColumns({"start": nothing, "round": F.lit(0)})
+    r = 0
+    while True:
+        due = F.coalesce(F.lag("end").over(in_order), nothing)
+        blocks = materialize(blocks.withColumn("due", due).withColumn("wrong", F.col("due") != F.col("start")), "blocks")
+        wrong = blocks.where("wrong")
+        if r >= GUESSES:
+            wrong = wrong.groupBy("user_id", "_seg").agg(F.min_by(F.struct("_block", "due"), "_block").alias("b")).select("user_id", "_seg", "b.*")
+        wrong = wrong.select(*_BLOCK, "due")
+        few = wrong.agg(F.min("_block").alias("lo"), F.max("_block").alias("hi")).first()
+        if few.lo is None:
+            break
+        r += 1
+        carried = wrong.select(*_BLOCK, F.explode("due").alias("_us"), F.lit(-1).cast("long").alias("event_id"),
+                               F.lit(False).alias("contested"), F.lit(True).alias("carried"))
+        again = rows.where(F.col("_block").between(few.lo, few.hi)).join(wrong.select(*_BLOCK), _BLOCK, "left_semi")
+        out = _fold_blocks(again.unionByName(carried), fold).withColumn("round", F.lit(r))
+        rounds = rounds.unionByName(out)
+        new = out.groupBy(*_BLOCK).agg(ends.alias("new_end"))
+        started = wrong.withColumnRenamed("due", "new_start").join(new, _BLOCK, "left")
+        fresh = F.col("new_start").isNotNull()
+        blocks = (blocks.drop("due", "wrong").join(started, _BLOCK, "left")
+                  .select(*_BLOCK, F.when(fresh, F.coalesce("new_end", nothing)).otherwise(F.col("end")).alias("end"),
+                          F.coalesce("new_start", "start").alias("start"), F.when(fresh, F.lit(r)).otherwise(F.col("round")).alias("round")))
+    return rounds.join(blocks.select(*_BLOCK, "round"), [*_BLOCK, "round"], "left_semi")

@@ -111,6 +111,22 @@ def test_limiter_against_brute_force(spark, most, block_rows, span):
     assert got == brute_limiter(events, most, 60)
 
 
+@pytest.mark.parametrize("even", [False, True])
+def test_limiter_blocks_at_once(spark, monkeypatch, even):
+    """One user over the limit in twenty blocks: irregular requests take few rounds, requests at even distances one a block."""
+    folds = []
+    fold_blocks = limits._fold_blocks
+    monkeypatch.setattr(limits, "_fold_blocks", lambda *given: folds.append(1) or fold_blocks(*given))
+    base = datetime.datetime(2026, 1, 1)
+    random.seed(8)
+    at = [7.0 * i for i in range(400)] if even else sorted(random.uniform(0, 6000) for _ in range(1200))
+    events = [(i, 0, base + datetime.timedelta(seconds=t)) for i, t in enumerate(at)]
+    df = spark.createDataFrame(events, "event_id long, user_id long, ts timestamp")
+    got = {r["event_id"]: r["accepted"] for r in limits.allow_requests(df, 3, 30, 40 if even else 60).collect()}
+    assert got == brute_limiter(events, 3, 30)
+    assert len(folds) <= (10 if even else 6)
+
+
 def test_limiter_edge(spark):
     """The eleventh request exactly one window after the first is accepted."""
     base = datetime.datetime(2026, 1, 1)
