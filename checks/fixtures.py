@@ -64,6 +64,7 @@ ADMINS = "7, 42,abc, 0 ,99 9,"
 LEAD_CODES = {"OneAssist": "CODE1", "Onsitego": "CODE2", "Cashify": "CODE3"}
 NEW_USER_SHIFT = 20  # moves the ids of the event log, so that some are above the known ones
 LIMIT_MAX, LIMIT_SECONDS = 3, 6 * 3600
+ARRIVAL_US = 1_800_000_000_000_000  # the moment at which a backlog of requests arrives
 IDLE_SECONDS = 12 * 3600
 BACKFILL = (datetime.date(1999, 12, 1), datetime.date(2000, 1, 31))
 

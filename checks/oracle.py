@@ -437,6 +437,8 @@ UNION ALL SELECT e.user_id, e.event_id, e.rn, CASE WHEN len({_keep}) < {X.LIMIT_
   len({_keep}) < {X.LIMIT_MAX} FROM f JOIN e ON e.user_id = f.user_id AND e.rn = f.rn + 1)
 SELECT event_id, user_id, accepted FROM f"""
 ORACLE["R2_limiter"] = ORACLE["R2_limiter_stream"] = _LIMITER
+ORACLE["R2_limiter_arrival"] = f"""SELECT event_id, user_id, CAST({X.ARRIVAL_US} AS BIGINT) AS arrived_us,
+  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) <= {X.LIMIT_MAX} AS accepted FROM events"""
 sql("R3_sessions", ["v_confirmed"], """SELECT user_id, session_id, confirmed_id, product_name, brand, category, purchase_platform,
   purchase_date, warranty_months, serial_no, price_paid, invoice_file_id, invoice_file_type, local_invoice_path FROM v_confirmed""")
 ORACLE["R3_sessions_stream"] = ORACLE["R3_sessions"]

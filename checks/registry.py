@@ -14,8 +14,8 @@ from coverlens.plans import intake, reminders, store_changes
 from coverlens.session import materialize, work_dir
 from coverlens.sources import delivery, dims, sinks, tables
 from coverlens.streaming.first_seen import stream_first_seen
-from coverlens.streaming.limiter import stream_allow_requests
-from coverlens.streaming.ordered import rocksdb_state
+from coverlens.streaming.limiter import stream_allow_on_arrival, stream_allow_requests
+from coverlens.streaming.ordered import only_with_data, rocksdb_state
 from coverlens.streaming.routing import stream_route_counts
 from coverlens.streaming.sessions import stream_registrations
 from coverlens.streaming.tables import append_stream, stream_leads, stream_reminders, stream_users
@@ -661,6 +661,19 @@ def R2_limiter_stream(spark, sf):
         "event_id", "user_id", "accepted")
 
 
+@query
+def R2_limiter_arrival(spark, sf):
+    """A backlog that arrives at one moment: what a service sees that was away."""
+    folder = work_dir(spark, "in")
+    X.events(spark, sf).select("user_id", "ts", "event_id").write.parquet(folder)
+    stream = tables.read_messages_stream(spark, folder, spark.read.parquet(folder).schema)
+    moment = X.ARRIVAL_US
+    out = stream_allow_on_arrival(stream, X.LIMIT_MAX, X.LIMIT_SECONDS, lambda: moment)
+    with only_with_data(spark):
+        found = _collect_stream(spark, out)
+    return found.select("event_id", "user_id", F.unix_micros("arrived_at").alias("arrived_us"), "accepted")
+
+
 def _registrations(df):
     return df.select("user_id", "session_id", "confirmed_id", "product_name", "brand", "category", "purchase_platform",
                      "purchase_date", "warranty_months", "serial_no", "price_paid", *sessions.FILE_FIELDS)

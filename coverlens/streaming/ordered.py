@@ -17,11 +17,9 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 @contextlib.contextmanager
-def rocksdb_state(spark):
-    """Runs the streams started inside on the RocksDB state store."""
-    key = "spark.sql.streaming.stateStore.providerClass"
+def _setting(spark, key, value):
     before = spark.conf.get(key, None)
-    spark.conf.set(key, ROCKSDB)
+    spark.conf.set(key, value)
     try:
         yield
     finally:
@@ -31,6 +29,16 @@ def rocksdb_state(spark):
             spark.conf.set(key, before)
 
 
+def rocksdb_state(spark):
+    """Runs the streams started inside on the RocksDB state store."""
+    return _setting(spark, "spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+
+
+def only_with_data(spark):
+    """Streams started inside run no batch without data: one with processing-time timers would else not end when all is read."""
+    return _setting(spark, "spark.sql.streaming.noDataMicroBatches.enabled", "false")
+
+
 class OrderedFold(StatefulProcessor):
     """Subclasses give ``state_schema``, ``columns`` and ``fold(state, rows)``.
 

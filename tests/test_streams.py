@@ -1,5 +1,6 @@
 """Streams against their batch forms, with files that arrive out of order."""
 import datetime
+import time
 
 from pyspark.sql import functions as F
 
@@ -7,8 +8,8 @@ from checks import fixtures as X
 from coverlens.operators import limits, sessions
 from coverlens.session import work_dir
 from coverlens.sources import sinks, tables
-from coverlens.streaming.limiter import stream_allow_requests
-from coverlens.streaming.ordered import rocksdb_state
+from coverlens.streaming.limiter import stream_allow_on_arrival, stream_allow_requests
+from coverlens.streaming.ordered import only_with_data, rocksdb_state
 from coverlens.streaming.sessions import stream_registrations
 from coverlens.streaming.tables import append_stream, stream_leads, stream_users
 
@@ -145,3 +146,50 @@ def test_reminders_resume_after_a_stop(spark, sf):
     due.write.parquet(outbox)
     sinks.emit_reminders(due, outbox, log)
     assert spark.read.parquet(outbox).count() == spark.read.parquet(log).count() == due.count() > 0
+
+
+def test_limiter_on_arrival(spark, tmp_path):
+    """Requests in three files, seen one after another at times of a given clock; the times they carry run backwards."""
+    clock = tmp_path / "clock"
+    moments = [1_000_000, 40_000_000, 61_000_000]  # the third leaves the first's requests behind, by exactly one window
+    base = datetime.datetime(2026, 1, 1)
+    folder, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    schema = "user_id long, ts timestamp, event_id long"
+    path = str(clock)
+
+    def read_clock():
+        with open(path) as f:
+            return int(f.read())
+
+    want, kept = {}, {}
+    for n, now in enumerate(moments):
+        users = [0, 0, 1, 0, None] if n != 1 else [0, 1, 1, 1, None]
+        batch = [(u, base - datetime.timedelta(hours=n, seconds=-i), 10 * n + i) for i, u in enumerate(users)]
+        for user, _, event_id in batch:
+            kept[user] = [t for t in kept.get(user, []) if t > now - 60_000_000]
+            want[event_id] = (now, len(kept[user]) < 3)
+            kept[user] += [now] if want[event_id][1] else []
+        clock.write_text(str(now))
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(folder)
+        stream = tables.read_messages_stream(spark, folder, spark.read.parquet(folder).schema)
+        with rocksdb_state(spark), only_with_data(spark):
+            append_stream(stream_allow_on_arrival(stream, 3, 60, read_clock), out, checkpoint).awaitTermination()
+    got = {r.event_id: (r.us, r.accepted) for r in spark.read.parquet(out).select("event_id", F.unix_micros("arrived_at").alias("us"), "accepted").collect()}
+    assert got == want and not all(a for _, a in want.values())
+
+
+def test_limiter_on_arrival_forgets(spark, tmp_path):
+    """State of users who do not come back is cleared when the window has passed on the clock of the stream."""
+    base = datetime.datetime(2026, 1, 1)
+    folder, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    left = []
+    for users in ([1, 2, 3], [9], [9]):
+        time.sleep(0.5)
+        spark.createDataFrame([(u, base, u) for u in users], "user_id long, ts timestamp, event_id long").write.mode("append").parquet(folder)
+        stream = tables.read_messages_stream(spark, folder, spark.read.parquet(folder).schema)
+        with rocksdb_state(spark), only_with_data(spark):
+            query = append_stream(stream_allow_on_arrival(stream, 3, 0.1), out, checkpoint)
+            query.awaitTermination()
+        left.append(sum(o["numRowsTotal"] for p in query.recentProgress[-1:] for o in p["stateOperators"]))
+    assert spark.read.parquet(out).where("accepted").count() == 5
+    assert left[-1] < left[0]
