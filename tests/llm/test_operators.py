@@ -268,6 +268,17 @@ def test_near_copies_of_a_template(spark, monkeypatch):
     assert got.columns == d.columns and sorted(r.doc_id for r in got.collect()) == sorted({rows[i][0] for i in kept_by_brute_force(rows)}) == list(range(120))
 
 
+def test_near_copies_by_fingerprints(spark, monkeypatch):
+    """op5's fingerprints and anchors alone find close copies: with no two texts in one bucket, those within four bits still go."""
+    rnd = random.Random(4)
+    words = [f"w{i}" for i in range(3000)]
+    rows = [(i, " ".join(rnd.choices(words, k=400))) for i in range(20)]
+    rows += [(100 + i, rows[i][1] + " end") for i in range(20)]
+    monkeypatch.setattr(shingle_copies, "buckets", lambda least: np.frombuffer(np.random.default_rng().bytes(8), np.int64).repeat(shingle_copies.BANDS))
+    got = shingle_copies.keep_first(docs(spark, rows))
+    assert sorted(r.doc_id for r in got.collect()) == list(range(20))
+
+
 def test_surrogates(spark):
     card = "4012888888881881"
     text = (f"Frau Anna Keller, +1 (212) 555-0187, anna.k@mail3.example.com, {card} / 4012 8888 8888 1881, 10.1.2.3, "
