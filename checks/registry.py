@@ -420,7 +420,7 @@ def G2_model_order(spark, sf):
 
 # --- bill text ---------------------------------------------------------------
 def _bill(spark, sf, *fields):
-    b = bills.extract_bill(X.v_bill_text(spark, sf), "text", "caption", X.BILL_AS_OF)
+    b = bills.extract_bill(X.v_bill_text(spark, sf), "text", "caption", X.BILL_AS_OF, fields)
     return b.select("bill_id", *[F.col(f"bill.{f}").alias(f) for f in fields])
 
 

@@ -39,16 +39,18 @@ def item_line(lines) -> Column:
 
 
 def shop_line(lines) -> Column:
-    """First of the top six lines that can be a shop name."""
-    def with_kept(x):
-        kept = strip(F.regexp_replace(x["line"], r"[^a-zA-Z0-9\s\x1c-\x1f\x85\p{Z}]", ""))
-        return F.struct(x["line"].alias("line"), x["low"].alias("low"), kept.alias("kept"))
+    """First of the top six lines that can be a shop name.
 
-    def plausible(x):
-        return (~x["low"].isin(V.BILL_TITLE_LINES) & (F.length(x["kept"]) >= 4)
-                & (F.length(F.regexp_replace(x["kept"], "[^0-9]", "")) < 8)
-                & ~contains_any(x["low"], V.RETAILER_NOISE_WORDS) & ~contains_any(x["low"], V.RETAILER_PLACE_WORDS))
-    return F.get(F.filter(F.transform(F.slice(lines, 1, 6), with_kept), plausible), F.lit(0))["line"]
+    A line is looked at only if those above it cannot be one, and by its patterns only if its words allow it.
+    """
+    def plausible(line, low):
+        kept = strip(F.regexp_replace(line, r"[^a-zA-Z0-9\s\x1c-\x1f\x85\p{Z}]", ""))
+        digits = F.regexp_replace(line, "[^0-9]", "")  # all of them are kept
+        return (~low.isin(V.BILL_TITLE_LINES) & (F.length(line) >= 4)
+                & ~contains_any(low, V.RETAILER_NOISE_WORDS) & ~contains_any(low, V.RETAILER_PLACE_WORDS)
+                & ((F.length(line) < 8) | (F.length(digits) < 8)) & (F.length(kept) >= 4))
+    top = [F.get(lines, F.lit(i)) for i in range(6)]
+    return F.coalesce(*[F.when(plausible(x["line"], x["low"]), x["line"]) for x in top])
 
 
 def excluded_numbers(lower) -> Column:
@@ -98,10 +100,12 @@ def bill_parts(df: DataFrame, text_col: str, caption_col: str | None, as_of) ->
         "b_is_food_receipt": contains_any("b_lower", V.FOOD_WORDS),
         "b_excluded": excluded_numbers(c("b_lower")),
         "b_numbers": F.regexp_extract_all("b_text", F.lit(unicode_pattern(V.PRICE_PATTERN)), F.lit(1)),
-        "b_total": strip(F.translate(capture("b_lower", after_words(V.TOTAL_WORDS, V.TOTAL_PATTERN)), ", ", "")),
+        "b_total": F.when(contains_any("b_lower", V.TOTAL_WORDS),
+                          strip(F.translate(capture("b_lower", after_words(V.TOTAL_WORDS, V.TOTAL_PATTERN)), ", ", ""))).otherwise(""),
         "b_years": capture_with("year", V.YEARS_PATTERN),
         "b_labelled": capture("b_text", after_words(V.SERIAL_WORDS, V.LABELLED_SERIAL_PATTERN), flags="(?iu)"),
-        "b_dmy": F.split(capture("b_text", V.DAY_MONTH_YEAR_PATTERN, 0), "[-/.]"),
+        # NULL and not '' without a date: a failed cast of a text costs as much as a pattern
+        "b_dmy": F.split(F.nullif(capture("b_text", V.DAY_MONTH_YEAR_PATTERN, 0), F.lit("")), "[-/.]"),
     })
     is_iphone, is_galaxy, is_airdopes = (c(f"b_{m}") != "" for m in ("iphone", "galaxy", "airdopes"))
     storage = F.nullif(F.upper(F.replace(capture("b_lower", V.STORAGE_PATTERN), F.lit(" "), F.lit(""))), F.lit(""))
@@ -162,11 +166,14 @@ def bill_parts(df: DataFrame, text_col: str, caption_col: str | None, as_of) ->
     })
 
 
-def extract_bill(df: DataFrame, text_col: str, caption_col: str | None, as_of) -> DataFrame:
-    """Adds the record as one struct column ``bill``."""
+def extract_bill(df: DataFrame, text_col: str, caption_col: str | None, as_of, fields=BILL_FIELDS) -> DataFrame:
+    """Adds the record, or some of its fields, as one struct column ``bill``.
+
+    The optimizer keeps the struct whole; fields that are not named are not computed.
+    """
     keep = df.columns
     parts = bill_parts(df, text_col, caption_col, as_of)
-    return parts.select(*keep, F.struct(*[F.col(f"b_{f}").alias(f) for f in BILL_FIELDS]).alias("bill"))
+    return parts.select(*keep, F.struct(*[F.col(f"b_{f}").alias(f) for f in fields]).alias("bill"))
 
 
 def typed_answer(answer) -> Column:
