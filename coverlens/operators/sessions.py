@@ -26,10 +26,12 @@ def with_files(events: DataFrame, files: DataFrame) -> DataFrame:
     """Events whose bill refers to its file: (file_id, path, is_photo, accepted) as checked at intake.
 
     The file of an event is named by ``file_id``. A rejected or unknown file gives no reference, whole or in part.
+    Most events name none and take no part in the join: as NULL keys they would all be sorted by one task.
     """
     known = files.where("accepted").select(F.col("file_id").alias("_file"), F.col("path").alias("_path"),
                                            F.when(F.col("is_photo"), "photo").otherwise("document").alias("_type"))
-    found = events.join(known, F.col("file_id") == F.col("_file"), "left")
+    named = events.where(F.col("file_id").isNotNull()).join(known, F.col("file_id") == F.col("_file"), "left")
+    found = named.unionByName(events.where(F.col("file_id").isNull()), allowMissingColumns=True)
     bill = F.col("bill")
     for name, value in zip(FILE_FIELDS, ("_file", "_type", "_path")):
         bill = bill.withField(name, F.col(value))
