@@ -615,3 +615,19 @@ def test_pipeline(spark, sf):
         assert n > 0.7 * d.count(), name
         d = spark.createDataFrame(out.toPandas(), d.schema)
     assert corpus_pipeline.run(spark, sf).select("doc_id").distinct().count() == n
+
+
+def test_a_group_of_near_copies_makes_few_candidates(spark, monkeypatch):
+    """Each text of a group first meets one other, and only what that leaves apart the ends of its buckets."""
+    met = []
+    likely = shingle_copies._likely
+    monkeypatch.setattr(shingle_copies, "_likely", lambda pairs, sketches: met.append(pairs.count()) or likely(pairs, sketches))
+    rnd = random.Random(11)
+    words = [f"w{i}" for i in range(3000)]
+    base = rnd.choices(words, k=200)
+    rows = []
+    for i in range(300):
+        at = rnd.randrange(0, 200)
+        rows.append((i, " ".join([*base[:at], rnd.choice(words), *base[at + 1:]])))
+    assert [r.doc_id for r in shingle_copies.keep_first(docs(spark, rows)).collect()] == [0]
+    assert sum(met) < 3 * len(rows)  # both ends of all buckets: several times as many
