@@ -631,3 +631,35 @@ def test_a_group_of_near_copies_makes_few_candidates(spark, monkeypatch):
         rows.append((i, " ".join([*base[:at], rnd.choice(words), *base[at + 1:]])))
     assert [r.doc_id for r in shingle_copies.keep_first(docs(spark, rows)).collect()] == [0]
     assert sum(met) < 3 * len(rows)  # both ends of all buckets: several times as many
+
+
+def test_pages_of_a_template_make_few_candidates(spark, monkeypatch):
+    """Pages that resemble each other by about 0.7 are told apart within their blocks; those of 0.8 or more among them still go."""
+    met = []
+    blocks = shingle_copies._in_blocks
+    monkeypatch.setattr(shingle_copies, "_in_blocks", lambda *args: (lambda found: met.append(found.count()) or found)(blocks(*args)))
+    rnd = random.Random(13)
+    words = [f"w{i}" for i in range(3000)]
+    frame = rnd.choices(words, k=115)
+    rows = [(i, " ".join(frame[:80] + rnd.choices(words, k=14 + i % 8) + frame[80:])) for i in range(150)]  # on both sides of 128 shingles
+    for i in range(150, 200):  # a page with a few of its own words replaced
+        page = rows[rnd.randrange(150)][1].split()
+        page[80:80 + i % 14] = rnd.choices(words, k=i % 14)
+        rows.append((i, " ".join(page)))
+    kept = [rows[i][0] for i in kept_by_brute_force(rows)]
+    assert 150 < len(kept) < 200 and sorted(r.doc_id for r in shingle_copies.keep_first(docs(spark, rows)).collect()) == kept
+    assert met[0] < 2 * len(rows)  # by sketches alone most of 20 000 pairs
+
+
+def test_bins_lose_no_pair():
+    """Of any two sets no more hashes are shared than their bins allow, also of sets of different sizes and with crowded bins."""
+    rng = np.random.default_rng(3)
+    for k in range(400):
+        x = np.unique(rng.integers(0, 1 << 64, int(rng.integers(2, 700)), dtype=np.uint64))
+        if k % 4 == 0:
+            x = np.unique(x << np.uint64(9))  # one bin of all
+        sets = [x[rng.random(len(x)) < rng.choice([0.3, 0.9, 1])] for _ in range(2)]
+        if all(map(len, sets)):
+            own, other = (shingle_copies._unpacked([shingle_copies.bin_counts(s).tobytes()]) for s in sets)
+            most = shingle_copies.most_shared(len(sets[0]), own[0], np.array([len(sets[1])]), other)[0]
+            assert len(np.intersect1d(*sets)) <= most
