@@ -128,7 +128,11 @@ def v_reminder_log(spark, sf):
 
 
 def v_bill_text(spark, sf):
-    p = v_products(spark, sf).repartition(spark.sparkContext.defaultParallelism)
+    """Bill texts, dealt by their key: what joins them by it needs no shuffle of the texts.
+
+    Reading a text costs far more than its bytes tell, so there are some tasks for each core, which are not merged by size.
+    """
+    p = v_products(spark, sf).repartition(8 * spark.sparkContext.defaultParallelism, "product_id")
     key = F.col("product_id")
     shown = F.date_add("purchase_date", BILL_SHIFT_DAYS)
     when = F.concat(F.lit("Date: "), F.when(key % 3 == 0, F.date_format(shown, "dd-MM-yyyy"))

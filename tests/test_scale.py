@@ -221,3 +221,14 @@ def test_events_without_a_file_do_not_meet_in_one_task(spark, monkeypatch):
     assert most < 10_000
     assert len(found) == 20_000 and found[1] is None and found[5]["invoice_file_id"] is None
     assert tuple(found[200]) == ("f200", "photo", "/in/x") and tuple(found[100])[1] == "document" and found[300]["invoice_file_id"] is None
+
+
+def test_bill_texts_are_dealt_for_the_intake(spark, sf):
+    """Texts are read by several tasks a core, however few bytes they have, after the join with the answers too."""
+    from checks.registry import QUERIES
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert QUERIES["E1_intake"](spark, sf).rdd.getNumPartitions() == 8 * spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
