@@ -119,9 +119,13 @@ def v_products(spark, sf):
 
 
 def v_reminder_log(spark, sf):
+    return milestones_reached(v_products(spark, sf))
+
+
+def milestones_reached(products):
     """Milestones reached up to AS_OF by products of finished orders."""
     days = F.explode(F.array(*[F.lit(n) for n in V.REMINDER_DAYS]))
-    return (v_products(spark, sf).where(F.col("order_status") == "F").select("product_id", "expiry_date", days.alias("n"))
+    return (products.where(F.col("order_status") == "F").select("product_id", "expiry_date", days.alias("n"))
             .where(F.date_sub("expiry_date", F.col("n")) <= F.lit(AS_OF))
             .select("product_id", F.when(F.col("n") == 0, "expired")
                     .otherwise(F.concat(F.col("n").cast("string"), F.lit("_day"))).alias("reminder_type")))
